@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .components import components
+from .buckets import resolved, sketcher
 from .hashing import MinHasher, mix, overlap, word_shingles
 
 #: Two collections of so many hashes each, every hash made of so many minhashes. A table key pairs one of either
@@ -67,6 +68,12 @@ def _confirmed(shingle: int, percent: int):
     return run
 
 
+def _first_key(p: Column, q: Column, collection: int) -> Column:
+    """The table key of the first half keys that two documents share in either collection."""
+    first = lambda start: F.get(F.filter(F.zip_with(F.slice(p, start, collection), F.slice(q, start, collection), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
+    return F.xxhash64(first(1), first(collection + 1))
+
+
 def _sized(percent: int) -> Column:
     """Whether sets of n and m shingles can reach the similarity at all."""
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
@@ -104,9 +111,8 @@ def near_duplicates(
        go on as one row, the copies' smallest id.
     2. A table key pairs a half key of either collection. It can only collide where both halves collide, so
        only half keys that occur twice (a map-side combined count) are paired.
-    3. In each bucket every member is compared with the smallest one, on whole texts. Where that leaves
-       members of a bucket in more than one component, all their pairs across components are compared as well,
-       but for those that sizes rule out: no link within a bucket is lost, and no group of copies is squared.
+    3. buckets.resolved() confirms links on whole texts, bucket by bucket, such that the components within buckets come
+       out whole and no group of copies is squared.
 
     Null or empty texts, and texts without words: n_shingles 0, linked with nothing, kept. Rows with a null id
     count their shingles, have component_id null unless copies of the text have an id, and link nothing. Rows that
@@ -134,31 +140,15 @@ def near_duplicates(
     keys = (
         paired.select("node", "n", F.explode(side(True)["half"]).alias("x"), side(False)["half"].alias("ys"))
         .select("node", "n", "x", F.explode("ys").alias("y"))
-        .select("node", "n", F.xxhash64("x", "y").alias("key"))
+        .select("node", F.xxhash64("x", "y").alias("key"))
     )
-    keys = store.written(keys, "keys")
-    first = keys.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    buckets = store.written(keys.join(first, "key"), "buckets")
-    store.drop(keys)
-
-    sizes = kinds.groupBy("node").agg(F.max("n").alias("n"))
-    star = buckets.where("a < node").select("a", F.col("node").alias("b"), F.col("n").alias("m")).distinct()
-    star = star.join(sizes.withColumnRenamed("node", "a"), "a").where(_sized(percent)).select("a", "b").distinct()
-    star = store.written(star, "pairs")
-    links = _links(star, texts, shingle, percent)
-    found = store.written(components(links, "a", "b"), "components")
-
-    of = found.withColumnRenamed("component", "c")
-    member = buckets.select("key", "node", "n").join(of, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    open_ = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    member = store.written(member.join(open_, "key"), "members")
-    other = member.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = member.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _sized(percent))
-    rest = store.written(rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti"), "pairs")
-    if rest.limit(1).count():
-        more = _links(rest, texts, shingle, percent)
-        if more.limit(1).count():
-            found = store.written(components(links.union(more), "a", "b"), "components")
+    half_of = kinds.select("node", "halves").dropDuplicates(["node"])
+    found = resolved(
+        keys, half_of.withColumnRenamed("halves", "parts"), lambda p, q: _first_key(p, q, collection), kinds.groupBy("node").agg(F.max("n").alias("n")),
+        _sized(percent), lambda pairs: _links(pairs, texts, shingle, percent),
+        lambda nodes: texts.join(store.small(store.written(nodes, "need")), "id", "left_semi").mapInArrow(sketcher(partial(word_shingles, size=shingle)), "node long, sketch array<long>"),
+        percent / 100,
+    )
 
     node = kinds.select("kind", F.col("node").alias("least"))
     whole = signed.select("id", "n_shingles", "kind").join(node, "kind", "left")
