@@ -6,48 +6,58 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
 from .components import components
-from .hashing import MinHasher
 
+#: Orders in which a round's buckets choose whom to compare with, and comparisons of a node in a round.
+ORDERS, TESTS = 4, 6
 #: Star rounds at most, and pairs a member for which all that is open is compared.
 ROUNDS, FEW = 2, 4
-#: Words of 64 one-bit minhashes of a sketch, and by how much less than the threshold sketches may agree: 4.8 standard
-#: deviations at a similarity of 0.75, which a pair at the threshold exceeds once in a million times.
-SKETCH, SLACK = 16, 0.1
+#: Words of 64 one-bit minhashes that are looked at first and in all, and by how much less than the threshold they may agree:
+#: 4.8 standard deviations at a similarity of 0.75, which a pair at the threshold exceeds once in a million times.
+SKETCH, SLACK = (16, 64), (0.1, 0.05)
 
 
 def sketcher(shingles: Callable) -> Callable:
-    """For mapInArrow over (id, text): (node, sketch), 1024 one-bit minhashes of the shingles of each text that has any."""
+    """For mapInArrow over (id, text): (node, sketch), 4096 one-bit minhashes of the shingles of each text that has any."""
+    factors = np.random.default_rng(53).integers(0, 2**31, (64 * SKETCH[1], 1), dtype=np.uint32) * 2 + 1
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = MinHasher(64 * SKETCH, 53)
         for batch in batches:
             ids, out = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 found = shingles(text)
                 if len(found):
                     ids.append(node)
-                    least = hasher(found, 1 << 10)
+                    low = (found >> np.uint64(32)).astype(np.uint32)
+                    least = np.min([(low[k : k + 512] * factors).min(1) for k in range(0, len(low), 512)], 0)
                     out.append(np.packbits((least ^ (least >> np.uint32(15))) & np.uint32(1) != 0).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "sketch"])
 
     return run
 
 
-def _near(p: str, q: str, least: float) -> Column:
-    """Whether sketches agree as those of sets of a similarity of least do on average, or better."""
-    apart = sum((F.bit_count(F.col(p)[k].bitwiseXOR(F.col(q)[k])) for k in range(SKETCH)), F.lit(0))
-    return apart <= int(64 * SKETCH * (1 - least) / 2)
+def _near(p: str, q: str, similarity: float) -> Column:
+    """Whether the first words of sketches agree as those of sets of about that similarity do."""
+    apart = sum((F.bit_count(F.col(p)[k].bitwiseXOR(F.col(q)[k])) for k in range(SKETCH[0])), F.lit(0))
+    return apart <= int(64 * SKETCH[0] * (1 - similarity + SLACK[0]) / 2)
+
+
+def _nearer(p: str, q: str, similarity: float) -> Column:
+    """The same of all words."""
+    apart = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return apart <= int(64 * SKETCH[1] * (1 - similarity + SLACK[1]) / 2)
 
 
-def _pairs(pairs: DataFrame, sizes: DataFrame, sized: Column, tested: DataFrame | None) -> DataFrame:
+def _pairs(pairs: DataFrame, sizes: DataFrame | None, sized: Column, tested: DataFrame | None) -> DataFrame:
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
-    pairs = pairs.where(sized).select("a", "b")
+    if sizes is not None:
+        pairs = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
+        pairs = pairs.where(sized).select("a", "b")
     return store.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
@@ -67,14 +77,14 @@ def resolved(
     are linked; sized says of sizes n and m whether a pair can be. parts has (node, parts), from which first_key() finds
     the first key that two nodes share. sizes has (node, n).
 
-    In a round each bucket compares its members with one of them, another one in each bucket and round (the least node
-    after an exclusive or with a hash of the key), so that a group of copies gets a few comparisons for each member and
+    In a round each bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
+    hashes, which change from round to round), and each node is compared TESTS times at most, so that a group of copies gets a few comparisons for each member and
     bucket. Buckets whose members are of one component by then are closed: nothing is left to learn from them. When the pairs that are
     open, across components, are few, or after ROUNDS rounds, all of them are held against each other by sketches that
     sketches() makes of the open nodes (id), each pair at its first common key, and those that may reach the similarity are compared. So
     every pair of a bucket whose link could change a component is looked at, and there is no cap.
     """
-    mask = lambda r: F.xxhash64("key", F.lit(r))
+    mask = lambda r: F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(r))
     lead = lambda rows, r, *more: rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask(r))).alias("a"), *more).withColumn("a", F.col("a").bitwiseXOR(mask(r)))
     keys = store.written(keys, "keys")
     first = lead(keys, 0, F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "a")
@@ -83,10 +93,13 @@ def resolved(
     tested = found = None
     pairs = buckets.where("a != node").select("a", F.col("node").alias("b"))
     for r in range(1, ROUNDS + 1):
+        turn = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(r)), "a"))
+        pairs = pairs.distinct().withColumn("turn", turn).where(F.col("turn") <= TESTS)  # a node has as many rows as keys at most
         pairs = _pairs(pairs, sizes, sized, tested)
         good = links(pairs)
-        linked = good if r == 1 else linked.union(good)
         tested = pairs if tested is None else tested.union(pairs)
+        # what is known of components stands for the links that made them
+        linked = good if r == 1 else found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
         found = store.written(components(linked, "a", "b"), "components")
         members = buckets.select("key", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
         mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
@@ -105,7 +118,9 @@ def resolved(
     whole = store.written(members.join(parts, "node").join(drawn, "node").join(sizes, "node"), "open")
     left = whole.withColumnRenamed("node", "a")
     right = whole.select("key", F.col("node").alias("b"), F.col("c").alias("d"), F.col("parts").alias("others"), F.col("sketch").alias("drawn"), F.col("n").alias("m"))
-    differ = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sized & _near("sketch", "drawn", similarity - SLACK)
+    differ = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sized & _near("sketch", "drawn", similarity)
     rest = left.join(right, "key").where(differ & (first_key(F.col("parts"), F.col("others")) == F.col("key")))
-    good = links(_pairs(rest.select("a", "b"), sizes, sized, tested))
-    return store.written(components(linked.union(good), "a", "b"), "components")
+    rest = rest.select("a", "b", "sketch", "drawn").where(_nearer("sketch", "drawn", similarity))
+    good = links(_pairs(rest, None, sized, tested))
+    linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
+    return store.written(components(linked, "a", "b"), "components")
