@@ -18,6 +18,23 @@ from .transducer import Transducer, compiled
 
 #: Words of the lexicon at most; the most frequent ones, ties by the word.
 LEXICON = 32_768
+# How the tokenizers library's Unicode data (letters and numbers of version 16, lower case of 17) differ from
+# those of Python's str.lower() and of the regex module. Capitals with lower-case letters that Python may not know yet:
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+# Ranges of characters that are letters or numbers to the regex module, and not to the library:
+NEITHER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+_NEITHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
+_ODD = regex.compile(f"[{_NEITHER}{''.join(map(chr, CAPITALS))}]")
 #: Words that a worker keeps at hand, and words that it counts before it hands their counts on.
 AT_HAND, COUNTED = 200_000, 100_000
 
@@ -36,7 +53,11 @@ class Rules:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {pair: k for k, pair in enumerate(pairs)}
         self.suffix = model["end_of_word_suffix"] or ""
-        self.split = regex.compile(split[0]["pattern"]["Regex"])
+        pattern = split[0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern)
+        for name in ("L", "N"):
+            pattern = pattern.replace(f"[\\p{{{name}}}]", f"[\\p{{{name}}}--[{_NEITHER}]]").replace(f"[^\\s\\p{{L}}\\p{{N}}]", f"[^\\s[[\\p{{L}}\\p{{N}}]--[{_NEITHER}]]]")
+        self.split_odd = regex.compile(pattern, regex.V1)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -55,8 +76,13 @@ class Rules:
         return found
 
     def _words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.split.findall(text.lower())
         # a capital sigma is lower-cased without regard to its place
-        return self.split.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        if _ODD.search(text):
+            return self.split_odd.findall(text.translate(CAPITALS).lower())
+        return self.split.findall(text.lower())
 
     def merged(self, word: str) -> list[int]:
         """The ids of a word by merging its pairs in the order of their ranks, the leftmost first."""

@@ -165,6 +165,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Only the ids that go are joined. Rows that repeat an id stay if any of them is kept.
     """
     judged = near_duplicates(docs, id_col, text_col, **options)
-    gone = judged.groupBy(id_col).agg(F.max("kept").alias("kept")).where("not kept").select(F.col(id_col).alias("_gone"))
-    gone = store.written(gone.where("_gone is not null"), "gone")
-    return docs.join(store.small(gone), docs[id_col] == F.col("_gone"), "left_anti")
+    name = store.unused(docs, "gone")
+    gone = judged.groupBy(id_col).agg(F.max("kept").alias("kept")).where(~F.col("kept") & F.col(id_col).isNotNull())
+    gone = store.written(gone.select(F.col(id_col).alias(name)), "gone")
+    return docs.join(store.small(gone), docs[id_col] == gone[name], "left_anti")

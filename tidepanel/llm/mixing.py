@@ -141,10 +141,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     Documents without words have nothing to take and stay once. Rows of a null id are matched by source and size alone.
     """
     plan = mix(docs, id_col, text_col, source_col, **options).where("size > 0")
-    plan = plan.groupBy(id_col, source_col, "size").agg(F.first("copies").alias("_copies"))
-    plan = plan.select(F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("size").alias("_z"), "_copies")
-    size = word_count(F.col(text_col))
-    sized = docs.withColumn("_size", size)
-    same = sized[id_col].eqNullSafe(F.col("_i")) & F.col("_size").eqNullSafe(F.col("_z")) & sized[source_col].eqNullSafe(F.col("_s"))
-    taken = sized.join(plan, same, "left").withColumn("_copies", F.when(F.col("_size") == 0, 1).otherwise(F.coalesce("_copies", F.lit(0))).cast("int"))
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [store.unused(docs, n) for n in ("mix_id", "mix_source", "mix_size", "mix_copies", "mix_words", "mix_copy")]
+    plan = plan.groupBy(F.col(id_col).alias(names[0]), F.col(source_col).alias(names[1]), F.col("size").alias(names[2])).agg(F.first("copies").alias(names[3]))
+    sized = docs.withColumn(names[4], word_count(docs[text_col]))
+    i, s, z, copies, words = (F.col(n) for n in names[:5])
+    same = sized[id_col].cast("long").eqNullSafe(i) & words.eqNullSafe(z) & sized[source_col].eqNullSafe(s)
+    taken = sized.join(plan, same, "left").withColumn(names[3], F.when(words == 0, 1).otherwise(F.coalesce(copies, F.lit(0))).cast("int"))
+    return taken.withColumn(names[5], F.explode(F.array_repeat(F.lit(0), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])

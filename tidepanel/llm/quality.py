@@ -189,9 +189,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     are left out; an id labelled twice counts as 0 if any label is 0; an id that repeats in docs gives a row each.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(label_col).cast("long").alias("y"))
-    known = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))  # bounded by sample
-    rows = docs.join(known, docs[id_col] == F.col("_id")).select("y", F.col(text_col).alias("text"))
+    known = known.groupBy(F.col(id_col).cast("long").alias("known")).agg(F.min(label_col).cast("long").alias("y"))
+    known = F.broadcast(known.orderBy(F.xxhash64("known"), "known").limit(sample))  # bounded by sample
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(known, F.col("id") == F.col("known")).select("y", "text")
     found = rows.mapInArrow(_featured, "y long, x array<double>").orderBy("y", "x").toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     return fitted(x, found.column("y").to_numpy().astype(float), **options)

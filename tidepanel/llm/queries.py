@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import ann, bpe, chat, isomedia, lines, mixing, quality, rollups, store, urls
 from .minhash import near_duplicates
 
 
@@ -13,11 +15,89 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizer of op10 lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five words, similarity 0.75."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1 as reply trees without branches, formatted and read back."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = chat.END + chat.START + "assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    out = chat.formatted(chat.linear(rows.unionByName(extra)))
+    back = store.written(out.select("tree", "text"), "formatted").withColumn("turns", chat.read_back(F.col("text")))
+    each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    back = back.select("tree", F.size("turns").cast("long").alias("n_turns"), F.array_join(each, "").alias("each"), loss.alias("loss"), F.char_length("text").cast("long").alias("formatted_chars"))
+    return back.select(
+        F.col("tree").alias("conv_id"), "n_turns", F.sha2(F.col("each").cast("binary"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose id is divisible by 20, by inner product."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's padded text in a container, read back through its sample tables."""
+    return isomedia.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a model of the labels that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 5, 2, 1, repeating."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules and templates."""
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op8_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of all documents after batches of inserts, revised counts and deletes, of which two are sent twice.
+
+    Both tokenizer versions are loaded; then license lines are cut out of all texts, and documents without words are deleted.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    text, cut = F.col("text"), F.regexp_replace("text", r"Released under the [A-Za-z0-9. ]*License\.?", "")
+    rollup = rollups.Rollup(spark, store.new_path(spark, "rollup"))
+    empty = docs.where(rollups.counted(cut, "words-1") == 0)
+    load = {v: rollups.inserts(docs, v, text) for v in rollups.COUNTERS}
+    revised = rollups.revisions(docs, "words-1", text, cut).unionByName(rollups.revisions(docs, "words-2", text, cut))
+    gone = rollups.deletes(empty, "words-1", cut).unionByName(rollups.deletes(empty, "words-2", cut))
+    for batch, rows in (*load.items(), ("revised", revised), ("revised", revised), ("deleted", gone), ("words-1", load["words-1"])):
+        rollup.commit(batch, rows)
+    return rollup.totals()
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that another line stands for."""
+    cut = lines.without_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return cut.select("doc_id", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
+    return bpe.encoded(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -43,6 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2 ... that no column of df has, whatever the case."""
+    taken, found, k = {c.lower() for c in df.columns}, name, 0
+    while found.lower() in taken:
+        k += 1
+        found = f"{name}_{k}"
+    return found
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table that written() made and that no later plan reads."""
     spark = df.sparkSession
