@@ -102,9 +102,9 @@ def mix(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     units = store.written(rows.groupBy("id", "source", "size").agg(F.count("*").alias("n")), "units")
     plan = store.written(targets(units, list(weights), most), "targets")
-    share = F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))
+    share = F.least(F.try_divide("target", "source_size"), F.lit(float(most)))  # null for a source without words
     shares = plan.select(
-        F.col("source").alias("s"), "source_size", "target", F.coalesce(F.floor(share), F.lit(0)).alias("whole"), (share - F.floor(share)).alias("p"),
+        F.col("source").alias("s"), "source_size", "target", F.coalesce(F.floor(share), F.lit(0)).alias("whole"), F.coalesce(share - F.floor(share), F.lit(0.0)).alias("p"),
         F.greatest(F.lit(1), F.ceil(F.col("n") / FAN_IN)).alias("nodes"),
     )
     shares = store.small(shares)

@@ -41,7 +41,7 @@ def judge(
     children: int = 32,
     z: float = 1.96,
     prior: float = 0.1,
-    strength: float = 4.0,
+    strength: float = 1.0,
     reject: float = 0.5,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, template, purity), a row for each row of pages.
