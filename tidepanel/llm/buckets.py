@@ -70,10 +70,11 @@ def resolved(
     links: Callable[[DataFrame], DataFrame],
     sketches: Callable[[DataFrame], DataFrame],
     similarity: float,
+    bucketed: Callable[[], None] = lambda: None,
 ) -> DataFrame:
     """(node, component) of the nodes that links join to a smaller one.
 
-    keys has (node, key); nodes of one key are candidates of each other. links() takes pairs (a, b) and returns those that
+    keys has (node, key) and is read twice, after which bucketed() is called; nodes of one key are candidates of each other. links() takes pairs (a, b) and returns those that
     are linked; sized says of sizes n and m whether a pair can be. parts has (node, parts), from which first_key() finds
     the first key that two nodes share. sizes has (node, n).
 
@@ -86,10 +87,9 @@ def resolved(
     """
     mask = lambda r: F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(r))
     lead = lambda rows, r, *more: rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask(r))).alias("a"), *more).withColumn("a", F.col("a").bitwiseXOR(mask(r)))
-    keys = store.written(keys, "keys")
     first = lead(keys, 0, F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "a")
-    buckets = store.written(keys.join(first, "key"), "buckets")
-    store.drop(keys)
+    buckets = store.written(keys.join(store.small(store.written(first, "first")), "key"), "buckets")
+    bucketed()
     tested = found = None
     pairs = buckets.where("a != node").select("a", F.col("node").alias("b"))
     for r in range(1, ROUNDS + 1):

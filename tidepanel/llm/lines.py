@@ -17,7 +17,8 @@ from .hashing import _ranges, mix, overlap
 #: Characters of a shingle; bands and minhashes of a band: a pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS, 0.995 at 0.75.
 SHINGLE, BANDS, ROWS = 12, 14, 4
 #: Characters that are hashed at once, but for a longer line.
-PIECE = 1 << 15
+PIECE = 1 << 16
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def normal(line: bytes) -> bytes:
@@ -34,7 +35,7 @@ def _shingled(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.maximum(1, lengths - size + 1)
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
     at = np.arange(counts.sum()) + np.repeat(ends - lengths - starts, counts)
-    return _ranges(mix(points.astype(np.uint64) + np.uint64(1)), at, np.minimum(at + size, np.repeat(ends, counts))), starts
+    return _ranges(points.astype(np.uint64) * _ODD + np.uint64(1), at, np.minimum(at + size, np.repeat(ends, counts))), starts
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -52,10 +53,10 @@ class _Bands:
         """(shingles with repeats, band keys) of each line."""
         hashes, starts = _shingled(lines, size)
         low = (hashes >> np.uint64(32)).astype(np.uint32)
+        least = np.stack([np.minimum.reduceat(low * factor, starts) for factor in self.factors]).reshape(-1, self.rows, len(lines))
         keys = np.repeat(self.salts[:, None], len(lines), 1)
-        for k, factor in enumerate(self.factors):
-            band = k // self.rows
-            keys[band] = mix(keys[band] ^ np.minimum.reduceat(low * factor, starts))
+        for r in range(self.rows):
+            keys = mix(keys ^ least[:, r])
         return np.diff(np.append(starts, len(hashes))), keys.T
 
 

@@ -142,12 +142,13 @@ def near_duplicates(
         .select("node", "n", "x", F.explode("ys").alias("y"))
         .select("node", F.xxhash64("x", "y").alias("key"))
     )
+    keys = store.written(keys, "keys")
     half_of = kinds.select("node", "halves").dropDuplicates(["node"])
     found = resolved(
         keys, half_of.withColumnRenamed("halves", "parts"), lambda p, q: _first_key(p, q, collection), kinds.groupBy("node").agg(F.max("n").alias("n")),
         _sized(percent), lambda pairs: _links(pairs, texts, shingle, percent),
         lambda nodes: texts.join(store.small(store.written(nodes, "need")), "id", "left_semi").mapInArrow(sketcher(partial(word_shingles, size=shingle)), "node long, sketch array<long>"),
-        percent / 100,
+        percent / 100, lambda: store.drop(keys),
     )
 
     node = kinds.select("kind", F.col("node").alias("least"))
