@@ -64,7 +64,6 @@ def _pairs(pairs: DataFrame, sizes: DataFrame | None, sized: Column, tested: Dat
 def resolved(
     keys: DataFrame,
     parts: DataFrame,
-    first_key: Callable[[Column, Column], Column],
     sizes: DataFrame,
     sized: Column,
     links: Callable[[DataFrame], DataFrame],
@@ -74,22 +73,24 @@ def resolved(
 ) -> DataFrame:
     """(node, component) of the nodes that links join to a smaller one.
 
-    keys has (node, key) and is read twice, after which bucketed() is called; nodes of one key are candidates of each other. links() takes pairs (a, b) and returns those that
-    are linked; sized says of sizes n and m whether a pair can be. parts has (node, parts), from which first_key() finds
-    the first key that two nodes share. sizes has (node, n).
+    keys has (node, key) and is read twice, after which bucketed() is called; nodes of one key are candidates of each other.
+    parts has (node, parts), arrays of one length: two nodes that share a key share a value at some place of them. links()
+    takes pairs (a, b) and returns those that are linked; sized says of sizes n and m whether a pair can be. sizes has (node, n).
 
     In a round each bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
     hashes, which change from round to round), and each node is compared TESTS times at most, so that a group of copies gets a few comparisons for each member and
     bucket. Buckets whose members are of one component by then are closed: nothing is left to learn from them. When the pairs that are
     open, across components, are few, or after ROUNDS rounds, all of them are held against each other by sketches that
-    sketches() makes of the open nodes (id), each pair at its first common key, and those that may reach the similarity are compared. So
-    every pair of a bucket whose link could change a component is looked at, and there is no cap.
+    sketches() makes of the open nodes (id), each pair at its first common part, and those that may reach the similarity are
+    compared. So every pair of a bucket whose link could change a component is looked at, and there is no cap.
     """
     mask = lambda r: F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(r))
     lead = lambda rows, r, *more: rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask(r))).alias("a"), *more).withColumn("a", F.col("a").bitwiseXOR(mask(r)))
     first = lead(keys, 0, F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "a")
-    buckets = store.written(keys.join(store.small(store.written(first, "first")), "key"), "buckets")
+    first = store.written(first, "first")
+    buckets = store.written(keys.join(store.small(first), "key"), "buckets")
     bucketed()
+    store.drop(first)
     tested = found = None
     pairs = buckets.where("a != node").select("a", F.col("node").alias("b"))
     for r in range(1, ROUNDS + 1):
@@ -101,6 +102,8 @@ def resolved(
         # what is known of components stands for the links that made them
         linked = good if r == 1 else found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
         found = store.written(components(linked, "a", "b"), "components")
+        if r > 1:
+            store.drop(members)
         members = buckets.select("key", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
         mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
         members = store.written(members.join(mixed, "key").select("key", "node", "c"), "members")
@@ -114,12 +117,18 @@ def resolved(
         pairs = pairs.select("a", F.col("node").alias("b"))
     if not rows:
         return found
-    drawn = store.written(sketches(members.select(F.col("node").alias("id")).distinct()).dropDuplicates(["node"]), "sketches")
-    whole = store.written(members.join(parts, "node").join(drawn, "node").join(sizes, "node"), "open")
-    left = whole.withColumnRenamed("node", "a")
-    right = whole.select("key", F.col("node").alias("b"), F.col("c").alias("d"), F.col("parts").alias("others"), F.col("sketch").alias("drawn"), F.col("n").alias("m"))
+    nodes = store.written(members.select("node", "c").distinct(), "nodes")
+    store.drop(members)
+    store.drop(buckets)
+    drawn = sketches(nodes.select(F.col("node").alias("id"))).dropDuplicates(["node"])
+    whole = store.written(nodes.join(parts, "node").join(drawn, "node").join(sizes, "node"), "open")
+    at = whole.select("node", "c", F.explode("parts").alias("key"))
+    mixed = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    left = at.join(mixed, "key").select("key", F.col("node").alias("a")).join(whole.withColumnRenamed("node", "a"), "a")
+    right = left.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("parts").alias("others"), F.col("sketch").alias("drawn"), F.col("n").alias("m"))
     differ = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sized & _near("sketch", "drawn", similarity)
-    rest = left.join(right, "key").where(differ & (first_key(F.col("parts"), F.col("others")) == F.col("key")))
+    common = F.filter(F.zip_with("parts", "others", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    rest = left.join(right, "key").where(differ & (F.get(common, F.lit(0)) == F.col("key")))
     rest = rest.select("a", "b", "sketch", "drawn").where(_nearer("sketch", "drawn", similarity))
     good = links(_pairs(rest, None, sized, tested))
     linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)

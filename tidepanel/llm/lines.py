@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -124,10 +124,6 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def _first_band(p: Column, q: Column) -> Column:
-    return F.get(F.filter(F.zip_with(p, q, lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
-
-
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = SHINGLE, percent: int = 75, bands: int = BANDS, rows: int = ROWS, seed: int = 41) -> DataFrame:
     """(id, drops): for each document the numbers, from 0, of its lines that another line stands for.
 
@@ -149,12 +145,13 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
         need = store.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
         found = store.written(lines(need), "texts")
         sides = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").join(found.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-        return store.written(sides.select("a", "b", "left", "right").mapInArrow(_confirmed(size, percent), "a long, b long"), "links")
+        linked = store.written(sides.select("a", "b", "left", "right").mapInArrow(_confirmed(size, percent), "a long, b long"), "links")
+        store.drop(found)
+        return linked
 
     found = resolved(
         signed.select(F.col("h1").alias("node"), F.explode("bands").alias("key")),
         signed.select(F.col("h1").alias("node"), F.col("bands").alias("parts")).dropDuplicates(["node"]),
-        _first_band,
         node.groupBy("node").agg(F.max("n").alias("n")),
         F.lit(True),  # n counts repeats
         links,

@@ -68,12 +68,6 @@ def _confirmed(shingle: int, percent: int):
     return run
 
 
-def _first_key(p: Column, q: Column, collection: int) -> Column:
-    """The table key of the first half keys that two documents share in either collection."""
-    first = lambda start: F.get(F.filter(F.zip_with(F.slice(p, start, collection), F.slice(q, start, collection), lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), F.lit(0))
-    return F.xxhash64(first(1), first(collection + 1))
-
-
 def _sized(percent: int) -> Column:
     """Whether sets of n and m shingles can reach the similarity at all."""
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
@@ -88,7 +82,9 @@ def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
         .select("a", "b", "left", "right")
     )
-    return store.written(rows.mapInArrow(_confirmed(shingle, percent), "a long, b long").distinct(), "links")
+    links = store.written(rows.mapInArrow(_confirmed(shingle, percent), "a long, b long").distinct(), "links")
+    store.drop(need)
+    return links
 
 
 def near_duplicates(
@@ -143,9 +139,9 @@ def near_duplicates(
         .select("node", F.xxhash64("x", "y").alias("key"))
     )
     keys = store.written(keys, "keys")
-    half_of = kinds.select("node", "halves").dropDuplicates(["node"])
+    half_of = kinds.select("node", F.slice("halves", 1, collection).alias("parts")).dropDuplicates(["node"])
     found = resolved(
-        keys, half_of.withColumnRenamed("halves", "parts"), lambda p, q: _first_key(p, q, collection), kinds.groupBy("node").agg(F.max("n").alias("n")),
+        keys, half_of, kinds.groupBy("node").agg(F.max("n").alias("n")),
         _sized(percent), lambda pairs: _links(pairs, texts, shingle, percent),
         lambda nodes: texts.join(store.small(store.written(nodes, "need")), "id", "left_semi").mapInArrow(sketcher(partial(word_shingles, size=shingle)), "node long, sketch array<long>"),
         percent / 100, lambda: store.drop(keys),
