@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .transducer import Transducer, compiled
 
 #: Words of the lexicon at most; the most frequent ones, ties by the word.
-LEXICON = 32_768
+LEXICON = 65_536
 # How the tokenizers library's Unicode data (letters and numbers of version 16, lower case of 17) differ from
 # those of Python's str.lower() and of the regex module. Capitals with lower-case letters that Python may not know yet:
 CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
@@ -36,7 +37,7 @@ NEITHER = (
 _NEITHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
 _ODD = regex.compile(f"[{_NEITHER}{''.join(map(chr, CAPITALS))}]")
 #: Words that a worker keeps at hand, and words that it counts before it hands their counts on.
-AT_HAND, COUNTED = 200_000, 100_000
+AT_HAND, COUNTED = 300_000, 250_000
 
 
 class Rules:
@@ -57,6 +58,11 @@ class Rules:
         self.split = regex.compile(pattern)
         for name in ("L", "N"):
             pattern = pattern.replace(f"[\\p{{{name}}}]", f"[\\p{{{name}}}--[{_NEITHER}]]").replace(f"[^\\s\\p{{L}}\\p{{N}}]", f"[^\\s[[\\p{{L}}\\p{{N}}]--[{_NEITHER}]]]")
+        # the same over lower-case ASCII texts
+        ascii_pattern = split[0]["pattern"]["Regex"].replace("[^\\s\\p{L}\\p{N}]", "[^ \t-\ra-z0-9]").replace("[\\p{L}]", "[a-z]").replace("[\\p{N}]", "[0-9]")
+        if "\\" in ascii_pattern:
+            raise ValueError("this kind of split isn't read")
+        self.split_ascii = re.compile(ascii_pattern).findall
         self.split_odd = regex.compile(pattern, regex.V1)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
@@ -77,7 +83,7 @@ class Rules:
 
     def _words(self, text: str) -> list[str]:
         if text.isascii():
-            return self.split.findall(text.lower())
+            return self.split_ascii(text.lower())
         # a capital sigma is lower-cased without regard to its place
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         if _ODD.search(text):
@@ -88,10 +94,29 @@ class Rules:
         """The ids of a word by merging its pairs in the order of their ranks, the leftmost first."""
         if word[:1] == "\0" and word[1:] in self.special:
             return [self.special[word[1:]]]
-        parts: list[str | None] = [self.char[b] for b in word.encode("utf-8", "surrogatepass")]
+        return [self.vocab[p] for p in self.pieces(word) if p in self.vocab]
+
+    def pieces(self, word: str) -> list[str]:
+        parts = list(map(self.char.__getitem__, word.encode("utf-8", "surrogatepass")))
         if not parts:
             return []
         parts[-1] += self.suffix
+        if len(parts) > 48:
+            return self._pieces_of_long(parts)
+        rank, none = self.ranks.get, len(self.ranks)
+        at = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while at and (least := min(at)) < none:
+            k = at.index(least)
+            parts[k] += parts.pop(k + 1)
+            del at[k]
+            if k < len(at):
+                at[k] = rank((parts[k], parts[k + 1]), none)
+            if k:
+                at[k - 1] = rank((parts[k - 1], parts[k]), none)
+        return parts
+
+    def _pieces_of_long(self, parts: list) -> list[str]:
+        """The same with a queue of pairs, for words without end."""
         n, ranks = len(parts), self.ranks
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         queue = [(ranks[p], k, p) for k in range(n - 1) if (p := (parts[k], parts[k + 1])) in ranks]
@@ -109,30 +134,50 @@ class Rules:
                     heapq.heappush(queue, (ranks[p], k, p))
             if before[k] >= 0 and (p := (parts[before[k]], parts[k])) in ranks:
                 heapq.heappush(queue, (ranks[p], before[k], p))
-        return [self.vocab[p] for p in parts if p is not None and p in self.vocab]
+        return [p for p in parts if p is not None]
 
 
 class Coder(dict):
-    """word -> (its ids, its tokens), each joined by spaces; words at hand are kept up to a bound."""
+    """piece of a text between ASCII white space -> (its ids, its tokens), each joined by spaces.
+
+    White space is dropped, no rule looks across it and NFC composes nothing with it, so that a text's tokens are those of its
+    pieces in turn. Pieces and words at hand are kept up to a bound; other words are looked up in the transducer or merged.
+    """
 
     def __init__(self, rules: Rules, lexicon: Transducer) -> None:
-        self.rules, self.lexicon = rules, lexicon
+        self.rules, self.lexicon, self.words = rules, lexicon, {}
+        self.number = {token: str(i) for token, i in rules.vocab.items()}
+        self.whole = all(c in rules.vocab and c + rules.suffix in rules.vocab for c in rules.char.values())
 
-    def __missing__(self, word: str) -> tuple[str, str]:
-        if len(self) >= AT_HAND:
-            self.clear()
+    def _word(self, word: str) -> tuple[str, str]:
+        if len(self.words) >= AT_HAND:
+            self.words.clear()
         ids = self.lexicon(word)
-        if ids is None:
+        if ids is None and (not self.whole or word[0] == "\0"):
             ids = self.rules.merged(word)
-        found = " ".join(map(str, ids)), " ".join(self.rules.token[i] for i in ids)
+        if ids is None:
+            pieces = self.rules.pieces(word)
+            found = " ".join(map(self.number.__getitem__, pieces)), " ".join(pieces)
+        else:
+            found = " ".join(map(str, ids)), " ".join(map(self.rules.token.__getitem__, ids))
         if len(word) <= 64:
-            self[word] = found
+            self.words[word] = found
+        return found
+
+    def __missing__(self, piece: bytes) -> tuple[str, str]:
+        if len(self) >= AT_HAND:
+            self.clear()
+        pairs = [self.words.get(w) or self._word(w) for w in self.rules.words(_text(piece))]
+        pairs = [p for p in pairs if p[0]]
+        found = pairs[0] if len(pairs) == 1 else (" ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]))
+        if len(piece) <= 64:
+            self[piece] = found
         return found
 
-    def encode(self, text: str) -> tuple[str, str]:
+    def encode(self, text: bytes) -> tuple[str, str]:
         """The decimal ids of a text and its decoded text, each joined by spaces."""
-        pairs = [self[w] for w in self.rules.words(text)]
-        return " ".join([p[0] for p in pairs if p[0]]), " ".join([p[1] for p in pairs if p[0]])
+        pairs = [p for p in map(self.__getitem__, text.split()) if p[0]]
+        return " ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
 
 
 def decode(ids: list[int], rules: Rules) -> str:
@@ -149,11 +194,15 @@ def _counts(spec):
         rules, seen = Rules(spec.value), Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            words = Counter()
+            for piece, n in seen.items():
+                for word in rules.words(_text(piece)):
+                    words[word] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update(rules.words(_text(text)))
+                seen.update((text or b"").split())
                 if len(seen) >= COUNTED:
                     yield out()
                     seen.clear()
@@ -178,7 +227,7 @@ def _coded(spec, lexicon, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec, lexicon)
         for batch in batches:
-            rows = [coder.encode(_text(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = [coder.encode(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             out = {
                 "n_tokens": pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in rows], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string()),
