@@ -63,8 +63,8 @@ def _plain(name: str, f: Callable) -> None:
 
 div = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
 truth = lambda c, missing=False: F.coalesce(c, F.lit(missing))
-both = lambda a, b, c: F.when(a.isNotNull() & b.isNotNull(), c)
-num = lambda c: c.cast("double")
+both = lambda a, b, c: F.when(_c(a).isNotNull() & _c(b).isNotNull(), c)
+num = lambda c: _c(c).cast("double")
 
 for _name, _f in {
     "Add": lambda a, b: num(a) + num(b), "Sub": lambda a, b: num(a) - num(b), "Mul": lambda a, b: num(a) * num(b), "Div": div,
@@ -291,7 +291,10 @@ def _(fr, x, n):
 
 
 # operators over the cross-section of a date: their windows are of a date's rows
-_day = Window.partitionBy("date")
+def _day():
+    return Window.partitionBy("date")
+
+
 
 
 def _cross(name: str, f: Callable) -> None:
@@ -303,32 +306,32 @@ def _ranked(x: Column) -> Column:
     return F.when(x.isNotNull(), F.rank().over(w) + (F.count(x).over(w.rangeBetween(0, 0)) - 1) / 2)
 
 
-_cross("CsMean", lambda x: F.avg(x).over(_day))
-_cross("CsSum", lambda x: F.sum(x).over(_day))
-_cross("CsStd", lambda x: F.stddev_pop(x).over(_day))
-_cross("CsMax", lambda x: F.max(x).over(_day))
-_cross("CsMin", lambda x: F.min(x).over(_day))
-_cross("CsCount", lambda x: num(F.count(x).over(_day)))
-_cross("CsMedian", lambda x: F.percentile(x, 0.5).over(_day))
-_cross("Demean", lambda x: x - F.avg(x).over(_day))
-_cross("ZScore", lambda x: div(x - F.avg(x).over(_day), F.stddev_pop(x).over(_day)))
-_cross("CsZScore", lambda x: div(x - F.avg(x).over(_day), F.stddev_samp(x).over(_day)))
-_cross("CsPctRank", lambda x: div(_ranked(x), F.count(x).over(_day)))
-_cross("CsRankNorm", lambda x: (div(_ranked(x), F.count(x).over(_day)) - 0.5) * 3.46)
-_cross("CsFill", lambda x: F.coalesce(x, F.avg(x).over(_day)))
+_cross("CsMean", lambda x: F.avg(x).over(_day()))
+_cross("CsSum", lambda x: F.sum(x).over(_day()))
+_cross("CsStd", lambda x: F.stddev_pop(x).over(_day()))
+_cross("CsMax", lambda x: F.max(x).over(_day()))
+_cross("CsMin", lambda x: F.min(x).over(_day()))
+_cross("CsCount", lambda x: num(F.count(x).over(_day())))
+_cross("CsMedian", lambda x: F.percentile(x, 0.5).over(_day()))
+_cross("Demean", lambda x: x - F.avg(x).over(_day()))
+_cross("ZScore", lambda x: div(x - F.avg(x).over(_day()), F.stddev_pop(x).over(_day())))
+_cross("CsZScore", lambda x: div(x - F.avg(x).over(_day()), F.stddev_samp(x).over(_day())))
+_cross("CsPctRank", lambda x: div(_ranked(x), F.count(x).over(_day())))
+_cross("CsRankNorm", lambda x: (div(_ranked(x), F.count(x).over(_day())) - 0.5) * 3.46)
+_cross("CsFill", lambda x: F.coalesce(x, F.avg(x).over(_day())))
 _cross("CsOrdinal", lambda x: F.when(x.isNotNull(), num(F.row_number().over(Window.partitionBy("date", x.isNull()).orderBy(x, "instrument")))))
 _cross("CsDense", lambda x: F.when(x.isNotNull(), num(F.dense_rank().over(Window.partitionBy("date", x.isNull()).orderBy(x)))))
 _cross("CsMinRank", lambda x: F.when(x.isNotNull(), num(F.rank().over(Window.partitionBy("date", x.isNull()).orderBy(x)))))
 _cross("CsMaxRank", lambda x: F.when(x.isNotNull(), num(F.count(x).over(Window.partitionBy("date", x.isNull()).orderBy(x).rangeBetween(Window.unboundedPreceding, 0)))))
 _cross("Top", lambda x, n: truth(F.when(x.isNotNull(), F.row_number().over(Window.partitionBy("date", x.isNull()).orderBy(x.desc(), "instrument")) <= n)))
 _cross("Bottom", lambda x, n: truth(F.when(x.isNotNull(), F.row_number().over(Window.partitionBy("date", x.isNull()).orderBy(x, "instrument")) <= n)))
-_cross("PercentileBetween", lambda x, lo, hi: truth((x >= F.percentile(x, lo / 100).over(_day)) & (x <= F.percentile(x, hi / 100).over(_day))))
+_cross("PercentileBetween", lambda x, lo, hi: truth((x >= F.percentile(x, lo / 100).over(_day())) & (x <= F.percentile(x, hi / 100).over(_day()))))
 
 
 @operator("Winsorize", True)
 def _(fr, x, low, high):
     """Clamps to the order statistics int(low * n) and n - 1 - int((1 - high) * n) of the date."""
-    a = F.array_sort(F.collect_list(num(x)).over(_day))
+    a = F.array_sort(F.collect_list(num(x)).over(_day()))
     n = F.size(a)
     at = lambda p: F.get(a, p)
     lo, hi = at(F.floor(low * n).cast("int")), at((n - 1 - F.floor((1 - high) * n)).cast("int"))
@@ -338,7 +341,7 @@ def _(fr, x, low, high):
 @operator("Quantiles", True)
 def _(fr, x, bins):
     """Label 0 to bins - 1 by linearly interpolated edges, closed on the right; -1 without a value."""
-    edges = [F.percentile(num(x), k / bins).over(_day) for k in range(1, bins)]
+    edges = [F.percentile(num(x), k / bins).over(_day()) for k in range(1, bins)]
     label = sum(((num(x) > e).cast("int") for e in edges), F.lit(0))
     return num(F.when(x.isNotNull(), label).otherwise(-1))
 
@@ -346,8 +349,8 @@ def _(fr, x, bins):
 @operator("RobustZ", True)
 def _(fr, x):
     """(x - median) / (1.4826 * median absolute deviation) of the date, clipped to +-3. The median of deviations needs a stage of its own."""
-    m = F.percentile(num(x), 0.5).over(_day)
-    a = F.transform(F.collect_list(num(x)).over(_day), lambda v: F.abs(v - m))
+    m = F.percentile(num(x), 0.5).over(_day())
+    a = F.transform(F.collect_list(num(x)).over(_day()), lambda v: F.abs(v - m))
     s, n = F.array_sort(a), F.size(a)
     mad = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
     return F.when(x.isNotNull(), F.least(F.greatest(div(num(x) - m, mad * 1.4826), F.lit(-3.0)), F.lit(3.0)))

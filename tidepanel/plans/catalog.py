@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.planner import computed
+from ..operators import asof, evaluate, portfolio, records, recursive, returns, signals
+from ..streaming import bars as stream
 from ..sources import panels
 from . import formulas as f
+from . import oracles
 from .sql import formula_sql
 
 DIGITS = 6
@@ -48,12 +51,201 @@ def _formula_query(columns: dict[str, str], strict: bool) -> Callable[[SparkSess
     return run
 
 
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.bars(spark, sf_dir)
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries above, exits below the mean of five closes by a twentieth."""
+    terms = {"entry": "$close > Mean($close, 5) * 1.05", "exit": "$close < Mean($close, 5) * 0.95"}
+    return computed(_bars(spark, sf_dir), terms, keep=("instrument", "date", "open", "high", "low", "close"))
+
+
+def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its user's latest order so far."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("user_id"), "o_orderdate", "o_totalprice", "o_orderkey")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts")
+    last = o.groupBy("user_id", "o_orderdate").agg(F.max(F.struct("o_orderkey", "o_totalprice")).alias("x")).select("user_id", "o_orderdate", "x.o_totalprice")
+    return asof.asof_backward(e, last, "user_id", "ts", "o_orderdate", ["o_totalprice"])
+
+
+def asof_next_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with its customer's next event's time and value."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "value")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("user_id"), "o_orderkey", "o_orderdate")
+    return asof.asof_forward(o, e, "user_id", "o_orderdate", "ts", "value")
+
+
+def records_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of months that close above their open, with durations."""
+    return records.duration(records.ranges(_bars(spark, sf_dir), F.col("close") > F.col("open")))
+
+
+def records_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _bars(spark, sf_dir)
+    return rounded(records.coverage(records.ranges(rows, F.col("close") > F.col("open")), rows))
+
+
+def records_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _bars(spark, sf_dir)
+    return records.mask_of(records.ranges(rows, F.col("close") > F.col("open")), rows)
+
+
+def records_drawdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(records.drawdown_measures(records.drawdowns(_bars(spark, sf_dir))))
+
+
+def records_top_drawdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three deepest drawdowns of each instrument."""
+    found = records.drawdown_measures(records.drawdowns(_bars(spark, sf_dir)))
+    return rounded(records.top_n(found, "drawdown", 3, largest=False).select("instrument", "id", "peak_idx", "valley_idx", "drawdown"))
+
+
+def records_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(records.described(_bars(spark, sf_dir)))
+
+
+def signals_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.cleaned(_signals(spark, sf_dir)).select("instrument", "date", "entry", "exit")
+
+
+def signals_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.partition_ranks(_signals(spark, sf_dir)).select("instrument", "date", "pos_rank", "part_rank")
+
+
+def signals_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.between(_signals(spark, sf_dir))
+
+
+def signals_between_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.between_two(_signals(spark, sf_dir))
+
+
+def signals_back_to_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.between_two(_signals(spark, sf_dir), from_other=True)
+
+
+def signals_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(signals.index_measures(_signals(spark, sf_dir), n=2))
+
+
+def signals_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exits of entries by a trailing stop of a tenth or a gain of a fifth."""
+    out = signals.stop_exits(_signals(spark, sf_dir), stop=0.1, take=0.2, trailing=True)
+    return out.where(F.col("stop_price").isNotNull()).select("instrument", "date", "stop_price", "stop_type")
+
+
+def signals_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _bars(spark, sf_dir).select("instrument", "date")
+    one = signals.n_random_entries(rows, 3, 7).withColumnRenamed("entry", "three")
+    return signals.random_entries(one, 0.1, 7)
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = returns.with_returns(_bars(spark, sf_dir).select("instrument", "date", "close"))
+    return rows.join(returns.market_return(rows), "date", "left")
+
+
+def returns_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(returns.summary(_returns(spark, sf_dir), year=12.0))
+
+
+def returns_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(returns.with_drawdown(_returns(spark, sf_dir)).select("instrument", "date", "cum_return", "drawdown"))
+
+
+def returns_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every measure over twelve months."""
+    return rounded(returns.rolling(_returns(spark, sf_dir), 12, year=12.0))
+
+
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return computed(_bars(spark, sf_dir), {"p": f.CORE["MA5"], "y": f.LABELS["label_1d"]}, strict=True)
+
+
+def evaluate_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.daily_ic(_predicted(spark, sf_dir), "p", "y"))
+
+
+def evaluate_ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.ic_summary(evaluate.daily_ic(_predicted(spark, sf_dir), "p", "y")))
+
+
+def evaluate_long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.long_short(_predicted(spark, sf_dir), "p", "y"))
+
+
+def evaluate_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.autocorrelation(_predicted(spark, sf_dir), "p"))
+
+
+def evaluate_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = evaluate.long_short(_predicted(spark, sf_dir), "p", "y").select("date", "long_short")
+    return rounded(evaluate.risk(daily, "long_short", 12))
+
+
+def recursive_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recursive.ewm(_bars(spark, sf_dir).select("instrument", "date", "close"), "close", span=10).select("instrument", "date", "ewm_mean", "ewm_std"))
+
+
+def recursive_trend_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recursive.trend_labels(_bars(spark, sf_dir).select("instrument", "date", "close"), "close", 0.2, 0.2))
+
+
+def recursive_breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recursive.breakout_labels(_bars(spark, sf_dir).select("instrument", "date", "close"), "close", 5, 0.1, 0.1))
+
+
+def portfolio_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(portfolio.from_signals(_signals(spark, sf_dir), 10_000.0, portfolio.Costs(fee=0.001, slippage=0.001)))
+
+
+def portfolio_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fills = portfolio.from_signals(_signals(spark, sf_dir), 10_000.0, portfolio.Costs(fee=0.001))
+    return rounded(portfolio.values(fills, _bars(spark, sf_dir), 10_000.0))
+
+
+def portfolio_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(portfolio.trades(portfolio.from_signals(_signals(spark, sf_dir), 10_000.0, portfolio.Costs(fee=0.001))))
+
+
+def portfolio_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best scores of each month, weighed alike, with the next month's return and turnover."""
+    rows = computed(_bars(spark, sf_dir), {"score": f.CORE["ROC5"], "r": "Ref($close, -1) / $close - 1"}, strict=True)
+    return rounded(portfolio.rebalanced(portfolio.topk_rotation(rows, 10), rows.select("instrument", "date", "r"), 0.001))
+
+
+def stream_bars_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of six hours of all ticks, by the function that makes them of a stream."""
+    return rounded(stream.bars(panels.ticks(spark, sf_dir).withColumnRenamed("close", "price"), "6 hours"))
+
+
+def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 158 columns of the wide feature set."""
+    return rounded(computed(_bars(spark, sf_dir), f.wide_features()))
+
+
+def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lags of prices and volumes, twelve of each."""
+    return rounded(computed(_bars(spark, sf_dir), f.lag_features(12)))
+
+
+_PLAIN = [
+    wide_features, lag_features,
+    asof_orders, asof_next_order, records_ranges, records_coverage, records_mask, records_drawdowns, records_top_drawdowns, records_described, signals_clean, signals_ranks, signals_between,
+    signals_between_two, signals_back_to_entry, signals_index, signals_stops, signals_random, returns_summary, returns_drawdown, returns_rolling, evaluate_ic, evaluate_ic_summary, evaluate_long_short,
+    evaluate_autocorrelation, evaluate_risk, recursive_ewm, recursive_trend_labels, recursive_breakout, portfolio_fills, portfolio_values, portfolio_trades, portfolio_topk, stream_bars_batch,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _formula_query(*group) for name, group in GROUPS.items()}
+    return {name: _formula_query(*group) for name, group in GROUPS.items()} | {q.__name__: q for q in _PLAIN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: rounded_sql(formula_sql(panels.BARS_SQL, columns, strict=strict)) for name, (columns, strict) in GROUPS.items()}
+    return {name: rounded_sql(formula_sql(panels.BARS_SQL, columns, strict=strict)) for name, (columns, strict) in GROUPS.items()} | oracles.SQL | {
+        "wide_features": rounded_sql(formula_sql(panels.BARS_SQL, f.wide_features())), "lag_features": rounded_sql(formula_sql(panels.BARS_SQL, f.lag_features(12))),
+    }
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
