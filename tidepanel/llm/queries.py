@@ -98,9 +98,45 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+_OP2 = """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
+  FROM c GROUP BY conv_id"""
+
+_OP7 = """WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+  r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM u),
+  k AS (SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow' END AS kind,
+    CASE WHEN regexp_matches(parts[1], '[0-9]') THEN '*' ELSE coalesce(parts[1], '') END AS t1, CASE WHEN regexp_matches(parts[2], '[0-9]') THEN '*' ELSE coalesce(parts[2], '') END AS t2,
+    CASE WHEN len(parts) > 2 THEN '**' ELSE '' END AS rest FROM r),
+  l AS (SELECT *, CASE kind WHEN 'block' THEN 1 WHEN 'allow' THEN 0 ELSE CAST(list_has_any(string_split_regex(host, '[.-]'), ['adult', 'ads', 'bets', 'casino', 'pills', 'porn', 'spam', 'warez']) AS INT) END AS label FROM k),
+  c AS (SELECT host, t1, t2, rest, count(label) AS n, coalesce(sum(label), 0) AS bad FROM l GROUP BY ALL),
+  f AS (SELECT *, CASE WHEN t1 <> '' AND count(DISTINCT t1) OVER (PARTITION BY host) > 32 THEN '*' ELSE t1 END AS g1 FROM c),
+  g AS (SELECT *, CASE WHEN t2 <> '' AND count(DISTINCT t2) OVER (PARTITION BY host, g1) > 32 THEN '*' ELSE t2 END AS g2 FROM f),
+  s AS (SELECT *, concat_ws('/', g2, rest) AS leaf FROM g),
+  b AS (SELECT *, sum(n) OVER (PARTITION BY host, g1, leaf) AS bn, sum(bad) OVER (PARTITION BY host, g1, leaf) AS bb, sum(n) OVER (PARTITION BY host, g1) AS pn, sum(bad) OVER (PARTITION BY host, g1) AS pb,
+    sum(n) OVER (PARTITION BY host) AS hn, sum(bad) OVER (PARTITION BY host) AS hb FROM s),
+  m AS (SELECT *, CASE WHEN coalesce(abs(bb / nullif(bn, 0) - pb / nullif(pn, 0)) <= 1.96 * sqrt(pb / nullif(pn, 0) * (1 - pb / nullif(pn, 0)) / greatest(bn, 1)), TRUE) THEN '~' ELSE leaf END AS leaf_pool,
+    CASE WHEN coalesce(abs(pb / nullif(pn, 0) - hb / nullif(hn, 0)) <= 1.96 * sqrt(hb / nullif(hn, 0) * (1 - hb / nullif(hn, 0)) / greatest(pn, 1)), TRUE) THEN '~' ELSE g1 END AS g1_pool FROM b),
+  t AS (SELECT host, t1, t2, rest, concat_ws('/', host, g1, leaf) AS template, (sum(bad) OVER w + 0.1) / CAST(sum(n) OVER w + 1 AS DOUBLE) AS purity FROM m WINDOW w AS (PARTITION BY host, g1_pool, leaf_pool))
+  SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, CAST(purity AS DOUBLE) AS purity FROM l JOIN t USING (host, t1, t2, rest)"""
+
+_OP8 = r"""WITH d AS (SELECT source, lang, coalesce(regexp_replace(text, 'Released under the [A-Za-z0-9. ]*License\.?', '', 'g'), '') AS cut FROM documents),
+  n AS (SELECT source, lang, len(regexp_extract_all(cut, '[^\x20\x09-\x0D]+')) AS a, len(regexp_extract_all(cut, '[A-Za-z0-9\x80-\x{10FFFF}]+|[!-/:-@\[-`{-~]')) AS b FROM d),
+  t AS (SELECT source, lang, 'words-1' AS tokenizer, a, a AS tokens FROM n UNION ALL SELECT source, lang, 'words-2', a, b FROM n)
+  SELECT source, lang, tokenizer, CAST(count(*) FILTER (a > 0) AS BIGINT) AS docs, CAST(coalesce(sum(tokens) FILTER (a > 0), 0) AS BIGINT) AS tokens FROM t GROUP BY 1, 2, 3"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL: MinHash and union-find, tree search, container bytes, boosting, random rounding, BPE. Tests hold them against brute force."""
+    return {"op2_chat": _OP2, "op7_urls": _OP7, "op8_rollups": _OP8}
