@@ -105,3 +105,23 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 103), (103, 101), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
     assert got == {k: 0 for k in range(1, 41)} | {101: 100, 103: 100}
+
+
+def test_components_of_many_partitions(spark, monkeypatch):
+    from tidepanel.llm import components as module
+
+    monkeypatch.setattr(module, "PART", 40)
+    rng = random.Random(1)
+    edges = [(k, k + 1) for k in range(0, 200)] + [(1000, k) for k in range(1001, 1200)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
+    rng.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9), "a", "b").collect()}
+    assert got == {x: root(x) for x in parent if root(x) != x}

@@ -53,11 +53,8 @@ def _nearer(p: str, q: str, similarity: float) -> Column:
     return apart <= int(64 * SKETCH[1] * (1 - similarity + SLACK[1]) / 2)
 
 
-def _pairs(pairs: DataFrame, sizes: DataFrame | None, sized: Column, tested: DataFrame | None) -> DataFrame:
+def _pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    if sizes is not None:
-        pairs = pairs.join(sizes.select(F.col("node").alias("a"), "n"), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
-        pairs = pairs.where(sized).select("a", "b")
     return store.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
@@ -96,7 +93,7 @@ def resolved(
     for r in range(1, ROUNDS + 1):
         turn = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(r)), "a"))
         pairs = pairs.distinct().withColumn("turn", turn).where(F.col("turn") <= TESTS)  # a node has as many rows as keys at most
-        pairs = _pairs(pairs, sizes, sized, tested)
+        pairs = _pairs(pairs, tested)
         good = links(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         # what is known of components stands for the links that made them
@@ -130,6 +127,6 @@ def resolved(
     common = F.filter(F.zip_with("parts", "others", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     rest = left.join(right, "key").where(differ & (F.get(common, F.lit(0)) == F.col("key")))
     rest = rest.select("a", "b", "sketch", "drawn").where(_nearer("sketch", "drawn", similarity))
-    good = links(_pairs(rest, None, sized, tested))
+    good = links(_pairs(rest, tested))
     linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
     return store.written(components(linked, "a", "b"), "components")

@@ -1,29 +1,65 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components: distributed union-find, joined by large-star and small-star steps (Kiveris et al., 2014)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 
+#: Edges of a partition's union-find.
+PART = 250_000
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges (a, b) of a partition: (a, b) from every node to the least one of its part."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        at = x
+        while (up := parent.get(at, at)) != at:
+            at = up
+        while (up := parent.get(x, x)) != at:
+            parent[x], x = at, up
+        return at
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    roots = [root(x) for x in nodes]
+    pairs = [(x, r) for x, r in zip(nodes, roots) if x != r]
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, component) for every node of an edge; component is the smallest node reachable.
+    """(node, component) for every node that edges join to a smaller one; component is the smallest node reachable.
 
-    Each step is a map-side combined minimum by node and an equi-join on the node, so that a node
-    that holds a large part of the edges is split by adaptive skew handling, and nothing but a
-    row count and a checksum reaches the driver. Edges from a node to itself and edges with a null
-    end are left out. Each round's edges are written, and the round before is deleted.
+    Each partition of about PART edges is first replaced by a forest of its union-find, which is all there is to do if there is
+    only one. Else large-star and small-star steps join the forests: each is a map-side combined minimum by node and an equi-join on
+    the node, so that a node that holds a large part of the edges is split by adaptive skew handling, and nothing but a row count and a
+    checksum reaches the driver. Edges from a node to itself and edges with a null end are left out. Each round's edges are written,
+    and the round before is deleted.
     """
     a, b = F.col(left), F.col(right)
-    edges = store.written(
-        edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges"
-    )
+    given = store.written(edges.where(a != b).select(a.cast("long").alias("a"), b.cast("long").alias("b")), "edges")
+    parts = max(1, -(-given.count() // PART))
+    forest = given.coalesce(parts) if parts < given.rdd.getNumPartitions() else given
+    whole = parts == 1
+    edges = store.written(forest.mapInArrow(_forest, "a long, b long"), "edges")
+    store.drop(given)
+    if whole:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    edges = store.written(edges.distinct(), "edges")
     mark = _mark(edges)
     while mark[0]:
         both = edges.union(edges.select("b", "a"))
