@@ -58,6 +58,23 @@ def _pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
     return store.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """(key, c, low, high, x) of the keys with more than one node: rows, least and greatest node, exclusive or of all nodes."""
+    counted = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor("node").alias("x"))
+    return counted.where("low < high")
+
+
+def _of_small(counted: DataFrame) -> DataFrame:
+    """All pairs (a, b) of the keys with two or three rows, read off the counts: the third node is what the exclusive or holds
+    besides the least and the greatest."""
+    mid = F.col("x").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    third = (F.col("c") == 3) & (mid != F.col("low")) & (mid != F.col("high"))
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    low, high = F.col("low"), F.col("high")
+    pairs = F.when(third, F.array(pair(low, high), pair(low, mid), pair(mid, high))).otherwise(F.array(pair(low, high)))
+    return counted.where("c <= 3").select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+
+
 def resolved(
     keys: DataFrame,
     parts: DataFrame,
@@ -74,7 +91,7 @@ def resolved(
     parts has (node, parts), arrays of one length: two nodes that share a key share a value at some place of them. links()
     takes pairs (a, b) and returns those that are linked; sized says of sizes n and m whether a pair can be. sizes has (node, n).
 
-    In a round each bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
+    Buckets of two or three rows are compared whole at first. In a round each other bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
     hashes, which change from round to round), and each node is compared TESTS times at most, so that a group of copies gets a few comparisons for each member and
     bucket. Buckets whose members are of one component by then are closed: nothing is left to learn from them. When the pairs that are
     open, across components, are few, or after ROUNDS rounds, all of them are held against each other by sketches that
@@ -83,17 +100,19 @@ def resolved(
     """
     mask = lambda r: F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(r))
     lead = lambda rows, r, *more: rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask(r))).alias("a"), *more).withColumn("a", F.col("a").bitwiseXOR(mask(r)))
-    first = lead(keys, 0, F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "a")
-    first = store.written(first, "first")
-    buckets = store.written(keys.join(store.small(first), "key"), "buckets")
+    first = store.written(_counted(keys), "counted")
+    buckets = keys.join(store.small(first.where("c > 3").select("key")), "key").select("key", "node").distinct()
+    buckets = store.written(buckets, "buckets")
     bucketed()
-    store.drop(first)
+    second = store.written(_counted(buckets), "counted")
+    small = _of_small(first).union(_of_small(second))
+    buckets = store.written(buckets.join(store.small(second.where("c > 3").select("key")), "key").select("key", "node"), "buckets")
     tested = found = None
-    pairs = buckets.where("a != node").select("a", F.col("node").alias("b"))
+    pairs = buckets.join(lead(buckets, 0), "key").where("a != node").select("a", F.col("node").alias("b"))
     for r in range(1, ROUNDS + 1):
         turn = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(r)), "a"))
         pairs = pairs.distinct().withColumn("turn", turn).where(F.col("turn") <= TESTS)  # a node has as many rows as keys at most
-        pairs = _pairs(pairs, tested)
+        pairs = _pairs(pairs.select("a", "b").union(small) if r == 1 else pairs, tested)
         good = links(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         # what is known of components stands for the links that made them

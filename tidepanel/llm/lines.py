@@ -210,7 +210,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     name, gone = store.unused(docs, "of_id"), store.unused(docs, "drops")
     drops = repeated_lines(docs, id_col, text_col, **options).select(F.col("id").alias(name), F.col("drops").alias(gone))
     columns = [docs[f"`{c}`"] for c in docs.columns]
-    joined = docs.join(drops, docs[id_col].cast("long") == drops[name], "left").select(*columns, drops[gone])
+    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col].cast("long") == drops[name], "left").select(*columns, drops[gone])
     schema = docs.select(*columns).schema
     if counts:
         schema = docs.select(*columns, F.lit(0).cast("long").alias("_lines"), F.lit(0).cast("long").alias("_dropped")).schema
