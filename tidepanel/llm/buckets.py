@@ -23,7 +23,7 @@ SKETCH, SLACK = (16, 64), (0.1, 0.05)
 
 def sketcher(shingles: Callable) -> Callable:
     """For mapInArrow over (id, text): (node, sketch), 4096 one-bit minhashes of the shingles of each text that has any."""
-    factors = np.random.default_rng(53).integers(0, 2**31, (64 * SKETCH[1], 1), dtype=np.uint32) * 2 + 1
+    factors = np.random.default_rng(53).integers(0, 2**31, 64 * SKETCH[1], dtype=np.uint32) * 2 + 1
 
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,7 +34,9 @@ def sketcher(shingles: Callable) -> Callable:
                 if len(found):
                     ids.append(node)
                     low = (found >> np.uint64(32)).astype(np.uint32)
-                    least = np.min([(low[k : k + 512] * factors).min(1) for k in range(0, len(low), 512)], 0)
+                    least = np.full(len(factors), 2**32 - 1, np.uint32)
+                    for value in low:  # all hashes of a shingle at once, which stay in the cache
+                        np.minimum(least, factors * value, out=least)
                     out.append(np.packbits((least ^ (least >> np.uint32(15))) & np.uint32(1) != 0).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "sketch"])
 
@@ -94,9 +96,9 @@ def resolved(
     Buckets of two or three rows are compared whole at first. In a round each other bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
     hashes, which change from round to round), and each node is compared TESTS times at most, so that a group of copies gets a few comparisons for each member and
     bucket. Buckets whose members are of one component by then are closed: nothing is left to learn from them. When the pairs that are
-    open, across components, are few, or after ROUNDS rounds, all of them are held against each other by sketches that
-    sketches() makes of the open nodes (id), each pair at its first common part, and those that may reach the similarity are
-    compared. So every pair of a bucket whose link could change a component is looked at, and there is no cap.
+    open, across components, are few, all of them are compared. If they are many after ROUNDS rounds, they are held against each other by
+    sketches that sketches() makes of the open nodes (id), each pair at its first common part, and those that may reach the
+    similarity are compared. So every pair of a bucket whose link could change a component is looked at, and there is no cap.
     """
     mask = lambda r: F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(r))
     lead = lambda rows, r, *more: rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask(r))).alias("a"), *more).withColumn("a", F.col("a").bitwiseXOR(mask(r)))
@@ -133,6 +135,12 @@ def resolved(
         pairs = pairs.select("a", F.col("node").alias("b"))
     if not rows:
         return found
+    if open_ <= FEW * rows:
+        other = members.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
+        rest = members.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")))
+        good = links(_pairs(rest.select("a", "b"), tested))
+        linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
+        return store.written(components(linked, "a", "b"), "components")
     nodes = store.written(members.select("node", "c").distinct(), "nodes")
     store.drop(members)
     store.drop(buckets)
