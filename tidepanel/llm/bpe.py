@@ -10,6 +10,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -37,7 +38,9 @@ NEITHER = (
 _NEITHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
 _ODD = regex.compile(f"[{_NEITHER}{''.join(map(chr, CAPITALS))}]")
 #: Words that a worker keeps at hand, and words that it counts before it hands their counts on.
-AT_HAND, COUNTED = 300_000, 250_000
+AT_HAND, COUNTED = 200_000, 250_000
+#: Words of the texts that are coded together, so that their new words are merged at once.
+TOGETHER = 200_000
 
 
 class Rules:
@@ -137,6 +140,73 @@ class Rules:
         return [p for p in parts if p is not None]
 
 
+class Merger:
+    """Merges many words at once: a row of token numbers for each word, in which every step replaces the leftmost pair of the
+    best rank. Pairs are looked up in two hash tables that hold each pair at one of two places."""
+
+    SLOTS = 1 << 17
+
+    def __init__(self, rules: Rules) -> None:
+        self.rules, number = rules, rules.vocab
+        self.usable = max(number.values()) < 1 << 20 and all(a in number and b in number and a + b in number for a, b in rules.ranks)
+        self.first, self.last = ({b: number.get(c + end, -1) for b, c in rules.char.items()} for end in ("", rules.suffix))
+        self.keys, self.ranks = np.full((2, self.SLOTS), -1, np.int64), np.zeros((2, self.SLOTS), np.int64)
+        self.merges = np.array([number.get(a + b, -1) for a, b in rules.ranks], np.int64)
+        if self.usable:
+            self.usable = all(self._put(number[a] << 20 | number[b], k) for (a, b), k in rules.ranks.items())
+
+    def _slot(self, key, table: int):
+        factor = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[table]
+        return ((key.view(np.uint64) * np.uint64(factor)) >> np.uint64(47)).view(np.int64) if isinstance(key, np.ndarray) else (key * factor % (1 << 64)) >> 47
+
+    def _put(self, key: int, rank: int) -> bool:
+        for turn in range(200):
+            at = turn % 2, self._slot(key, turn % 2)
+            old = int(self.keys[at]), int(self.ranks[at])
+            self.keys[at], self.ranks[at] = key, rank
+            if old[0] < 0:
+                return True
+            key, rank = old
+        return False
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        """The token numbers of each word; words have characters."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda k: len(raw[k]))
+        none = len(self.merges)
+        for at in range(0, len(order), 4096):
+            part = order[at : at + 4096]
+            width = len(raw[part[-1]])
+            rows = np.full((len(part), width), -1, np.int64)
+            for k, i in enumerate(part):
+                word = raw[i]
+                rows[k, : len(word)] = [*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]]
+            left = np.array(part)
+            while len(left):
+                if rows.shape[1] > 1:
+                    key = rows[:, :-1] << 20 | rows[:, 1:]
+                    rank = np.full(key.shape, none, np.int64)
+                    for table in (0, 1):
+                        slot = self._slot(key, table)
+                        np.copyto(rank, self.ranks[table][slot], where=self.keys[table][slot] == key)
+                    rank[rows[:, 1:] < 0] = none
+                    best = rank.argmin(1)
+                    least = rank[np.arange(len(rank)), best]
+                else:
+                    least = np.full(len(left), none)
+                done = least == none
+                for i, row in zip(left[done].tolist(), rows[done].tolist()):
+                    out[i] = [x for x in row if x >= 0]
+                left, rows = left[~done], rows[~done]
+                if len(left):
+                    best = best[~done]
+                    rows[np.arange(len(rows)), best] = self.merges[least[~done]]
+                    column = np.arange(rows.shape[1] - 1)
+                    rows = np.take_along_axis(rows, column + (column > best[:, None]), 1)
+        return out
+
+
 class Coder(dict):
     """piece of a text between ASCII white space -> (its ids, its tokens), each joined by spaces.
 
@@ -145,39 +215,60 @@ class Coder(dict):
     """
 
     def __init__(self, rules: Rules, lexicon: Transducer) -> None:
-        self.rules, self.lexicon, self.words = rules, lexicon, {}
-        self.number = {token: str(i) for token, i in rules.vocab.items()}
-        self.whole = all(c in rules.vocab and c + rules.suffix in rules.vocab for c in rules.char.values())
-
-    def _word(self, word: str) -> tuple[str, str]:
-        if len(self.words) >= AT_HAND:
-            self.words.clear()
-        ids = self.lexicon(word)
-        if ids is None and (not self.whole or word[0] == "\0"):
-            ids = self.rules.merged(word)
-        if ids is None:
-            pieces = self.rules.pieces(word)
-            found = " ".join(map(self.number.__getitem__, pieces)), " ".join(pieces)
-        else:
-            found = " ".join(map(str, ids)), " ".join(map(self.rules.token.__getitem__, ids))
-        if len(word) <= 64:
-            self.words[word] = found
-        return found
-
-    def __missing__(self, piece: bytes) -> tuple[str, str]:
-        if len(self) >= AT_HAND:
+        self.rules, self.lexicon, self.words, self.merger = rules, lexicon, {}, Merger(rules)
+        self.number = {i: str(i) for i in rules.token}
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts the words at hand."""
+        rest, ids = [], {}
+        for word in words:
+            found = self.lexicon(word)
+            if found is not None:
+                ids[word] = found
+            elif self.merger.usable and word[0] != "\0" and len(word) <= 48:
+                rest.append(word)
+            else:
+                ids[word] = self.rules.merged(word)
+        ids |= zip(rest, self.merger(rest))
+        number, token = self.number.__getitem__, self.rules.token.__getitem__
+        for word, found in ids.items():
+            self.words[word] = " ".join(map(number, found)), " ".join(map(token, found))
+
+    def prepare(self, pieces: list[bytes]) -> None:
+        """Puts the pieces at hand, all that are new at once."""
+        new = {p for p in pieces if p not in self}
+        if len(self) + len(new) > AT_HAND:
             self.clear()
-        pairs = [self.words.get(w) or self._word(w) for w in self.rules.words(_text(piece))]
-        pairs = [p for p in pairs if p[0]]
-        found = pairs[0] if len(pairs) == 1 else (" ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs]))
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
+            new = set(pieces)
+        if len(self.words) > AT_HAND:
+            self.words.clear()
+        split = {p: self.rules.words(_text(p)) for p in new}
+        self._learn({w for words in split.values() for w in words if w not in self.words})
+        at_hand = self.words
+        for piece, words in split.items():
+            if len(words) == 1:
+                self[piece] = at_hand[words[0]]
+            else:
+                pairs = [x for w in words if (x := at_hand[w])[0]]
+                self[piece] = " ".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs])
+
+    def encode_all(self, texts: list[bytes | None]) -> Iterator[tuple[str, str]]:
+        """The decimal ids and the decoded text of each text, each joined by spaces."""
+        first = 0
+        while first < len(texts):
+            split, last, n = [], first, 0
+            while last < len(texts) and (n < TOGETHER or last == first):
+                split.append((texts[last] or b"").split())
+                n += len(split[-1])
+                last += 1
+            self.prepare([p for words in split for p in words])
+            for words in split:
+                pairs = [x for x in map(self.__getitem__, words) if x[0]]
+                yield " ".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs])
+            first = last
 
     def encode(self, text: bytes) -> tuple[str, str]:
-        """The decimal ids of a text and its decoded text, each joined by spaces."""
-        pairs = [p for p in map(self.__getitem__, text.split()) if p[0]]
-        return " ".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])
+        return next(self.encode_all([text]))
 
 
 def decode(ids: list[int], rules: Rules) -> str:
@@ -227,7 +318,7 @@ def _coded(spec, lexicon, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec, lexicon)
         for batch in batches:
-            rows = [coder.encode(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = list(coder.encode_all(batch.column(1).cast(pa.binary()).to_pylist()))
             out = {
                 "n_tokens": pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in rows], pa.int64()),
                 "ids_sha256": pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string()),

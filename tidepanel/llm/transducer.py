@@ -5,9 +5,13 @@ from __future__ import annotations
 import mmap
 import struct
 import tempfile
+import zlib
 
 import numpy as np
 
+#: Bits of the filter before the automaton.
+BITS = 1 << 20
+
 
 def compiled(lexicon: dict[str, list[int]]) -> bytes:
     """The automaton of the words (UTF-8 bytes), suffixes shared, as bytes.
@@ -58,8 +62,11 @@ def compiled(lexicon: dict[str, list[int]]) -> bytes:
     finals = np.array([s[0] for s in states], np.uint8).tobytes()
     starts = np.concatenate(([0], np.cumsum([len(ids) for _, ids in words]))) if words else np.zeros(1)
     parts = [np.array(firsts, np.uint32), np.array(targets, np.uint32), np.array(skips, np.uint32), starts.astype(np.uint32), np.array([i for _, ids in words for i in ids], np.uint32)]
-    raw = [p.tobytes() for p in parts] + [bytes(labels), finals]
-    return struct.pack("<8I", root, *map(len, raw)) + b"".join(raw)
+    hashes = np.array([zlib.crc32(w) % BITS for w, _ in words], np.int64)
+    bits = np.zeros(BITS, np.uint8)
+    bits[hashes] = 1
+    raw = [p.tobytes() for p in parts] + [bytes(labels), finals, np.packbits(bits, bitorder="little").tobytes()]
+    return struct.pack("<9I", root, *map(len, raw)) + b"".join(raw)
 
 
 class Transducer:
@@ -70,18 +77,22 @@ class Transducer:
             file.write(data)
             file.flush()
             self._map = mmap.mmap(file.fileno(), 0, prot=mmap.PROT_READ)
-        self._root, *sizes = struct.unpack_from("<8I", self._map)
-        view, at, parts = memoryview(self._map), 32, []
+        self._root, *sizes = struct.unpack_from("<9I", self._map)
+        view, at, parts = memoryview(self._map), 36, []
         for k, size in enumerate(sizes):
             parts.append(view[at : at + size].cast("I") if k < 5 else at)
             at += size
-        self._first, self._target, self._skip, self._start, self._ids, self._labels, self._final = parts
+        self._first, self._target, self._skip, self._start, self._ids, self._labels, self._final, self._bits = parts
         self.states = sizes[6]
 
     def __call__(self, word: str) -> list[int] | None:
         """The ids of a word of the lexicon, else None."""
+        raw = word.encode()
+        seen = zlib.crc32(raw) % BITS
+        if not self._map[self._bits + (seen >> 3)] >> (seen & 7) & 1:  # most words that aren't there end here
+            return None
         state, rank, first, find, base = self._root, 0, self._first, self._map.find, self._labels
-        for byte in word.encode():
+        for byte in raw:
             at = find(bytes((byte,)), base + first[state], base + first[state + 1]) - base
             if at < 0:
                 return None
