@@ -18,11 +18,11 @@ ORDERS, TESTS = 4, 6
 ROUNDS, FEW = 2, 4
 #: Words of 64 one-bit minhashes that are looked at first and in all, and by how much less than the threshold they may agree:
 #: 4.8 standard deviations at a similarity of 0.75, which a pair at the threshold exceeds once in a million times.
-SKETCH, SLACK = (16, 64), (0.1, 0.05)
+SKETCH, SLACK = (16, 32), (0.1, 0.07)
 
 
 def sketcher(shingles: Callable) -> Callable:
-    """For mapInArrow over (id, text): (node, sketch), 4096 one-bit minhashes of the shingles of each text that has any."""
+    """For mapInArrow over (id, text): (node, sketch), 2048 one-bit minhashes of the shingles of each text that has any."""
     factors = np.random.default_rng(53).integers(0, 2**31, 64 * SKETCH[1], dtype=np.uint32) * 2 + 1
 
 
@@ -148,12 +148,15 @@ def resolved(
     whole = store.written(nodes.join(parts, "node").join(drawn, "node").join(sizes, "node"), "open")
     at = whole.select("node", "c", F.explode("parts").alias("key"))
     mixed = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = at.join(mixed, "key").select("key", F.col("node").alias("a")).join(whole.withColumnRenamed("node", "a"), "a")
-    right = left.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("parts").alias("others"), F.col("sketch").alias("drawn"), F.col("n").alias("m"))
-    differ = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sized & _near("sketch", "drawn", similarity)
+    # a row for each key carries the first words only
+    thin = whole.select(F.col("node").alias("a"), "c", "n", "parts", F.slice("sketch", 1, SKETCH[0]).alias("words"))
+    left = at.join(mixed, "key").select("key", F.col("node").alias("a")).join(thin, "a")
+    right = left.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("parts").alias("others"), F.col("words").alias("theirs"), F.col("n").alias("m"))
+    differ = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sized & _near("words", "theirs", similarity)
     common = F.filter(F.zip_with("parts", "others", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    rest = left.join(right, "key").where(differ & (F.get(common, F.lit(0)) == F.col("key")))
-    rest = rest.select("a", "b", "sketch", "drawn").where(_nearer("sketch", "drawn", similarity))
+    rest = left.join(right, "key").where(differ & (F.get(common, F.lit(0)) == F.col("key"))).select("a", "b")
+    drawn = whole.select(F.col("node").alias("b"), F.col("sketch").alias("theirs"))
+    rest = rest.join(drawn, "b").join(drawn.select(F.col("b").alias("a"), F.col("theirs").alias("sketch")), "a").where(_nearer("sketch", "theirs", similarity))
     good = links(_pairs(rest, tested))
     linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
     return store.written(components(linked, "a", "b"), "components")

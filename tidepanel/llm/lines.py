@@ -66,7 +66,7 @@ def _signed(size: int, bands: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Bands(bands, rows, seed)
         for batch in batches:
-            ids, ats, sums, found = [], [], [], []
+            ids, ats, found = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 for at, line in enumerate((text or b"").split(b"\n")):
                     if line := normal(line):
