@@ -77,6 +77,12 @@ def _of_small(counted: DataFrame) -> DataFrame:
     return counted.where("c <= 3").select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
+def _picked(rows: DataFrame, r: int) -> DataFrame:
+    """TESTS keys of each node, others in each round; a node has as many rows as keys at most."""
+    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(r)), "key"))
+    return rows.withColumn("turn", turn).where(F.col("turn") <= TESTS).drop("turn")
+
+
 def resolved(
     keys: DataFrame,
     parts: DataFrame,
@@ -94,8 +100,8 @@ def resolved(
     takes pairs (a, b) and returns those that are linked; sized says of sizes n and m whether a pair can be. sizes has (node, n).
 
     Buckets of two or three rows are compared whole at first. In a round each other bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
-    hashes, which change from round to round), and each node is compared TESTS times at most, so that a group of copies gets a few comparisons for each member and
-    bucket. Buckets whose members are of one component by then are closed: nothing is left to learn from them. When the pairs that are
+    hashes, which change from round to round), for TESTS buckets of each node, so that a group of copies gets a few comparisons for
+    each member. Buckets whose members are of one component by then are closed: nothing is left to learn from them. When the pairs that are
     open, across components, are few, all of them are compared. If they are many after ROUNDS rounds, they are held against each other by
     sketches that sketches() makes of the open nodes (id), each pair at its first common part, and those that may reach the
     similarity are compared. So every pair of a bucket whose link could change a component is looked at, and there is no cap.
@@ -110,11 +116,9 @@ def resolved(
     small = _of_small(first).union(_of_small(second))
     buckets = store.written(buckets.join(store.small(second.where("c > 3").select("key")), "key").select("key", "node"), "buckets")
     tested = found = None
-    pairs = buckets.join(lead(buckets, 0), "key").where("a != node").select("a", F.col("node").alias("b"))
+    pairs = _picked(buckets, 1).join(lead(buckets, 0), "key").where("a != node").select("a", F.col("node").alias("b"))
     for r in range(1, ROUNDS + 1):
-        turn = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(r)), "a"))
-        pairs = pairs.distinct().withColumn("turn", turn).where(F.col("turn") <= TESTS)  # a node has as many rows as keys at most
-        pairs = _pairs(pairs.select("a", "b").union(small) if r == 1 else pairs, tested)
+        pairs = _pairs(pairs.union(small) if r == 1 else pairs, tested)
         good = links(pairs)
         tested = pairs if tested is None else tested.union(pairs)
         # what is known of components stands for the links that made them
@@ -131,7 +135,7 @@ def resolved(
             break
         leader = lead(members, r)
         of = found.select(F.col("node").alias("a"), F.col("component").alias("d"))
-        pairs = members.join(leader, "key").where("a != node").join(of, "a", "left").where("c != coalesce(d, a)")
+        pairs = _picked(members, r + 1).join(leader, "key").where("a != node").join(of, "a", "left").where("c != coalesce(d, a)")
         pairs = pairs.select("a", F.col("node").alias("b"))
     if not rows:
         return found
