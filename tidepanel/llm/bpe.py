@@ -37,8 +37,8 @@ NEITHER = (
 )
 _NEITHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
 _ODD = regex.compile(f"[{_NEITHER}{''.join(map(chr, CAPITALS))}]")
-#: Words that a worker keeps at hand, and words that it counts before it hands their counts on.
-AT_HAND, COUNTED = 200_000, 250_000
+#: Pieces and words that a worker keeps at hand, and pieces that it counts before it hands their words' counts on.
+AT_HAND, WORDS_AT_HAND, COUNTED = 500_000, 150_000, 250_000
 #: Words of the texts that are coded together, so that their new words are merged at once.
 TOGETHER = 200_000
 
@@ -236,11 +236,13 @@ class Coder(dict):
 
     def prepare(self, pieces: list[bytes]) -> None:
         """Puts the pieces at hand, all that are new at once."""
-        new = {p for p in pieces if p not in self}
+        here = set(pieces)
+        new = {p for p in here if p not in self}
         if len(self) + len(new) > AT_HAND:
+            kept = {p: self[p] for p in here - new}
             self.clear()
-            new = set(pieces)
-        if len(self.words) > AT_HAND:
+            self.update(kept)
+        if len(self.words) > WORDS_AT_HAND:
             self.words.clear()
         split = {p: self.rules.words(_text(p)) for p in new}
         self._learn({w for words in split.values() for w in words if w not in self.words})
