@@ -1,4 +1,5 @@
 import hashlib
+import math
 from collections import Counter
 
 import pytest
@@ -65,8 +66,14 @@ def test_frequent_words_cover_all_texts(spark, rules, odd_docs):
     seen = Counter()
     for r in odd_docs.collect():
         seen.update(rules.words(r.text or ""))
-    order = sorted(seen, key=lambda w: (-seen[w], w.encode()))
-    assert bpe.frequent_words(odd_docs, spec, size=50) == order[:50]
+    classes = {w: math.floor(math.log2(n) * 8 + 1e-12) for w, n in seen.items()}
+    for size in (0, 50, 500, 10**6):
+        found = bpe.frequent_words(odd_docs, spec, size=size)
+        assert len(found) <= size and found == sorted(found, key=str.encode)
+        rest = set(seen) - set(found)
+        assert not found or not rest or min(classes[w] for w in found) > max(classes[w] for w in rest)
+        top = max((classes[w] for w in rest), default=None)
+        assert top is None or len(found) + sum(classes[w] == top for w in rest) > size  # no class more would fit
 
 
 def test_columns(spark, library, odd_docs, no_docs):

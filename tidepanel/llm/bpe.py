@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import store
 from .transducer import Transducer, compiled
 
 #: Words of the lexicon at most; the most frequent ones, ties by the word.
@@ -334,10 +335,22 @@ def _coded(spec, lexicon, keep: bool):
 
 
 def frequent_words(docs: DataFrame, spec, text_col: str = "text", size: int = LEXICON) -> list[str]:
-    """The size most frequent words of all texts: counted in Python, summed by word, the first size of them collected."""
+    """The most frequent words of all texts, size of them at most, in the order of their bytes.
+
+    Words are counted in Python and summed by word. Counts fall into eight classes for each doubling; of the classes from the top
+    on, as many are taken as have size words together. So the driver gets the words of a few hundred classes and at most size words,
+    however many there are.
+    """
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counts(spec), "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    counts = store.written(counts.groupBy("word").agg(F.floor(F.log2(F.sum("n")) * 8).alias("class")), "words")
+    room, least = size, None
+    for r in sorted(counts.groupBy("class").count().collect(), key=lambda r: -r["class"]):
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["class"]
+    found = [] if least is None else counts.where(F.col("class") >= least).select("word").collect()
+    store.drop(counts)
+    return sorted((r.word for r in found), key=str.encode)
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, size: int = LEXICON, ids: bool = False) -> DataFrame:
