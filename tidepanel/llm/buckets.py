@@ -92,12 +92,14 @@ def resolved(
     sketches: Callable[[DataFrame], DataFrame],
     similarity: float,
     bucketed: Callable[[], None] = lambda: None,
+    repeats: bool = True,
 ) -> DataFrame:
     """(node, component) of the nodes that links join to a smaller one.
 
     keys has (node, key) and is read twice, after which bucketed() is called; nodes of one key are candidates of each other.
     parts has (node, parts), arrays of one length: two nodes that share a key share a value at some place of them. links()
-    takes pairs (a, b) and returns those that are linked; sized says of sizes n and m whether a pair can be. sizes has (node, n).
+    takes pairs (a, b) and returns those that are linked; sized says of sizes n and m whether a pair can be. sizes has (node, n). repeats says that a node may stand
+    in a key more than once.
 
     Buckets of two or three rows are compared whole at first. In a round each other bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
     hashes, which change from round to round), for TESTS buckets of each node, so that a group of copies gets a few comparisons for
@@ -109,12 +111,14 @@ def resolved(
     mask = lambda r: F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(r))
     lead = lambda rows, r, *more: rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask(r))).alias("a"), *more).withColumn("a", F.col("a").bitwiseXOR(mask(r)))
     first = store.written(_counted(keys), "counted")
-    buckets = keys.join(store.small(first.where("c > 3").select("key")), "key").select("key", "node").distinct()
-    buckets = store.written(buckets, "buckets")
+    buckets = keys.join(store.small(first.where("c > 3").select("key")), "key").select("key", "node")
+    buckets = store.written(buckets.distinct() if repeats else buckets, "buckets")
     bucketed()
-    second = store.written(_counted(buckets), "counted")
-    small = _of_small(first).union(_of_small(second))
-    buckets = store.written(buckets.join(store.small(second.where("c > 3").select("key")), "key").select("key", "node"), "buckets")
+    small = _of_small(first)
+    if repeats:  # fewer nodes than rows
+        second = store.written(_counted(buckets), "counted")
+        small = small.union(_of_small(second))
+        buckets = store.written(buckets.join(store.small(second.where("c > 3").select("key")), "key").select("key", "node"), "buckets")
     tested = found = None
     pairs = _picked(buckets, 1).join(lead(buckets, 0), "key").where("a != node").select("a", F.col("node").alias("b"))
     for r in range(1, ROUNDS + 1):
@@ -126,19 +130,20 @@ def resolved(
         found = store.written(components(linked, "a", "b"), "components")
         if r > 1:
             store.drop(members)
-        members = buckets.select("key", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        members = store.written(members.join(mixed, "key").select("key", "node", "c"), "members")
-        by_part = members.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        rows, open_ = by_part.agg(F.sum("s"), F.sum(F.expr("(cast(s as double) * s - q) / 2"))).first()
+        members = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        members = store.written(members, "members")
+        by_part = members.groupBy("key", "c").agg(F.count("*").alias("k"))
+        by_key = by_part.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+        rows, open_ = by_key.where("parts > 1").agg(F.sum("s"), F.sum(F.expr("(cast(s as double) * s - q) / 2"))).first()
         if not rows or open_ <= FEW * rows or r == ROUNDS:
             break
-        leader = lead(members, r)
         of = found.select(F.col("node").alias("a"), F.col("component").alias("d"))
-        pairs = _picked(members, r + 1).join(leader, "key").where("a != node").join(of, "a", "left").where("c != coalesce(d, a)")
+        pairs = _picked(members, r + 1).join(lead(members, r), "key").where("a != node").join(of, "a", "left").where("c != coalesce(d, a)")
         pairs = pairs.select("a", F.col("node").alias("b"))
     if not rows:
         return found
+    mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    members = store.written(members.join(mixed, "key"), "members")
     if open_ <= FEW * rows:
         other = members.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
         rest = members.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")))

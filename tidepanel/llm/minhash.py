@@ -144,7 +144,7 @@ def near_duplicates(
         keys, half_of, kinds.groupBy("node").agg(F.max("n").alias("n")),
         _sized(percent), lambda pairs: _links(pairs, texts, shingle, percent),
         lambda nodes: texts.join(store.small(store.written(nodes, "need")), "id", "left_semi").mapInArrow(sketcher(partial(word_shingles, size=shingle)), "node long, sketch array<long>"),
-        percent / 100, lambda: store.drop(keys),
+        percent / 100, lambda: store.drop(keys), repeats=False,
     )
 
     node = kinds.select("kind", F.col("node").alias("least"))
