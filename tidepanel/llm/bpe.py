@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -39,7 +40,7 @@ NEITHER = (
 _NEITHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
 _ODD = regex.compile(f"[{_NEITHER}{''.join(map(chr, CAPITALS))}]")
 #: Pieces and words that a worker keeps at hand, and pieces that it counts before it hands their words' counts on.
-AT_HAND, WORDS_AT_HAND, COUNTED = 500_000, 150_000, 250_000
+AT_HAND, WORDS_AT_HAND, COUNTED = 500_000, 150_000, 400_000
 #: Words of the texts that are coded together, so that their new words are merged at once.
 TOGETHER = 200_000
 
@@ -218,6 +219,7 @@ class Coder(dict):
     def __init__(self, rules: Rules, lexicon: Transducer) -> None:
         self.rules, self.lexicon, self.words, self.merger = rules, lexicon, {}, Merger(rules)
         self.number = {i: str(i) for i in rules.token}
+        self.blank = False  # whether a piece without tokens has been seen
 
     def _learn(self, words: set[str]) -> None:
         """Puts the words at hand."""
@@ -235,10 +237,9 @@ class Coder(dict):
         for word, found in ids.items():
             self.words[word] = " ".join(map(number, found)), " ".join(map(token, found))
 
-    def prepare(self, pieces: list[bytes]) -> None:
+    def prepare(self, here: set[bytes]) -> None:
         """Puts the pieces at hand, all that are new at once."""
-        here = set(pieces)
-        new = {p for p in here if p not in self}
+        new = here.difference(self)
         if len(self) + len(new) > AT_HAND:
             kept = {p: self[p] for p in here - new}
             self.clear()
@@ -254,6 +255,7 @@ class Coder(dict):
             else:
                 pairs = [x for w in words if (x := at_hand[w])[0]]
                 self[piece] = " ".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs])
+            self.blank |= not self[piece][0]
 
     def encode_all(self, texts: list[bytes | None]) -> Iterator[tuple[str, str]]:
         """The decimal ids and the decoded text of each text, each joined by spaces."""
@@ -264,10 +266,13 @@ class Coder(dict):
                 split.append((texts[last] or b"").split())
                 n += len(split[-1])
                 last += 1
-            self.prepare([p for words in split for p in words])
+            self.prepare(set().union(*split))
             for words in split:
-                pairs = [x for x in map(self.__getitem__, words) if x[0]]
-                yield " ".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs])
+                pairs = list(map(self.__getitem__, words))
+                if self.blank:
+                    pairs = [x for x in pairs if x[0]]
+                ids, back = zip(*pairs) if pairs else ((), ())
+                yield " ".join(ids), " ".join(back)
             first = last
 
     def encode(self, text: bytes) -> tuple[str, str]:
@@ -320,6 +325,7 @@ def _coder(spec, lexicon) -> Coder:
 def _coded(spec, lexicon, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec, lexicon)
+        gc.disable()  # strings and tuples of them make no cycles, and there are a million of them
         for batch in batches:
             rows = list(coder.encode_all(batch.column(1).cast(pa.binary()).to_pylist()))
             out = {
@@ -330,6 +336,7 @@ def _coded(spec, lexicon, keep: bool):
             if keep:
                 out |= {"ids": pa.array([[int(i) for i in ids.split()] for ids, _ in rows], pa.list_(pa.int32())), "decoded": pa.array([back for _, back in rows], pa.string())}
             yield pa.RecordBatch.from_arrays([batch.column(0), *out.values()], ["id", *out])
+        gc.enable()
 
     return run
 
