@@ -92,16 +92,15 @@ def resolved(
     sketches: Callable[[DataFrame], DataFrame],
     similarity: float,
     bucketed: Callable[[], None] = lambda: None,
-    repeats: bool = True,
 ) -> DataFrame:
     """(node, component) of the nodes that links join to a smaller one.
 
     keys has (node, key) and is read twice, after which bucketed() is called; nodes of one key are candidates of each other.
     parts has (node, parts), arrays of one length: two nodes that share a key share a value at some place of them. links()
-    takes pairs (a, b) and returns those that are linked; sized says of sizes n and m whether a pair can be. sizes has (node, n). repeats says that a node may stand
-    in a key more than once.
+    takes pairs (a, b) and returns those that are linked; sized says of sizes n and m whether a pair can be. sizes has (node, n).
 
-    Buckets of two or three rows are compared whole at first. In a round each other bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
+    Keys of two or three rows are compared whole at first. Nodes of larger ones go on with a row for each of their parts, so
+    that a group of copies isn't dealt to as many rows as it has keys. In a round each other bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
     hashes, which change from round to round), for TESTS buckets of each node, so that a group of copies gets a few comparisons for
     each member. Buckets whose members are of one component by then are closed: nothing is left to learn from them. When the pairs that are
     open, across components, are few, all of them are compared. If they are many after ROUNDS rounds, they are held against each other by
@@ -111,14 +110,13 @@ def resolved(
     mask = lambda r: F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(r))
     lead = lambda rows, r, *more: rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask(r))).alias("a"), *more).withColumn("a", F.col("a").bitwiseXOR(mask(r)))
     first = store.written(_counted(keys), "counted")
-    buckets = keys.join(store.small(first.where("c > 3").select("key")), "key").select("key", "node")
-    buckets = store.written(buckets.distinct() if repeats else buckets, "buckets")
+    busy = keys.join(store.small(first.where("c > 3").select("key")), "key").select("node").distinct()
+    busy = store.written(busy, "busy")
     bucketed()
-    small = _of_small(first)
-    if repeats:  # fewer nodes than rows
-        second = store.written(_counted(buckets), "counted")
-        small = small.union(_of_small(second))
-        buckets = store.written(buckets.join(store.small(second.where("c > 3").select("key")), "key").select("key", "node"), "buckets")
+    buckets = store.written(busy.join(parts, "node").select("node", F.explode("parts").alias("key")).distinct(), "buckets")
+    second = store.written(_counted(buckets), "counted")
+    small = _of_small(first).union(_of_small(second))
+    buckets = store.written(buckets.join(store.small(second.where("c > 3").select("key")), "key").select("key", "node"), "buckets")
     tested = found = None
     pairs = _picked(buckets, 1).join(lead(buckets, 0), "key").where("a != node").select("a", F.col("node").alias("b"))
     for r in range(1, ROUNDS + 1):
