@@ -16,7 +16,7 @@ from . import store
 #: Vectors that the tree is fitted on, and components of them, at most; those with the smallest hashes of their ids.
 SAMPLE, SAMPLE_VALUES = 32_768, 4_000_000
 #: Clusters of a node, sample vectors of a leaf, and levels, at most.
-BRANCH, LEAF, LEVELS = 8, 512, 6
+BRANCH, LEAF, LEVELS = 8, 1024, 6
 #: Rows of an index block and of a query block that one task holds against each other.
 ROWS, QUERIES = 4096, 2048
 #: Queries whose exact neighbours calibrate the number of leaves that a search visits, and the recall to reach on them.
