@@ -81,3 +81,14 @@ def test_repeats_within_a_document(spark):
     df = spark.createDataFrame([(2, "a b\nc\na  B\n\nc\nd"), (1, "c\nc"), (9, "x\nx")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.without_repeated_lines(df).collect()}
     assert got == {1: "c", 2: "a b\n\nd", 9: "x"}
+
+
+def test_one_character_edits(spark):
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    docs = [(0, "Copyright 2021 Example Corporation. All rights reserved."), (1, "Copyright 2022 Example Corporation. All rights reserved.")]
+    for n in range(40, 91, 5):
+        x, at = line(n), n // 2
+        docs += [(2 * n, x), (2 * n + 1, x[:at] + "#" + x[at + 1 :])]
+    got = {r.doc_id for r in lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0, *(2 * n for n in range(40, 91, 5))}

@@ -14,8 +14,8 @@ from . import store
 from .buckets import resolved, sketcher
 from .hashing import _ranges, mix, overlap
 
-#: Characters of a shingle; bands and minhashes of a band: a pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS, 0.995 at 0.75.
-SHINGLE, BANDS, ROWS = 12, 14, 4
+#: Characters of a shingle, so few that one changed character within a line of 40 leaves a similarity of 0.756; bands and minhashes of a band: a pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS, 0.995 at 0.75.
+SHINGLE, BANDS, ROWS = 5, 14, 4
 #: Characters that are hashed at once, but for a longer line.
 PIECE = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -155,7 +155,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
         node.groupBy("node").agg(F.max("n").alias("n")),
         F.lit(True),  # n counts repeats
         links,
-        lambda nodes: lines(store.written(nodes, "need")).mapInArrow(sketcher(shingles), "node long, sketch array<long>"),
+        lambda nodes: lines(store.written(nodes, "need")).mapInArrow(sketcher(lambda text: shingles(text, size)), "node long, sketch array<long>"),
         percent / 100,
     )
     group = kinds.join(found.withColumnRenamed("node", "h1"), "h1", "left")
