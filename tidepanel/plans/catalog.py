@@ -226,12 +226,17 @@ def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lags of prices and volumes, twelve of each."""
+    """The first twelve lags of prices and volumes; lag_features_full has all of them."""
     return rounded(computed(_bars(spark, sf_dir), f.lag_features(12)))
 
 
+def lag_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 360 columns of the lag set: 60 lags of prices and volumes."""
+    return rounded(computed(_bars(spark, sf_dir), f.lag_features()))
+
+
 _PLAIN = [
-    wide_features, lag_features,
+    wide_features, lag_features, lag_features_full,
     asof_orders, asof_next_order, records_ranges, records_coverage, records_mask, records_drawdowns, records_top_drawdowns, records_described, signals_clean, signals_ranks, signals_between,
     signals_between_two, signals_back_to_entry, signals_index, signals_stops, signals_random, returns_summary, returns_drawdown, returns_rolling, evaluate_ic, evaluate_ic_summary, evaluate_long_short,
     evaluate_autocorrelation, evaluate_risk, recursive_ewm, recursive_trend_labels, recursive_breakout, portfolio_fills, portfolio_values, portfolio_trades, portfolio_topk, stream_bars_batch,
@@ -245,6 +250,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {name: rounded_sql(formula_sql(panels.BARS_SQL, columns, strict=strict)) for name, (columns, strict) in GROUPS.items()} | oracles.SQL | {
         "wide_features": rounded_sql(formula_sql(panels.BARS_SQL, f.wide_features())), "lag_features": rounded_sql(formula_sql(panels.BARS_SQL, f.lag_features(12))),
+        "lag_features_full": rounded_sql(formula_sql(panels.BARS_SQL, f.lag_features())),
     }
 
 
