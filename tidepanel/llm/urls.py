@@ -31,6 +31,39 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, kind
 
 
+def _levels(counts: DataFrame, children: int, z: float) -> DataFrame:
+    """(host, steps, n, bad, template, pool) of counts (host, steps, n, bad), steps joined by /; rows of one pool are judged together.
+
+    A round takes the paths one level down. prefix is the template so far; pool names the levels at which a branch stands alone. Paths
+    leave when none under their prefix goes on, or when they are the only one under it: a branch without siblings is as its parent.
+    """
+    depth = F.when(F.col("steps") == "", 0).otherwise(F.size(F.split("steps", "/")))
+    left, done, level = counts.withColumns({"depth": depth, "prefix": F.col("host"), "pool": F.col("host")}), None, 0
+    while level == 0 or left.limit(1).count():
+        level += 1
+        left = left.withColumn("token", F.coalesce(F.get(F.split("steps", "/"), F.lit(level - 1)), F.lit("")))
+        tokens = left.groupBy("prefix", "token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("paths"), F.max("depth").alias("deepest"))
+        of = tokens.groupBy("prefix").agg(F.count("*").alias("c"), F.sum("n").alias("pn"), F.sum("bad").alias("pb"))
+        step = F.when((F.col("c") > children) & (F.col("token") != ""), "*").otherwise(F.col("token"))
+        tokens = tokens.join(of, "prefix").withColumn("step", step)
+        branches = tokens.groupBy("prefix", "step", "pn", "pb").agg(F.sum("n").alias("bn"), F.sum("bad").alias("bb"), F.sum("paths").alias("paths"), F.max("deepest").alias("deepest"))
+        p, q = F.try_divide(F.col("pb"), F.col("pn")), F.try_divide(F.col("bb"), F.col("bn"))
+        alike = F.coalesce(F.abs(q - p) <= z * F.sqrt(p * (1 - p) / F.greatest(F.col("bn"), F.lit(1))), F.lit(True))
+        lone = (F.col("paths") == 1) & F.lit(children > 0)
+        branches = branches.select("prefix", "step", alike.alias("alike"), lone.alias("lone"), (lone | (F.col("deepest") <= level)).alias("over"))
+        left = left.join(of.select("prefix", "c"), "prefix").withColumn("step", step).join(branches, ["prefix", "step"])
+        rest = F.when(F.col("lone") & (F.col("depth") > level), F.concat(F.lit("/"), F.array_join(F.slice(F.split("steps", "/"), level + 1, 1 << 30), "/"))).otherwise("")
+        left = left.withColumns({
+            "prefix": F.concat("prefix", F.lit("/"), "step", rest),
+            "pool": F.when(F.col("alike"), F.col("pool")).otherwise(F.concat("pool", F.lit(f"/{level}="), "step")),
+        })
+        left = store.written(left.select("host", "steps", "n", "bad", "depth", "prefix", "pool", "over"), "level")
+        ended = left.where("over").drop("over")
+        done, left = ended if done is None else done.unionByName(ended), left.where("not over").drop("over")
+    template = F.concat(F.rtrim("prefix", F.lit("/")), F.repeat(F.lit("/"), F.greatest(F.lit(0), 3 - F.col("depth"))))
+    return done.select("host", "steps", "n", "bad", template.alias("template"), "pool")
+
+
 def judge(
     pages: DataFrame,
     id_col: str = "page_id",
@@ -46,10 +79,11 @@ def judge(
 ) -> DataFrame:
     """(id, host, path, rule, verdict, template, purity), a row for each row of pages.
 
-    Paths become templates host/a/b/**: a segment with a digit is the wildcard *, and so are all segments under a
-    parent with more than children distinct ones. label is 1 for unwanted, 0 for wanted and null for unknown; by default a rule's
-    verdict, else whether a part of the host's name is one of TERMS. From the leaves up, branches of a parent whose share of
-    unwanted urls is within z standard errors of the parent's pool their counts, others stand alone. A template is
+    Paths become templates host/a/b/c... of all their segments (with slashes for a first and second one that are missing, and one after the
+    second if it is the last): a segment with a digit is the wildcard *, and so are all segments under a parent with more than
+    children distinct ones. label is 1 for unwanted, 0 for wanted and null for unknown; by default a rule's
+    verdict, else whether a part of the host's name is one of TERMS. At every level, branches of a parent whose share of
+    unwanted urls is within z standard errors of the parent's pool their counts, others stand alone; a path that ends at the parent is a branch. A template is
     rejected if (unwanted + strength * prior) / (labelled + strength) >= reject. A rule's verdict goes first.
 
     A null url has empty host and path, and the verdict of its (empty) template. Rows that repeat are each judged. Everything after the first map-side combined
@@ -63,35 +97,15 @@ def judge(
         terms = F.arrays_overlap(F.split("host", r"[.\-]"), F.array(*map(F.lit, TERMS))).cast("int")
         label = F.when(F.col("kind") == "block", 1).when(F.col("kind") == "allow", 0).otherwise(terms)
     rows = rows.withColumn("label", label.cast("int"))
-    parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    token = lambda i: F.when(F.get("parts", F.lit(i)).rlike("[0-9]"), "*").otherwise(F.coalesce(F.get("parts", F.lit(i)), F.lit("")))
-    rows = rows.withColumn("parts", parts).withColumns({"t1": token(0), "t2": token(1), "rest": F.when(F.size("parts") > 2, "**").otherwise("")}).drop("parts")
-    counts = rows.groupBy("host", "t1", "t2", "rest").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    counts = store.written(counts, "templates")
-
-    wide = counts.groupBy("host").agg(F.countDistinct("t1").alias("c")).where(F.col("c") > children).select("host")
-    wide = wide.select("host", F.lit(True).alias("w1"))
-    first = counts.join(wide, "host", "left").withColumn("g1", F.when(F.col("w1") & (F.col("t1") != ""), "*").otherwise(F.col("t1")))
-    wide = first.groupBy("host", "g1").agg(F.countDistinct("t2").alias("c")).where(F.col("c") > children)
-    wide = wide.select("host", "g1", F.lit(True).alias("w2"))
-    second = first.join(wide, ["host", "g1"], "left").withColumn("g2", F.when(F.col("w2") & (F.col("t2") != ""), "*").otherwise(F.col("t2")))
-    second = second.withColumn("leaf", F.concat_ws("/", "g2", "rest")).select("host", "t1", "t2", "rest", "g1", "leaf", "n", "bad")
-
-    def pooled(df: DataFrame, parent: list[str], branch: str) -> DataFrame:
-        """Pools the branches of a parent that don't differ from it; pool is null for those that stand alone."""
-        branches = df.groupBy(*parent, branch).agg(F.sum("n").alias("bn"), F.sum("bad").alias("bb"))
-        of = df.groupBy(*parent).agg(F.sum("n").alias("pn"), F.sum("bad").alias("pb"))
-        p, q = F.try_divide(F.col("pb"), F.col("pn")), F.try_divide(F.col("bb"), F.col("bn"))
-        alike = F.abs(q - p) <= z * F.sqrt(p * (1 - p) / F.greatest(F.col("bn"), F.lit(1)))
-        return branches.join(of, parent).select(*parent, branch, F.when(F.coalesce(alike, F.lit(True)), F.lit("~")).otherwise(F.col(branch)).alias(f"{branch}_pool"))
-
-    tree = second.join(pooled(second, ["host", "g1"], "leaf"), ["host", "g1", "leaf"])
-    tree = tree.join(pooled(tree, ["host"], "g1"), ["host", "g1"])
-    groups = tree.groupBy("host", "g1_pool", "leaf_pool").agg(F.sum("n").alias("gn"), F.sum("bad").alias("gb"))
+    segments = F.filter(F.split("path", "/"), lambda s: s != "")
+    steps = F.concat_ws("/", F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), "*").otherwise(s)))
+    rows = rows.withColumn("steps", steps)
+    counts = rows.groupBy("host", "steps").agg(F.count("label").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
+    tree = _levels(store.written(counts, "templates"), children, z)
+    groups = tree.groupBy("pool").agg(F.sum("n").alias("gn"), F.sum("bad").alias("gb"))
     groups = groups.withColumn("purity", (F.col("gb") + F.lit(strength * prior)) / (F.col("gn") + F.lit(strength)))
-    tree = tree.join(groups, ["host", "g1_pool", "leaf_pool"])
-    tree = tree.select("host", "t1", "t2", "rest", F.concat_ws("/", "host", "g1", "leaf").alias("template"), "purity")
+    tree = tree.join(groups, "pool").select("host", "steps", "template", "purity")
     tree = store.small(store.written(tree, "tree"))
-    found = rows.join(tree, ["host", "t1", "t2", "rest"], "left")
+    found = rows.join(tree, ["host", "steps"], "left")
     verdict = F.coalesce("kind", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
