@@ -92,3 +92,13 @@ def test_one_character_edits(spark):
         docs += [(2 * n, x), (2 * n + 1, x[:at] + "#" + x[at + 1 :])]
     got = {r.doc_id for r in lines.without_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {0, *(2 * n for n in range(40, 91, 5))}
+
+
+def test_pairs_at_the_threshold_meet():
+    assert (1 - 0.75**lines.ROWS) ** lines.BANDS < 6e-4
+    rng, pairs = random.Random(8), []
+    for _ in range(3000):
+        x = [chr(rng.randrange(0x4E00, 0x9000)) for _ in range(40)]  # an edit leaves 31 of 41 shingles in common
+        pairs += ["".join(x).encode(), "".join([*x[:20], "#", *x[21:]]).encode()]
+    keys = lines._Bands(lines.BANDS, lines.ROWS, 41)(pairs, lines.SHINGLE)[1]
+    assert (~(keys[::2] == keys[1::2]).any(axis=1)).sum() <= 6

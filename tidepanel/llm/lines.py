@@ -14,8 +14,8 @@ from . import store
 from .buckets import resolved, sketcher
 from .hashing import _ranges, mix, overlap
 
-#: Characters of a shingle, so few that one changed character within a line of 40 leaves a similarity of 0.756; bands and minhashes of a band: a pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS, 0.995 at 0.75.
-SHINGLE, BANDS, ROWS = 5, 14, 4
+#: Characters of a shingle, so few that one changed character within a line of 40 leaves a similarity of 0.756; bands and minhashes of a band: a pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS, 0.9995 at 0.75.
+SHINGLE, BANDS, ROWS = 5, 28, 5
 #: Characters that are hashed at once, but for a longer line.
 PIECE = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
