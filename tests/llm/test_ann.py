@@ -55,3 +55,17 @@ def test_hot_leaf_is_dealt_into_blocks(spark, monkeypatch):
         got.setdefault(r.query_id, []).append(r.vec_id)
     want = brute(list(range(600)), x, range(0, 600, 20), 20)
     assert got == {q: [a for a, _ in w] for q, w in want.items()}
+
+
+def test_recall_of_a_tree_of_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 32)
+    rng, report = np.random.default_rng(2), {}
+    x = rng.normal(size=(40, 16)).repeat(50, axis=0) + rng.normal(size=(2000, 16)) * 0.4
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), report=report).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(list(range(2000)), x, range(0, 2000, 20), 20)
+    assert report["leaves"] >= 40 and report["visited"] < report["leaves"] / 2
+    assert sum(len(got[q] & {a for a, _ in w}) for q, w in want.items()) / (20 * len(want)) >= 0.9
