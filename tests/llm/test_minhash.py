@@ -125,3 +125,16 @@ def test_components_of_many_partitions(spark, monkeypatch):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(9), "a", "b").collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
+
+
+def test_versions_of_one_id_are_compared_each_by_its_own_text(spark):
+    rng = random.Random(6)
+    base = [[f"{w}{rng.randrange(10**6)}" for _ in range(100)] for w in "abcdef"]
+    edit = lambda words, k: " ".join([*words[:k], "new", *words[k + 1 :]])
+    rows = [(1, " ".join(words)) for words in base]  # versions of one id, alike in nothing, each with near copies
+    rows += [(10 * (v + 1) + k, edit(words, 12 * k + 5)) for v, words in enumerate(base) for k in range(5)]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 1) for i, _ in rows}
+    apart = [(5, " ".join(base[0])), (5, " ".join(base[1])), (3, edit(base[0], 50)), (7, edit(base[1], 50))]
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(apart, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (7, 5)]  # an id's versions don't link each other's copies

@@ -21,6 +21,24 @@ from .hashing import MinHasher, mix, overlap, word_shingles
 COLLECTION, ROWS = 16, 3
 
 
+def _node(kind: bytes | None) -> int | None:
+    return kind and int.from_bytes(kind[:8], "big", signed=True)
+
+
+def _texts(shingle: int):
+    """(id, text): every different set's node, and a text of it, of (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = {}
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                if len(found := word_shingles(text, shingle)):
+                    out[_node(xxhash.xxh3_128_digest(found))] = text
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(out.values(), pa.binary()).cast(pa.string())], ["id", "text"])
+
+    return run
+
+
 def _signatures(shingle: int, collection: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, salts = MinHasher(2 * collection * rows, seed), mix(np.arange(2 * collection, dtype=np.uint64) + np.uint64(seed))
@@ -39,8 +57,8 @@ def _signatures(shingle: int, collection: int, rows: int, seed: int):
                     key = mix(key ^ parts[:, r])
                 halves.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(kinds, pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "kind", "halves"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(kinds, pa.binary()), pa.array(map(_node, kinds), pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
+                ["id", "n_shingles", "kind", "node", "halves"],
             )
 
     return run
@@ -73,17 +91,18 @@ def _sized(percent: int) -> Column:
     return 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the similarity. Only texts that occur in a pair are shuffled."""
     need = store.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")
-    texts = texts.join(store.small(need), "id", "left_semi")
+    found = store.written(texts(need), "texts")
     rows = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+        pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+        .join(found.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
         .select("a", "b", "left", "right")
     )
     links = store.written(rows.mapInArrow(_confirmed(shingle, percent), "a long, b long").distinct(), "links")
     store.drop(need)
+    store.drop(found)
     return links
 
 
@@ -104,7 +123,7 @@ def near_duplicates(
     component_id is the smallest id that links reach, and kept marks that document.
 
     1. Python hashes the whole texts to a set, a 128-bit hash of the set and the half keys; all texts of one set
-       go on as one row, the copies' smallest id.
+       go on as one row, a node named by 64 bits of that hash; the copies' smallest id stands for it in the end.
     2. A table key pairs a half key of either collection. It can only collide where both halves collide, so
        only half keys that occur twice (a map-side combined count) are paired.
     3. buckets.resolved() confirms links on whole texts, bucket by bucket, such that the components within buckets come
@@ -112,20 +131,19 @@ def near_duplicates(
 
     Null or empty texts, and texts without words: n_shingles 0, linked with nothing, kept. Rows with a null id
     count their shingles, have component_id null unless copies of the text have an id, and link nothing. Rows that
-    repeat an id are judged each by its own text; texts are fetched by id to be confirmed, so that any text of
-    that id may confirm a link. Other columns are ignored; an empty table gives an empty result.
+    repeat an id are judged each by its own text. Other columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = store.written(
         texts.mapInArrow(
-            _signatures(shingle, collection, rows, seed), "id long, n_shingles long, kind binary, halves array<long>"
+            _signatures(shingle, collection, rows, seed), "id long, n_shingles long, kind binary, node long, halves array<long>"
         ),
         "signatures",
     )
     kinds = store.written(
         signed.where("kind is not null and id is not null")
         .groupBy("kind")
-        .agg(F.min("id").alias("node"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")),
+        .agg(F.first("node").alias("node"), F.min("id").alias("least"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")),
         "kinds",
     )
     half = kinds.select("node", "n", F.posexplode("halves").alias("at", "half"))
@@ -139,18 +157,25 @@ def near_duplicates(
         .select("node", F.xxhash64("x", "y").alias("key"))
     )
     keys = store.written(keys, "keys")
-    half_of = kinds.select("node", F.slice("halves", 1, collection).alias("parts")).dropDuplicates(["node"])
+    half_of = kinds.select("node", F.slice("halves", 1, collection).alias("parts"))
+
+    def whole_texts(need: DataFrame) -> DataFrame:
+        """(id, text) of the nodes in need, from the rows of the smallest id that has such a text."""
+        of = kinds.join(store.small(need).withColumnRenamed("id", "node"), "node", "left_semi").select(F.col("least").alias("id")).distinct()
+        made = texts.join(store.small(store.written(of, "need")), "id", "left_semi").mapInArrow(_texts(shingle), "id long, text string")
+        return made.join(store.small(need), "id", "left_semi").dropDuplicates(["id"])
+
     found = resolved(
-        keys, half_of, kinds.groupBy("node").agg(F.max("n").alias("n")),
-        _sized(percent), lambda pairs: _links(pairs, texts, shingle, percent),
-        lambda nodes: texts.join(store.small(store.written(nodes, "need")), "id", "left_semi").mapInArrow(sketcher(partial(word_shingles, size=shingle)), "node long, sketch array<long>"),
+        keys, half_of, kinds.select("node", "n"),
+        _sized(percent), lambda pairs: _links(pairs, whole_texts, shingle, percent),
+        lambda nodes: whole_texts(store.written(nodes, "need")).mapInArrow(sketcher(partial(word_shingles, size=shingle)), "node long, sketch array<long>"),
         percent / 100, lambda: store.drop(keys),
     )
 
-    node = kinds.select("kind", F.col("node").alias("least"))
-    whole = signed.select("id", "n_shingles", "kind").join(node, "kind", "left")
-    whole = whole.join(found.withColumnRenamed("node", "least"), "least", "left")
-    reached = F.when(F.col("kind").isNull(), F.col("id")).otherwise(F.coalesce("component", "least"))
+    of = kinds.select("kind", "node", "least").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).select("kind", "c", "least")
+    of = of.join(of.groupBy("c").agg(F.min("least").alias("smallest")), "c").select("kind", "smallest")
+    whole = signed.select("id", "n_shingles", "kind").join(of, "kind", "left")
+    reached = F.when(F.col("kind").isNull(), F.col("id")).otherwise(F.col("smallest"))
     return whole.select(F.col("id").alias(id_col), "n_shingles", reached.alias("component_id")).withColumn(
         "kept", F.col(id_col).eqNullSafe(F.col("component_id"))
     )
