@@ -34,7 +34,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", source_mix), ("tokens", tokens)]
-#: Boosted trees, MinHash, iterative components and BPE have no SQL form; the tests hold run() against the stages' brute-force versions.
+#: Boosted trees, MinHash, iterative components and BPE have no SQL form; the tests hold run() against its stages, the two dedup stages in it against brute force, and the operators of the others by themselves.
 ORACLE_SQL = None
 
 

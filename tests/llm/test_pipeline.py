@@ -1,3 +1,8 @@
+from types import SimpleNamespace
+
+from test_lines import brute as brute_lines
+from test_minhash import brute as brute_documents, shingle_set
+
 import __spark_entry__
 import corpus_pipeline
 from tidepanel.llm import queries
@@ -31,3 +36,22 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.store.written(stage(spark, docs, sf), name)
         assert (docs.count() == 0) == (docs is None or docs.limit(1).count() == 0)
+
+
+def test_run_dedups_like_brute_force(spark, monkeypatch):
+    sf, made, write = "/root/testdata/sf0.001", {}, corpus_pipeline.store.written
+    names = [n for n, _ in corpus_pipeline.STAGES]
+
+    def kept(df, name):
+        out = write(df, name)
+        if name in names:
+            made[name] = out
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "store", SimpleNamespace(written=kept))
+    corpus_pipeline.run(spark, sf)
+    texts = {name: {r.doc_id: r.text for r in made[name].select("doc_id", "text").collect()} for name in ("quality", "line_dedup", "near_dedup")}
+    cut = {k: t for k, t in brute_lines(texts["quality"]).items() if t == texts["quality"][k] or t.split()}
+    assert texts["line_dedup"] == cut and cut != texts["quality"]
+    root, _ = brute_documents({k: shingle_set(t) for k, t in cut.items()})
+    assert texts["near_dedup"] == {k: t for k, t in cut.items() if root[k] == k}
