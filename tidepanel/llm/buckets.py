@@ -1,7 +1,8 @@
-"""Components of the links within hash buckets, without emitting all pairs of a bucket."""
+"""Components of the links within hash buckets, without emitting the pairs of a bucket as rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,61 +13,56 @@ from pyspark.sql import functions as F
 from . import store
 from .components import components
 
-#: Orders in which a round's buckets choose whom to compare with, and comparisons of a node in a round.
+#: Orders in which buckets choose whom to compare their members with, and such comparisons of a node.
 ORDERS, TESTS = 4, 6
-#: Star rounds at most, and pairs a member for which all that is open is compared.
-ROUNDS, FEW = 2, 4
-#: Words of 64 one-bit minhashes that are looked at first and in all, and by how much less than the threshold they may agree:
-#: 4.8 standard deviations at a similarity of 0.75, which a pair at the threshold exceeds once in a million times.
-SKETCH, SLACK = (16, 32), (0.1, 0.07)
+#: A pair at the threshold has sketches that are further apart than allowed with this probability.
+LOST = 1e-6
+#: Nodes of a block of a bucket and, about, their shingles: a task holds two blocks at a time.
+BLOCK, SHINGLES = 2048, 1 << 20
+#: Columns of shared shingles that are multiplied at once.
+COLUMNS = 4096
 
 
-def sketcher(shingles: Callable) -> Callable:
-    """For mapInArrow over (id, text): (node, sketch), 2048 one-bit minhashes of the shingles of each text that has any."""
-    factors = np.random.default_rng(53).integers(0, 2**31, 64 * SKETCH[1], dtype=np.uint32) * 2 + 1
+def apart(bits: int, similarity: float) -> int:
+    """How many of so many one-bit minhashes two sets of that similarity may differ in: more of them with probability LOST at most."""
+    p, rest, k = (1 - similarity) / 2, 1.0, 0
+    while True:
+        rest -= math.exp(math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(p) + (bits - k) * math.log1p(-p))
+        if rest <= LOST or k == bits:
+            return k
+        k += 1
 
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                found = shingles(text)
-                if len(found):
-                    ids.append(node)
-                    low = (found >> np.uint64(32)).astype(np.uint32)
-                    least = np.full(len(factors), 2**32 - 1, np.uint32)
-                    for value in low:  # all hashes of a shingle at once, which stay in the cache
-                        np.minimum(least, factors * value, out=least)
-                    out.append(np.packbits((least ^ (least >> np.uint32(15))) & np.uint32(1) != 0).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["node", "sketch"])
-
-    return run
-
-
-def _near(p: str, q: str, similarity: float) -> Column:
-    """Whether the first words of sketches agree as those of sets of about that similarity do."""
-    apart = sum((F.bit_count(F.col(p)[k].bitwiseXOR(F.col(q)[k])) for k in range(SKETCH[0])), F.lit(0))
-    return apart <= int(64 * SKETCH[0] * (1 - similarity + SLACK[0]) / 2)
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Two 64-bit words for each row of 32-bit minhashes, of which the first 128 give a bit each."""
+    bits = (least[:, :128] * np.uint32(0x9E3779B1)) >> np.uint32(31) != 0
+    words = np.zeros((len(least), 16), np.uint8)
+    packed = np.packbits(bits, axis=1)
+    words[:, : packed.shape[1]] = packed
+    return words.view(np.int64)
 
 
-def _nearer(p: str, q: str, similarity: float) -> Column:
-    """The same of all words."""
-    apart = F.aggregate(F.zip_with(p, q, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return apart <= int(64 * SKETCH[1] * (1 - similarity + SLACK[1]) / 2)
+def alike(p: tuple[Column, Column], q: tuple[Column, Column], most: int) -> Column:
+    """Whether two sketches, of two words each, differ in at most so many bits."""
+    return F.bit_count(p[0].bitwiseXOR(q[0])) + F.bit_count(p[1].bitwiseXOR(q[1])) <= most
 
 
-def _pairs(pairs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return store.written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+def plausible(pairs: DataFrame, nodes: DataFrame, most: int, sized: Column) -> DataFrame:
+    """The different pairs (a, b) whose sketches and sizes allow a link."""
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = nodes.select(F.col("node").alias("a"), "n", "s0", "s1")
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
+    near = alike((F.col("s0"), F.col("s1")), (F.col("t0"), F.col("t1")), most) & sized
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
+def counted(rows: DataFrame, *more: Column) -> DataFrame:
     """(key, c, low, high, x) of the keys with more than one node: rows, least and greatest node, exclusive or of all nodes."""
-    counted = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor("node").alias("x"))
-    return counted.where("low < high")
+    out = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor("node").alias("x"), *more)
+    return out.where("low < high")
 
 
-def _of_small(counted: DataFrame) -> DataFrame:
+def of_small(keys: DataFrame) -> DataFrame:
     """All pairs (a, b) of the keys with two or three rows, read off the counts: the third node is what the exclusive or holds
     besides the least and the greatest."""
     mid = F.col("x").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
@@ -74,96 +70,169 @@ def _of_small(counted: DataFrame) -> DataFrame:
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     low, high = F.col("low"), F.col("high")
     pairs = F.when(third, F.array(pair(low, high), pair(low, mid), pair(mid, high))).otherwise(F.array(pair(low, high)))
-    return counted.where("c <= 3").select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+    return keys.where("c <= 3").select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
 
-def _picked(rows: DataFrame, r: int) -> DataFrame:
-    """TESTS keys of each node, others in each round; a node has as many rows as keys at most."""
-    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(r)), "key"))
-    return rows.withColumn("turn", turn).where(F.col("turn") <= TESTS).drop("turn")
+def _tiles(members: DataFrame, *carried: str) -> DataFrame:
+    """(tile, side, key, node, c, carried): every bucket's nodes are dealt to blocks, and each two blocks meet in one tile.
+
+    members has n, a node's size. A bucket of one block is one tile; one of B blocks makes B rows of each node, B * (B + 1) / 2 tiles in all.
+    """
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    of = members.groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1")
+    many = members.join(store.small(store.written(of, "blocks")), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    other = many.withColumn("mine", mine).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tile = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return other.select(tile.alias("tile"), F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("int").alias("side"), "key", "node", "c", *carried)
+
+
+def _dealt(tiles: DataFrame) -> DataFrame:
+    return tiles.repartition("tile").sortWithinPartitions("tile")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole tiles of rows sorted by tile (the first column), with the place where each tile begins and the end."""
+    kept = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if kept is not None:
+            table = pa.concat_tables([kept, table])
+        tile = table.column(0).to_numpy()
+        starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1])) if len(tile) else np.zeros(1, np.int64)
+        if starts[-1]:
+            yield table.slice(0, starts[-1]), starts
+        kept = table.slice(starts[-1])
+    if kept is not None and len(kept):
+        yield kept, np.array([0, len(kept)])
+
+
+def _meeting(most: int):
+    """(key, node, c): the members of a tile that a member of another component may be linked with, by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole(batches):
+            side, key, node, c, s0, s1 = (table.column(k).to_numpy() for k in range(1, 7))
+            hit = np.zeros(len(table), bool)
+            for at, end in zip(starts[:-1], starts[1:]):
+                left, right = (np.arange(at, end),) * 2
+                if side[at]:
+                    left, right = at + np.flatnonzero(side[at:end] == 1), at + np.flatnonzero(side[at:end] == 2)
+                for k in range(0, len(left), 256):
+                    part = left[k : k + 256]
+                    differ = np.bitwise_count(s0[part][:, None] ^ s0[right]).astype(np.uint16) + np.bitwise_count(s1[part][:, None] ^ s1[right])
+                    near = (differ <= most) & (c[part][:, None] != c[right])
+                    hit[part] |= near.any(axis=1)
+                    hit[right] |= near.any(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, node, c)], ["key", "node", "c"])
+
+    return run
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of the intersections of all sets of left with all of right (of left without), as products of incidence matrices."""
+    sets = left + (right or [])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    found, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.full(len(found), -1)
+    shared = np.flatnonzero(often > 1)  # others are in no intersection
+    place[shared] = np.arange(len(shared))
+    column = place[at]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(left), len(right) if right else len(left)), np.float32)  # whole numbers below 2**24 are exact
+    for first in range(0, len(shared), COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        there = np.zeros((len(sets), COLUMNS), np.float32)
+        there[owner[a:b], column[a:b] - first] = 1
+        total += there[: len(left)] @ (there[len(left) :] if right else there).T
+    return total.astype(np.int64)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    edges, unseen = [], linked.any(axis=1)
+    while unseen.any():
+        stack = [int(unseen.argmax())]
+        unseen[stack[0]] = False
+        while stack:
+            at = stack.pop()
+            new = np.flatnonzero(linked[at] & unseen)
+            edges += [(at, int(x)) for x in new]
+            unseen[new] = False
+            stack += new.tolist()
+    return edges
+
+
+def _linking(shingles: Callable[[bytes], np.ndarray], percent: int):
+    """(a, b): links between components that join the members of a tile, a spanning forest of all of them, by their whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole(batches):
+            side, node, c = (table.column(k).to_numpy() for k in (1, 3, 4))
+            texts, found = table.column(5).cast(pa.binary()), []
+            for at, end in zip(starts[:-1], starts[1:]):
+                sets = [shingles(t) for t in texts.slice(at, end - at).to_pylist()]
+                sizes, cc, nn = np.fromiter(map(len, sets), np.int64, len(sets)), c[at:end], node[at:end]
+                linked = np.zeros((len(sets),) * 2, bool)
+                rows = cols = np.arange(len(sets))
+                if side[at]:
+                    rows, cols = np.flatnonzero(side[at:end] == 1), np.flatnonzero(side[at:end] == 2)
+                if not len(rows) or not len(cols):
+                    continue
+                both = _common([sets[k] for k in rows], [sets[k] for k in cols] if side[at] else None)
+                good = (100 * both >= percent * (sizes[rows][:, None] + sizes[cols] - both)) & (both > 0) & (cc[rows][:, None] != cc[cols])
+                linked[np.ix_(rows, cols)] = good
+                linked |= linked.T
+                found += [(nn[p], nn[q]) for p, q in _forest(linked)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def resolved(
-    keys: DataFrame,
-    parts: DataFrame,
-    sizes: DataFrame,
-    sized: Column,
+    small: DataFrame,
+    buckets: DataFrame,
+    nodes: DataFrame,
     links: Callable[[DataFrame], DataFrame],
-    sketches: Callable[[DataFrame], DataFrame],
-    similarity: float,
-    bucketed: Callable[[], None] = lambda: None,
+    texts: Callable[[DataFrame], DataFrame],
+    shingles: Callable[[bytes], np.ndarray],
+    most: int,
+    percent: int,
+    sized: Column,
 ) -> DataFrame:
     """(node, component) of the nodes that links join to a smaller one.
 
-    keys has (node, key) and is read twice, after which bucketed() is called; nodes of one key are candidates of each other.
-    parts has (node, parts), arrays of one length: two nodes that share a key share a value at some place of them. links()
-    takes pairs (a, b) and returns those that are linked; sized says of sizes n and m whether a pair can be. sizes has (node, n).
-
-    Keys of two or three rows are compared whole at first. Nodes of larger ones go on with a row for each of their parts, so
-    that a group of copies isn't dealt to as many rows as it has keys. In a round each other bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
-    hashes, which change from round to round), for TESTS buckets of each node, so that a group of copies gets a few comparisons for
-    each member. Buckets whose members are of one component by then are closed: nothing is left to learn from them. When the pairs that are
-    open, across components, are few, all of them are compared. If they are many after ROUNDS rounds, they are held against each other by
-    sketches that sketches() makes of the open nodes (id), each pair at its first common part, and those that may reach the
-    similarity are compared. So every pair of a bucket whose link could change a component is looked at, and there is no cap.
+    small has pairs (a, b) that are to be compared. buckets has (key, node), all different: any two nodes of a key are candidates. nodes has
+    (node, n, s0, s1): a size and a sketch, of which two linked nodes differ in at most `most` bits, but for a share of LOST. links() takes pairs and returns
+    the linked ones, texts() takes (id) and returns (id, text), and shingles() makes a text's set. sized says of n and m whether sets of these sizes can be linked.
+
+    1. Each bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
+       hashes), for TESTS buckets of each node, so that a group of copies gets a few comparisons for each member.
+    2. Buckets whose members are of one component by then are closed: nothing is left to learn from them.
+    3. The others are dealt to blocks, and any two blocks of a bucket meet in a tile, which one task holds. A first pass leaves only the members that have a
+       counterpart in another component by sketches; a second one brings the texts of these, counts all intersections by matrix
+       products and gives no more than a spanning forest of the links. Rows grow with members times blocks, never with pairs, and nothing is capped:
+       every pair of a bucket whose link could change a component is looked at.
     """
-    mask = lambda r: F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(r))
-    lead = lambda rows, r, *more: rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask(r))).alias("a"), *more).withColumn("a", F.col("a").bitwiseXOR(mask(r)))
-    first = store.written(_counted(keys), "counted")
-    busy = keys.join(store.small(first.where("c > 3").select("key")), "key").select("node").distinct()
-    busy = store.written(busy, "busy")
-    bucketed()
-    buckets = store.written(busy.join(parts, "node").select("node", F.explode("parts").alias("key")).distinct(), "buckets")
-    second = store.written(_counted(buckets), "counted")
-    small = _of_small(first).union(_of_small(second))
-    buckets = store.written(buckets.join(store.small(second.where("c > 3").select("key")), "key").select("key", "node"), "buckets")
-    tested = found = None
-    pairs = _picked(buckets, 1).join(lead(buckets, 0), "key").where("a != node").select("a", F.col("node").alias("b"))
-    for r in range(1, ROUNDS + 1):
-        pairs = _pairs(pairs.union(small) if r == 1 else pairs, tested)
-        good = links(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        # what is known of components stands for the links that made them
-        linked = good if r == 1 else found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
-        found = store.written(components(linked, "a", "b"), "components")
-        if r > 1:
-            store.drop(members)
-        members = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        members = store.written(members, "members")
-        by_part = members.groupBy("key", "c").agg(F.count("*").alias("k"))
-        by_key = by_part.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-        rows, open_ = by_key.where("parts > 1").agg(F.sum("s"), F.sum(F.expr("(cast(s as double) * s - q) / 2"))).first()
-        if not rows or open_ <= FEW * rows or r == ROUNDS:
-            break
-        of = found.select(F.col("node").alias("a"), F.col("component").alias("d"))
-        pairs = _picked(members, r + 1).join(lead(members, r), "key").where("a != node").join(of, "a", "left").where("c != coalesce(d, a)")
-        pairs = pairs.select("a", F.col("node").alias("b"))
-    if not rows:
-        return found
-    mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    members = store.written(members.join(mixed, "key"), "members")
-    if open_ <= FEW * rows:
-        other = members.select("key", F.col("node").alias("b"), F.col("c").alias("d"))
-        rest = members.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")))
-        good = links(_pairs(rest.select("a", "b"), tested))
-        linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
-        return store.written(components(linked, "a", "b"), "components")
-    nodes = store.written(members.select("node", "c").distinct(), "nodes")
-    store.drop(members)
-    store.drop(buckets)
-    drawn = sketches(nodes.select(F.col("node").alias("id"))).dropDuplicates(["node"])
-    whole = store.written(nodes.join(parts, "node").join(drawn, "node").join(sizes, "node"), "open")
-    at = whole.select("node", "c", F.explode("parts").alias("key"))
-    mixed = at.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    # a row for each key carries the first words only
-    thin = whole.select(F.col("node").alias("a"), "c", "n", "parts", F.slice("sketch", 1, SKETCH[0]).alias("words"))
-    left = at.join(mixed, "key").select("key", F.col("node").alias("a")).join(thin, "a")
-    right = left.select("key", F.col("a").alias("b"), F.col("c").alias("d"), F.col("parts").alias("others"), F.col("words").alias("theirs"), F.col("n").alias("m"))
-    differ = (F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & sized & _near("words", "theirs", similarity)
-    common = F.filter(F.zip_with("parts", "others", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    rest = left.join(right, "key").where(differ & (F.get(common, F.lit(0)) == F.col("key"))).select("a", "b")
-    drawn = whole.select(F.col("node").alias("b"), F.col("sketch").alias("theirs"))
-    rest = rest.join(drawn, "b").join(drawn.select(F.col("b").alias("a"), F.col("theirs").alias("sketch")), "a").where(_nearer("sketch", "theirs", similarity))
-    good = links(_pairs(rest, tested))
+    mask = F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(0))
+    turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(1)), "key"))
+    lead = buckets.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("a")).withColumn("a", F.col("a").bitwiseXOR(mask))
+    tests = buckets.withColumn("turn", turn).where(F.col("turn") <= TESTS).join(lead, "key").select("a", F.col("node").alias("b"))
+    pairs = store.written(small.union(plausible(tests, nodes, most, sized)).distinct(), "pairs")
+    found = store.written(components(links(pairs), "a", "b"), "components")
+    members = store.written(buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "members")
+
+    def opened(rows: DataFrame) -> DataFrame:
+        mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        return rows.join(store.small(store.written(mixed, "mixed")), "key")
+
+    left = store.written(opened(members).join(nodes, "node"), "open")
+    met = _dealt(_tiles(left, "s0", "s1")).mapInArrow(_meeting(most), "key long, node long, c long").distinct()
+    left = store.written(opened(store.written(met, "met")).join(nodes.select("node", "n"), "node"), "open")
+    whole = texts(store.written(left.select(F.col("node").alias("id")).distinct(), "need")).select(F.col("id").alias("node"), "text")
+    tiles = _tiles(left).join(store.written(whole, "texts"), "node").select("tile", "side", "key", "node", "c", "text")
+    good = store.written(_dealt(tiles).mapInArrow(_linking(shingles, percent), "a long, b long").distinct(), "links")
+    # what is known of components stands for the links that made them
     linked = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)
     return store.written(components(linked, "a", "b"), "components")

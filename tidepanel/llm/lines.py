@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .buckets import resolved, sketcher
+from .buckets import alike, apart, counted, resolved, sketch
 from .hashing import _ranges, mix, overlap
 
 #: Characters of a shingle, so few that one changed character within a line of 40 leaves a similarity of 0.756; bands and minhashes of a band: a pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS, 0.9995 at 0.75.
 SHINGLE, BANDS, ROWS = 5, 28, 5
 #: Characters that are hashed at once, but for a longer line.
 PIECE = 1 << 16
+#: Documents whose band keys make one task's part, and keys that such a task sorts at once.
+PART, CHUNK = 10_000, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,27 +48,69 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
 
 
 class _Bands:
+    """Signatures of many lines at once. Windows are hashed to 32 bits here, since a chance collision only makes a candidate."""
+
     def __init__(self, bands: int, rows: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.rows, self.factors = rows, rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * 2 + 1
         self.salts = mix(np.arange(bands, dtype=np.uint64) + np.uint64(seed))
 
-    def __call__(self, lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(shingles with repeats, band keys) of each line."""
-        hashes, starts = _shingled(lines, size)
-        low = (hashes >> np.uint64(32)).astype(np.uint32)
-        least = np.stack([np.minimum.reduceat(low * factor, starts) for factor in self.factors]).reshape(-1, self.rows, len(lines))
+    def __call__(self, lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(windows, band keys, sketches) of each line; a line shorter than a window is filled up."""
+        texts = [x.decode("utf-8", "replace").ljust(size, "\0") for x in lines]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - size + 1
+        starts = np.concatenate(([0], ends[:-1] + size - 1))
+        n = len(points) - size + 1
+        hashes = np.full(n + 1, 2**32 - 1, np.uint32)  # one more, for the end of the last line
+        hashes[:n] = points[:n]
+        for k in range(1, size):
+            hashes[:n] *= np.uint32(0x01000193 * 2 + 3)
+            hashes[:n] += points[k : k + n]
+        hashes ^= hashes >> np.uint32(16)
+        hashes *= np.uint32(0x7FEB352D)
+        hashes ^= hashes >> np.uint32(15)
+        hashes *= np.uint32(0x846CA68B)
+        hashes ^= hashes >> np.uint32(16)
+        # every other range is a line's; those between hold the windows that run into the next line
+        ranges, product = np.stack([starts, ends], 1).ravel(), np.empty_like(hashes)
+        least = np.empty((len(self.factors), len(lines)), np.uint32)
+        for k, factor in enumerate(self.factors):
+            np.multiply(hashes, factor, out=product)
+            least[k] = np.minimum.reduceat(product, ranges)[::2]
+        parts = least.reshape(-1, self.rows, len(lines))
         keys = np.repeat(self.salts[:, None], len(lines), 1)
         for r in range(self.rows):
-            keys = mix(keys ^ least[:, r])
-        return np.diff(np.append(starts, len(hashes))), keys.T
+            keys = mix(keys ^ parts[:, r])
+        return ends - starts, keys.T, sketch(np.ascontiguousarray(least[:128].T))
+
+
+#: Bytes of a key in a blob: 40 bits of the key (the others choose its part), and the number of its line.
+_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("line", "<u4")])
+
+
+def _packed(keys: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of the keys (lines x bands), every key with its line's number."""
+    flat = keys.ravel()
+    part = (flat & np.uint64(0xFFFFFF)).astype(np.int64) % parts
+    order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
+    flat, part = flat[order] >> np.uint64(24), part[order]
+    rows = np.empty(len(flat), _KEY)
+    rows["low"], rows["high"], rows["line"] = flat.astype(np.uint32), flat >> np.uint64(32), order // keys.shape[1]
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for at, end in zip(cuts, [*cuts[1:], len(part)]):
+        yield int(part[at]), rows[at:end].tobytes()
+
+
+_SIGNED = "inst long, id long, at int, h1 long, h2 long, n long, s0 long, s1 long, part int, base long, blob binary"
 
 
-def _signed(size: int, bands: int, rows: int, seed: int):
-    """(id, at, h1, h2, n, bands) of every line with a word."""
+def _signed(size: int, bands: int, rows: int, seed: int, parts: int):
+    """Rows of two kinds. Every line with a word: (id, at, h1, h2), and for the first of its form in a batch also inst, a number of its own,
+    n and the sketch. The band keys of these, packed: (part, base, blob), where base is the inst of line 0 of the blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Bands(bands, rows, seed)
+        hasher, base = _Bands(bands, rows, seed), TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, ats, found = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -74,26 +120,81 @@ def _signed(size: int, bands: int, rows: int, seed: int):
                         ats.append(at)
                         found.append(line)
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), ">i8").astype(np.int64).reshape(-1, 2)
-            counts, keys, first = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.uint64)], 0
-            while first < len(found):
+            new = {}
+            for k, line in enumerate(found):
+                new.setdefault(line, k)
+            lines, at_row = list(new), np.fromiter(new.values(), np.int64, len(new))
+            counts, keys, sketches, first = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.uint64)], [np.zeros((0, 2), np.int64)], 0
+            while first < len(lines):
                 last, chars = first, 0
-                while last < len(found) and (last == first or chars + len(found[last]) <= PIECE):
-                    chars += len(found[last])
+                while last < len(lines) and (last == first or chars + len(lines[last]) <= PIECE):
+                    chars += len(lines[last])
                     last += 1
-                n, key = hasher(found[first:last], size)
-                counts.append(n)
-                keys.append(key)
+                for put, x in zip((counts, keys, sketches), hasher(lines[first:last], size)):
+                    put.append(x)
                 first = last
-            keys = np.concatenate(keys).view(np.int64)
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(np.concatenate(counts)), lists],
-                ["id", "at", "h1", "h2", "n", "bands"],
-            )
+            blobs = list(_packed(np.concatenate(keys), parts))
+            known = [base + np.arange(len(lines)), np.concatenate(counts), *np.concatenate(sketches).T]
+            columns = {c: pa.array(x) for c, x in zip(("id", "at", "h1", "h2"), (pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), digests[:, 0], digests[:, 1]))}
+            nulls = np.ones(len(found), bool)
+            nulls[at_row] = False
+            for c, x in zip(("inst", "n", "s0", "s1"), known):
+                values = np.zeros(len(found), np.int64)
+                values[at_row] = x
+                columns[c] = pa.array(values, mask=nulls)
+            of = {"part": pa.array([p for p, _ in blobs], pa.int32()), "base": pa.array(np.full(len(blobs), base)), "blob": pa.array([x for _, x in blobs], pa.binary())}
+            for made, size_ in ((columns, len(found)), (of, len(blobs))):
+                if size_:
+                    yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(size_, f.type)) for f in _FIELDS], schema=_FIELDS)
+            base += len(lines)
 
     return run
 
 
+_FIELDS = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _SIGNED.split(", "))])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, inst) of the keys that occur more than once, from the blobs of some parts, each of which is whole here.
+
+    What is kept are the different keys so far, sorted, each with its first line; lines of keys that were met before are given out
+    at once, so that a key of very many lines takes no more room than another.
+    """
+    seen, firsts, told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def merged(keys: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
+        nonlocal seen, firsts, told
+        order = np.argsort(keys, kind="stable")
+        keys, lines = keys[order], lines[order]
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        runs = np.diff(np.append(cuts, len(keys)))
+        place = np.searchsorted(seen, keys[cuts])
+        place[place == len(seen)] = 0
+        old = seen[place] == keys[cuts] if len(seen) else np.zeros(len(cuts), bool)
+        give = np.repeat(old | (runs > 1), runs)
+        late = place[old & ~told[place]] if len(seen) else np.zeros(0, np.int64)
+        out = np.concatenate([seen[late], keys[give]]), np.concatenate([firsts[late], lines[give]])
+        told[late] = True
+        new = cuts[~old]
+        seen, firsts, told = np.concatenate([seen, keys[new]]), np.concatenate([firsts, lines[new]]), np.concatenate([told, runs[~old] > 1])
+        order = np.argsort(seen, kind="stable")
+        seen, firsts, told = seen[order], firsts[order], told[order]
+        return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1])], ["key", "inst"])
+
+    keys, lines, waiting = [], [], 0
+    for batch in batches:
+        for part, base, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            rows = np.frombuffer(blob, _KEY)
+            keys.append((np.uint64(part) << np.uint64(40)) + (rows["high"].astype(np.uint64) << np.uint64(32)) + rows["low"])
+            lines.append(base + rows["line"].astype(np.int64))
+            waiting += len(rows)
+            if waiting >= CHUNK:
+                yield merged(np.concatenate(keys), np.concatenate(lines))
+                keys, lines, waiting = [], [], 0
+    if waiting:
+        yield merged(np.concatenate(keys), np.concatenate(lines))
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text): the hash h1 and the normal text of every different line of (doc, text)."""
     for batch in batches:
@@ -131,9 +232,32 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
     least percent % of their union, directly or through others, are one component, of which the first line in the document of the smallest id stays.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    signed = store.written(texts.mapInArrow(_signed(size, bands, rows, seed), "id long, at int, h1 long, h2 long, n long, bands array<long>"), "lines")
-    kinds = store.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("c"), F.max("n").alias("n")), "kinds")
-    node = kinds.select(F.col("h1").alias("node"), "least", "n")
+    tasks = max(1, -(-texts.count() // PART))
+    both = store.written(texts.mapInArrow(_signed(size, bands, rows, seed, 4 * tasks), _SIGNED), "lines")
+    blobs = both.where("part is not null").select("part", "base", "blob").repartition(tasks, "part").select("part", "base", "blob")
+    found = store.written(blobs.mapInArrow(_shared, "key long, inst long"), "keys")
+    signed = store.written(both.where("h1 is not null").select("id", "at", "h1", "h2", "inst", "n", "s0", "s1"), "lines")
+    store.drop(both)  # with the blobs, which are most of it
+    kinds = store.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("c"), F.max("n").alias("n"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "kinds")
+    node = kinds.select(F.col("h1").alias("node"), "least")
+    nodes = kinds.select(F.col("h1").alias("node"), "n", "s0", "s1").dropDuplicates(["node"])
+    held = found.join(signed.where("inst is not null").select("inst", F.col("h1").alias("node"), "s0", "s1"), "inst").select("key", "node", "s0", "s1")
+    held = store.written(held, "held")
+    most = apart(min(128, bands * rows), percent / 100)
+    at = {f"{f}_{s}": (F.min_by if f == "low" else F.max_by)(s, "node").alias(f"{f}_{s}") for f in ("low", "high") for s in ("s0", "s1")}
+    first = counted(held, *at.values(), F.bit_xor("s0").alias("x_s0"), F.bit_xor("s1").alias("x_s1"))
+    # the pairs of two or three lines come with their sketches
+    mid = [F.col(c).bitwiseXOR(F.col(lo)).bitwiseXOR(F.col(hi)) for c, lo, hi in (("x", "low", "high"), ("x_s0", "low_s0", "high_s0"), ("x_s1", "low_s1", "high_s1"))]
+    ends = [[F.col(f), F.col(f"{f}_s0"), F.col(f"{f}_s1")] for f in ("low", "high")]
+    third = (F.col("c") == 3) & (mid[0] != F.col("low")) & (mid[0] != F.col("high"))
+    pair = lambda p, q, when: F.when(when & alike(p[1:], q[1:], most), F.struct(F.least(p[0], q[0]).alias("a"), F.greatest(p[0], q[0]).alias("b")))
+    pairs = F.array(pair(ends[0], ends[1], F.lit(True)), pair(ends[0], mid, third), pair(mid, ends[1], third))
+    pairs = F.when(F.col("c") <= 3, F.filter(pairs, lambda p: p.isNotNull()))
+    first = store.written(first.select("key", "c", pairs.alias("pairs")).where("c > 3 or size(pairs) > 0"), "counted")
+    small = first.where("c <= 3").select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
+    buckets = held.select("key", "node").join(store.small(first.where("c > 3").select("key")), "key").distinct()
+    buckets = store.written(buckets, "buckets")
+    store.drop(held)
 
     def lines(need: DataFrame) -> DataFrame:
         """(id, text) of the lines in need, from the documents that hold them first."""
@@ -149,15 +273,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
         store.drop(found)
         return linked
 
-    found = resolved(
-        signed.select(F.col("h1").alias("node"), F.explode("bands").alias("key")),
-        signed.select(F.col("h1").alias("node"), F.col("bands").alias("parts")).dropDuplicates(["node"]),
-        node.groupBy("node").agg(F.max("n").alias("n")),
-        F.lit(True),  # n counts repeats
-        links,
-        lambda nodes: lines(store.written(nodes, "need")).mapInArrow(sketcher(lambda text: shingles(text, size)), "node long, sketch array<long>"),
-        percent / 100,
-    )
+    # n counts repeats, so that it bounds no similarity
+    found = resolved(small, buckets, nodes, links, lines, partial(shingles, size=size), most, percent, F.lit(True))
     group = kinds.join(found.withColumnRenamed("node", "h1"), "h1", "left")
     # a component is one group; a line without links is known by both halves of its hash
     group = group.withColumns({"g1": F.coalesce("component", "h1"), "g2": F.when(F.col("component").isNull(), F.col("h2"))})

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .buckets import resolved, sketcher
+from .buckets import apart, counted, of_small, plausible, resolved, sketch
 from .hashing import MinHasher, mix, overlap, word_shingles
 
 #: Two collections of so many hashes each, every hash made of so many minhashes. A table key pairs one of either
@@ -43,22 +43,24 @@ def _signatures(shingle: int, collection: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, salts = MinHasher(2 * collection * rows, seed), mix(np.arange(2 * collection, dtype=np.uint64) + np.uint64(seed))
         for batch in batches:
-            counts, kinds, halves = [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            counts, kinds, halves, drawn = [], [], [], np.full((batch.num_rows, 2 * collection * rows), 2**32 - 1, np.uint32)
+            for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 found = word_shingles(text, shingle)
                 counts.append(len(found))
                 kinds.append(xxhash.xxh3_128_digest(found) if len(found) else None)
                 if not len(found):
                     halves.append(None)
                     continue
-                parts = hasher(found).reshape(2 * collection, rows).astype(np.uint64)
+                drawn[k] = hasher(found)
+                parts = drawn[k].reshape(2 * collection, rows).astype(np.uint64)
                 key = salts.copy()
                 for r in range(rows):
                     key = mix(key ^ parts[:, r])
                 halves.append(key.view(np.int64))
+            words = sketch(drawn).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(kinds, pa.binary()), pa.array(map(_node, kinds), pa.int64()), pa.array(halves, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "kind", "node", "halves"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(kinds, pa.binary()), pa.array(map(_node, kinds), pa.int64()), pa.array(halves, pa.list_(pa.int64())), pa.array(words[0]), pa.array(words[1])],
+                ["id", "n_shingles", "kind", "node", "halves", "s0", "s1"],
             )
 
     return run
@@ -127,7 +129,7 @@ def near_duplicates(
     2. A table key pairs a half key of either collection. It can only collide where both halves collide, so
        only half keys that occur twice (a map-side combined count) are paired.
     3. buckets.resolved() confirms links on whole texts, bucket by bucket, such that the components within buckets come
-       out whole and no group of copies is squared.
+       out whole and no group of copies is squared in rows. Sketches of one bit of each minhash leave out pairs that are far apart.
 
     Null or empty texts, and texts without words: n_shingles 0, linked with nothing, kept. Rows with a null id
     count their shingles, have component_id null unless copies of the text have an id, and link nothing. Rows that
@@ -136,28 +138,36 @@ def near_duplicates(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = store.written(
         texts.mapInArrow(
-            _signatures(shingle, collection, rows, seed), "id long, n_shingles long, kind binary, node long, halves array<long>"
+            _signatures(shingle, collection, rows, seed), "id long, n_shingles long, kind binary, node long, halves array<long>, s0 long, s1 long"
         ),
         "signatures",
     )
     kinds = store.written(
         signed.where("kind is not null and id is not null")
         .groupBy("kind")
-        .agg(F.first("node").alias("node"), F.min("id").alias("least"), F.first("n_shingles").alias("n"), F.first("halves").alias("halves")),
+        .agg(F.min("id").alias("least"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("node", "halves", "s0", "s1")]),
         "kinds",
     )
-    half = kinds.select("node", "n", F.posexplode("halves").alias("at", "half"))
+    half = kinds.select("node", F.posexplode("halves").alias("at", "half"))
     shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     mine = F.collect_list(F.struct("at", "half"))
-    paired = half.join(shared, "half").groupBy("node", "n").agg(mine.alias("halves"))
+    paired = half.join(shared, "half").groupBy("node").agg(mine.alias("halves"))
     side = lambda first: F.filter("halves", lambda x: (x["at"] < collection) if first else (x["at"] >= collection))
     keys = (
-        paired.select("node", "n", F.explode(side(True)["half"]).alias("x"), side(False)["half"].alias("ys"))
-        .select("node", "n", "x", F.explode("ys").alias("y"))
+        paired.select("node", F.explode(side(True)["half"]).alias("x"), side(False)["half"].alias("ys"))
+        .select("node", "x", F.explode("ys").alias("y"))
         .select("node", F.xxhash64("x", "y").alias("key"))
     )
     keys = store.written(keys, "keys")
-    half_of = kinds.select("node", F.slice("halves", 1, collection).alias("parts"))
+    first = store.written(counted(keys), "counted")
+    # nodes of keys of more than three rows go on with a row for each half key, so that a group of copies isn't dealt to as many rows as it has keys
+    busy = store.written(keys.join(store.small(first.where("c > 3").select("key")), "key").select("node").distinct(), "busy")
+    store.drop(keys)
+    parts = kinds.select("node", F.explode(F.slice("halves", 1, collection)).alias("key"))
+    buckets = store.written(busy.join(parts, "node").select("node", "key").distinct(), "buckets")
+    second = store.written(counted(buckets), "counted")
+    buckets = store.written(buckets.join(store.small(second.where("c > 3").select("key")), "key").select("key", "node"), "buckets")
+    nodes, most = kinds.select("node", "n", "s0", "s1"), apart(min(128, 2 * collection * rows), percent / 100)
 
     def whole_texts(need: DataFrame) -> DataFrame:
         """(id, text) of the nodes in need, from the rows of the smallest id that has such a text."""
@@ -166,10 +176,8 @@ def near_duplicates(
         return made.join(store.small(need), "id", "left_semi").dropDuplicates(["id"])
 
     found = resolved(
-        keys, half_of, kinds.select("node", "n"),
-        _sized(percent), lambda pairs: _links(pairs, whole_texts, shingle, percent),
-        lambda nodes: whole_texts(store.written(nodes, "need")).mapInArrow(sketcher(partial(word_shingles, size=shingle)), "node long, sketch array<long>"),
-        percent / 100, lambda: store.drop(keys),
+        plausible(of_small(first).union(of_small(second)), nodes, most, _sized(percent)), buckets, nodes,
+        lambda pairs: _links(pairs, whole_texts, shingle, percent), whole_texts, partial(word_shingles, size=shingle), most, percent, _sized(percent),
     )
 
     of = kinds.select("kind", "node", "least").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).select("kind", "c", "least")
