@@ -111,7 +111,7 @@ def _signed(size: int, bands: int, rows: int, seed: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, base = _Bands(bands, rows, seed), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in store.pieces(batches, 1):
             ids, ats, found = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 for at, line in enumerate((text or b"").split(b"\n")):
