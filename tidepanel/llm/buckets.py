@@ -21,6 +21,8 @@ LOST = 1e-6
 BLOCK, SHINGLES = 2048, 1 << 20
 #: Columns of shared shingles that are multiplied at once.
 COLUMNS = 4096
+#: Texts whose shingles are made at once.
+TEXTS = 256
 
 
 def apart(bits: int, similarity: float) -> int:
@@ -164,15 +166,17 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _linking(shingles: Callable[[bytes], np.ndarray], percent: int):
+def _linking(shingles: Callable[[list[bytes]], list[np.ndarray]], percent: int):
     """(a, b): links between components that join the members of a tile, a spanning forest of all of them, by their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole(batches):
             side, node, c = (table.column(k).to_numpy() for k in (1, 3, 4))
-            texts, found = table.column(5).cast(pa.binary()), []
+            texts, found, made = table.column(5).cast(pa.binary()), [], []
             for at, end in zip(starts[:-1], starts[1:]):
-                sets = [shingles(t) for t in texts.slice(at, end - at).to_pylist()]
+                if not made:  # of many small tiles at once
+                    made = shingles(texts.slice(at, max(end - at, TEXTS)).to_pylist())[::-1]
+                sets = [made.pop() if made else shingles(texts.slice(k, 1).to_pylist())[0] for k in range(at, end)]
                 sizes, cc, nn = np.fromiter(map(len, sets), np.int64, len(sets)), c[at:end], node[at:end]
                 linked = np.zeros((len(sets),) * 2, bool)
                 rows = cols = np.arange(len(sets))
@@ -196,7 +200,7 @@ def resolved(
     nodes: DataFrame,
     links: Callable[[DataFrame], DataFrame],
     texts: Callable[[DataFrame], DataFrame],
-    shingles: Callable[[bytes], np.ndarray],
+    shingles: Callable[[list[bytes]], list[np.ndarray]],
     most: int,
     percent: int,
     sized: Column,
@@ -205,7 +209,7 @@ def resolved(
 
     small has pairs (a, b) that are to be compared. buckets has (key, node), all different: any two nodes of a key are candidates. nodes has
     (node, n, s0, s1): a size and a sketch, of which two linked nodes differ in at most `most` bits, but for a share of LOST. links() takes pairs and returns
-    the linked ones, texts() takes (id) and returns (id, text), and shingles() makes a text's set. sized says of n and m whether sets of these sizes can be linked.
+    the linked ones, texts() takes (id) and returns (id, text), and shingles() makes the sets of texts. sized says of n and m whether sets of these sizes can be linked.
 
     1. Each bucket compares its members with one of them (the least node after an exclusive or with one of ORDERS
        hashes), for TESTS buckets of each node, so that a group of copies gets a few comparisons for each member.

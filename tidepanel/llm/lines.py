@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from .buckets import alike, apart, counted, resolved, sketch
-from .hashing import _ranges, mix, overlap
+from .hashing import mix
 
 #: Characters of a shingle, so few that one changed character within a line of 40 leaves a similarity of 0.756; bands and minhashes of a band: a pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS, 0.9995 at 0.75.
 SHINGLE, BANDS, ROWS = 5, 28, 5
@@ -30,25 +30,34 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def _shingled(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, starts): the shingles of each line, repeats kept, from its start on; every line has characters."""
-    texts = [x.decode("utf-8", "replace") for x in lines]
+def _windows(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends): 64-bit hashes of all windows of that many characters, those of each line from its start to its end; between
+    lines are windows that run into the next one, and one more value follows the last line. A line shorter than a window is filled up."""
+    texts = [x.decode("utf-8", "replace").ljust(size, "\0") for x in lines]
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(lengths)
-    counts = np.maximum(1, lengths - size + 1)
-    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    at = np.arange(counts.sum()) + np.repeat(ends - lengths - starts, counts)
-    return _ranges(points.astype(np.uint64) * _ODD + np.uint64(1), at, np.minimum(at + size, np.repeat(ends, counts))), starts
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - size + 1
+    n = max(0, len(points) - size + 1)
+    hashes = np.full(n + 1, 2**64 - 1, np.uint64)
+    hashes[:n] = points[:n]
+    for k in range(1, size):
+        hashes[:n] *= _ODD
+        hashes[:n] += points[k : k + n]
+    return hashes, np.concatenate(([0], ends[:-1] + size - 1))[: len(lines)], ends
 
 
-def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a normal line's shingles."""
-    return np.unique(_shingled([text], size)[0]) if text else np.empty(0, np.uint64)
+def _unique(hashes: np.ndarray) -> np.ndarray:
+    ordered = np.sort(hashes)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
+
+
+def shingles(lines: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct hashes of each normal line's shingles; a line shorter than a shingle has one, of all of it."""
+    hashes, starts, ends = _windows(lines, size)
+    return [_unique(hashes[at:end]) for at, end in zip(starts, ends)]
 
 
 class _Bands:
-    """Signatures of many lines at once. Windows are hashed to 32 bits here, since a chance collision only makes a candidate."""
+    """Signatures of many lines at once, of 32 bits of each window's hash, since a chance collision only makes a candidate."""
 
     def __init__(self, bands: int, rows: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
@@ -56,22 +65,9 @@ class _Bands:
         self.salts = mix(np.arange(bands, dtype=np.uint64) + np.uint64(seed))
 
     def __call__(self, lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(windows, band keys, sketches) of each line; a line shorter than a window is filled up."""
-        texts = [x.decode("utf-8", "replace").ljust(size, "\0") for x in lines]
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - size + 1
-        starts = np.concatenate(([0], ends[:-1] + size - 1))
-        n = len(points) - size + 1
-        hashes = np.full(n + 1, 2**32 - 1, np.uint32)  # one more, for the end of the last line
-        hashes[:n] = points[:n]
-        for k in range(1, size):
-            hashes[:n] *= np.uint32(0x01000193 * 2 + 3)
-            hashes[:n] += points[k : k + n]
-        hashes ^= hashes >> np.uint32(16)
-        hashes *= np.uint32(0x7FEB352D)
-        hashes ^= hashes >> np.uint32(15)
-        hashes *= np.uint32(0x846CA68B)
-        hashes ^= hashes >> np.uint32(16)
+        """(windows, band keys, sketches) of each line."""
+        whole, starts, ends = _windows(lines, size)
+        hashes = (((whole ^ (whole >> np.uint64(29))) * _ODD) >> np.uint64(32)).astype(np.uint32)
         # every other range is a line's; those between hold the windows that run into the next line
         ranges, product = np.stack([starts, ends], 1).ravel(), np.empty_like(hashes)
         least = np.empty((len(self.factors), len(lines)), np.uint32)
@@ -85,18 +81,20 @@ class _Bands:
         return ends - starts, keys.T, sketch(np.ascontiguousarray(least[:128].T))
 
 
-#: Bytes of a key in a blob: 40 bits of the key (the others choose its part), and the number of its line.
-_KEY = np.dtype([("low", "<u4"), ("high", "u1"), ("line", "<u4")])
+#: A key in a blob: 32 bits of it (the others choose its part), its line's number, and 24 bits of the line's hash, by which copies are known.
+_KEY = np.dtype([("key", "<u4"), ("line", "<u2"), ("low", "<u2"), ("high", "u1")])
+#: Different lines of a blob.
+LINES = 1 << 16
 
 
-def _packed(keys: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, blob) of the keys (lines x bands), every key with its line's number."""
+def _packed(keys: np.ndarray, tags: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of the keys (lines x bands), every key with its line's number and tag."""
     flat = keys.ravel()
-    part = (flat & np.uint64(0xFFFFFF)).astype(np.int64) % parts
+    part = (flat >> np.uint64(32)).astype(np.int64) % parts
     order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
-    flat, part = flat[order] >> np.uint64(24), part[order]
+    part, line = part[order], order // keys.shape[1]
     rows = np.empty(len(flat), _KEY)
-    rows["low"], rows["high"], rows["line"] = flat.astype(np.uint32), flat >> np.uint64(32), order // keys.shape[1]
+    rows["key"], rows["line"], rows["low"], rows["high"] = flat[order].astype(np.uint32), line, tags[line] & 0xFFFF, tags[line] >> 16 & 0xFF
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
     for at, end in zip(cuts, [*cuts[1:], len(part)]):
         yield int(part[at]), rows[at:end].tobytes()
@@ -133,7 +131,9 @@ def _signed(size: int, bands: int, rows: int, seed: int, parts: int):
                 for put, x in zip((counts, keys, sketches), hasher(lines[first:last], size)):
                     put.append(x)
                 first = last
-            blobs = list(_packed(np.concatenate(keys), parts))
+            keys, tags, blobs = np.concatenate(keys), digests[at_row, 0], []
+            for first in range(0, len(lines), LINES):
+                blobs += [(p, base + first, x) for p, x in _packed(keys[first : first + LINES], tags[first : first + LINES], parts)]
             known = [base + np.arange(len(lines)), np.concatenate(counts), *np.concatenate(sketches).T]
             columns = {c: pa.array(x) for c, x in zip(("id", "at", "h1", "h2"), (pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), digests[:, 0], digests[:, 1]))}
             nulls = np.ones(len(found), bool)
@@ -142,7 +142,7 @@ def _signed(size: int, bands: int, rows: int, seed: int, parts: int):
                 values = np.zeros(len(found), np.int64)
                 values[at_row] = x
                 columns[c] = pa.array(values, mask=nulls)
-            of = {"part": pa.array([p for p, _ in blobs], pa.int32()), "base": pa.array(np.full(len(blobs), base)), "blob": pa.array([x for _, x in blobs], pa.binary())}
+            of = {c: pa.array([x[k] for x in blobs], t) for k, (c, t) in enumerate((("part", pa.int32()), ("base", pa.int64()), ("blob", pa.binary())))}
             for made, size_ in ((columns, len(found)), (of, len(blobs))):
                 if size_:
                     yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(size_, f.type)) for f in _FIELDS], schema=_FIELDS)
@@ -155,44 +155,46 @@ _FIELDS = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.bi
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, inst) of the keys that occur more than once, from the blobs of some parts, each of which is whole here.
+    """(key, inst) of the keys of more than one line, from the blobs of some parts, each of which is whole here.
 
-    What is kept are the different keys so far, sorted, each with its first line; lines of keys that were met before are given out
-    at once, so that a key of very many lines takes no more room than another.
+    What is kept are the different keys so far, sorted, each with its first line; other lines of such a key are given out
+    at once, so that a key of very many lines takes no more room than another. Lines of the first one's tag are its copies, but for
+    one pair in 2 ** 24.
     """
-    seen, firsts, told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    seen, firsts, marks, told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
 
-    def merged(keys: np.ndarray, lines: np.ndarray) -> pa.RecordBatch:
-        nonlocal seen, firsts, told
+    def merged(keys: np.ndarray, lines: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
+        nonlocal seen, firsts, marks, told
         order = np.argsort(keys, kind="stable")
-        keys, lines = keys[order], lines[order]
+        keys, lines, tags = keys[order], lines[order], tags[order]
         cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        runs = np.diff(np.append(cuts, len(keys)))
         place = np.searchsorted(seen, keys[cuts])
-        place[place == len(seen)] = 0
-        old = seen[place] == keys[cuts] if len(seen) else np.zeros(len(cuts), bool)
-        give = np.repeat(old | (runs > 1), runs)
-        late = place[old & ~told[place]] if len(seen) else np.zeros(0, np.int64)
-        out = np.concatenate([seen[late], keys[give]]), np.concatenate([firsts[late], lines[give]])
-        told[late] = True
+        old = np.zeros(len(cuts), bool)
+        inside = place < len(seen)
+        old[inside] = seen[place[inside]] == keys[cuts[inside]]
         new = cuts[~old]
-        seen, firsts, told = np.concatenate([seen, keys[new]]), np.concatenate([firsts, lines[new]]), np.concatenate([told, runs[~old] > 1])
+        seen, firsts, marks, told = (np.concatenate(x) for x in ((seen, keys[new]), (firsts, lines[new]), (marks, tags[new]), (told, np.zeros(len(new), bool))))
         order = np.argsort(seen, kind="stable")
-        seen, firsts, told = seen[order], firsts[order], told[order]
+        seen, firsts, marks, told = seen[order], firsts[order], marks[order], told[order]
+        place = np.repeat(np.searchsorted(seen, keys[cuts]), np.diff(np.append(cuts, len(keys))))
+        give = tags != marks[place]
+        late = np.unique(place[give])
+        late = late[~told[late]]
+        told[late] = True
+        out = np.concatenate([seen[late], keys[give]]), np.concatenate([firsts[late], lines[give]])
         return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1])], ["key", "inst"])
 
-    keys, lines, waiting = [], [], 0
+    waiting, size = [], 0
     for batch in batches:
         for part, base, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
             rows = np.frombuffer(blob, _KEY)
-            keys.append((np.uint64(part) << np.uint64(40)) + (rows["high"].astype(np.uint64) << np.uint64(32)) + rows["low"])
-            lines.append(base + rows["line"].astype(np.int64))
-            waiting += len(rows)
-            if waiting >= CHUNK:
-                yield merged(np.concatenate(keys), np.concatenate(lines))
-                keys, lines, waiting = [], [], 0
-    if waiting:
-        yield merged(np.concatenate(keys), np.concatenate(lines))
+            waiting.append((rows["key"] + (np.uint64(part) << np.uint64(32)), base + rows["line"].astype(np.int64), rows["low"] + (rows["high"].astype(np.int32) << 16)))
+            size += len(rows)
+            if size >= CHUNK:
+                yield merged(*map(np.concatenate, zip(*waiting)))
+                waiting, size = [], 0
+    if size:
+        yield merged(*map(np.concatenate, zip(*waiting)))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,17 +212,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, kept = None, None
-        for batch in batches:
+        low = np.uint64(64 - 12)
+        for batch in store.pieces(batches, 2, 1 << 20):
             good = []
-            for a, b, left, right in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if left != key:
-                    key, kept = left, shingles(left, size)
-                other = shingles(right, size)
-                both = overlap(kept, other)
-                if 100 * both >= percent * (len(kept) + len(other) - both) > 0:
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in good], pa.int64()) for k in (0, 1)], ["a", "b"])
+            for at in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(at, 1 << 12)
+                sides = []
+                for k in (2, 3):  # a pair's number above 52 bits of each of its shingles
+                    hashes, starts, ends = _windows(part.column(k).to_pylist(), size)
+                    of = np.repeat(np.arange(len(starts), dtype=np.uint64), ends - starts)
+                    own = np.repeat(starts - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) + np.arange(len(of))
+                    sides.append(_unique((mix(hashes[own]) >> np.uint64(12)) | (of << low)))
+                both = np.sort(np.concatenate(sides))
+                both, n = both[1:][both[1:] == both[:-1]], part.num_rows
+                both, left, right = (np.bincount((x >> low).astype(np.int64), minlength=n) for x in (both, *sides))
+                good.append((100 * both >= percent * (left + right - both)) & (both > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(np.concatenate(good))) for k in (0, 1)], ["a", "b"])
 
     return run
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +176,7 @@ def near_duplicates(
 
     found = resolved(
         plausible(of_small(first).union(of_small(second)), nodes, most, _sized(percent)), buckets, nodes,
-        lambda pairs: _links(pairs, whole_texts, shingle, percent), whole_texts, partial(word_shingles, size=shingle), most, percent, _sized(percent),
+        lambda pairs: _links(pairs, whole_texts, shingle, percent), whole_texts, lambda texts: [word_shingles(t, shingle) for t in texts], most, percent, _sized(percent),
     )
 
     of = kinds.select("kind", "node", "least").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).select("kind", "c", "least")
