@@ -219,6 +219,8 @@ def resolved(
        products and gives no more than a spanning forest of the links. Rows grow with members times blocks, never with pairs, and nothing is capped:
        every pair of a bucket whose link could change a component is looked at.
     """
+    of = buckets.select("node").distinct()
+    nodes = store.small(store.written(nodes.join(of, "node").dropDuplicates(["node"]), "nodes"))
     mask = F.xxhash64(F.pmod("key", F.lit(ORDERS)), F.lit(0))
     turn = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("key", F.lit(1)), "key"))
     lead = buckets.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("a")).withColumn("a", F.col("a").bitwiseXOR(mask))

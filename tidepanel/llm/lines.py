@@ -243,11 +243,10 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
     both = store.written(texts.mapInArrow(_signed(size, bands, rows, seed, 4 * tasks), _SIGNED), "lines")
     blobs = both.where("part is not null").select("part", "base", "blob").repartition(tasks, "part").select("part", "base", "blob")
     found = store.written(blobs.mapInArrow(_shared, "key long, inst long"), "keys")
-    signed = store.written(both.where("h1 is not null").select("id", "at", "h1", "h2", "inst", "n", "s0", "s1"), "lines")
-    store.drop(both)  # with the blobs, which are most of it
+    signed = both.where("h1 is not null").select("id", "at", "h1", "h2", "inst", "n", "s0", "s1")
     kinds = store.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("c"), F.max("n").alias("n"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "kinds")
     node = kinds.select(F.col("h1").alias("node"), "least")
-    nodes = kinds.select(F.col("h1").alias("node"), "n", "s0", "s1").dropDuplicates(["node"])
+    nodes = kinds.select(F.col("h1").alias("node"), "n", "s0", "s1")
     held = found.join(signed.where("inst is not null").select("inst", F.col("h1").alias("node"), "s0", "s1"), "inst").select("key", "node", "s0", "s1")
     held = store.written(held, "held")
     most = apart(min(128, bands * rows), percent / 100)
@@ -282,22 +281,22 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
 
     # n counts repeats, so that it bounds no similarity
     found = resolved(small, buckets, nodes, links, lines, partial(shingles, size=size), most, percent, F.lit(True))
-    group = kinds.join(found.withColumnRenamed("node", "h1"), "h1", "left")
-    # a component is one group; a line without links is known by both halves of its hash
-    group = group.withColumns({"g1": F.coalesce("component", "h1"), "g2": F.when(F.col("component").isNull(), F.col("h2"))})
+    # a component is one group; a line without links is known by both halves of its hash. Only lines that stand for others, or others for them, go on
+    group = kinds.select("h1", "h2", "least", "c").join(store.small(found.withColumnRenamed("node", "h1")), "h1", "left")
     root = found.select(F.col("component").alias("r")).distinct()
-    group = group.join(root, F.col("h1") == F.col("r"), "left").withColumn("g2", F.when(F.col("r").isNull(), F.col("g2")))
-    keep = group.groupBy("g1", "g2").agg(F.min("least").alias("keeper"), F.sum("c").alias("lines")).where("lines > 1")
-    keep = keep.select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), "keeper")
+    group = group.join(store.small(root), F.col("h1") == F.col("r"), "left").where("c > 1 or component is not null or r is not null")
+    alone = F.col("component").isNull() & F.col("r").isNull()
+    group = store.written(group.select("h1", "h2", "least", F.coalesce("component", "h1").alias("g1"), F.when(alone, F.col("h2")).alias("g2")), "groups")
+    keep = group.groupBy("g1", "g2").agg(F.min("least").alias("keeper")).select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), "keeper")
     group = group.join(keep, (F.col("g1") == F.col("k1")) & F.col("g2").eqNullSafe(F.col("k2"))).select("h1", "h2", "g1", "g2", "keeper")
-    group = store.written(group, "groups")
+    group = store.small(store.written(group, "groups"))
     hits = signed.select("id", "at", "h1", "h2").join(group, ["h1", "h2"])
     mine = hits.where("id = keeper").groupBy("id", "g1", "g2").agg(F.min("at").alias("first"))
     mine = mine.select(F.col("id").alias("i"), F.col("g1").alias("k1"), F.col("g2").alias("k2"), "first")
     same = (F.col("id") == F.col("i")) & (F.col("g1") == F.col("k1")) & F.col("g2").eqNullSafe(F.col("k2"))
     drops = hits.where("id != keeper").select("id", "at").union(hits.where("id = keeper").join(mine, same).where("at != first").select("id", "at"))
     drops = store.written(drops.groupBy("id").agg(F.collect_set("at").alias("drops")), "drops")
-    store.drop(signed)
+    store.drop(both)
     return drops
 
 
