@@ -40,3 +40,45 @@ def test_lost_before_the_commit(spark, odd_docs):
         pass
     assert r.totals().count() == 0 and not r.committed("x")
     assert r.commit("x", rollups.inserts(odd_docs, "words-1", F.col("text")))
+
+
+class _Lost(Exception):
+    pass
+
+
+def test_compaction_lost_at_every_step(spark):
+    batch = lambda n: spark.createDataFrame([("s", "en", "t", 1, n)], rollups.Rollup.SCHEMA)
+    for steps in range(8):
+        r = rollups.Rollup(spark, store.new_path(spark, "rollup"))
+        for n in (1, 2, 3):
+            assert r.commit(f"b{n}", batch(10 * n))
+        r.compact("first")
+        assert r.commit("b4", batch(5)) and r.commit("b5", batch(6))
+        real, left = r._fs, [steps]
+
+        class Failing:
+            def __getattr__(self, name):
+                if name in ("delete", "mkdirs"):
+                    if not left[0]:
+                        raise _Lost
+                    left[0] -= 1
+                return getattr(real, name)
+
+        r._fs, lost = Failing(), False
+        try:
+            r.compact("second")
+        except _Lost:
+            lost = True
+        r._fs = real
+        assert totals(r) == {("s", "en", "t"): (5, 71)}
+        r.compact("second")
+        assert totals(r) == {("s", "en", "t"): (5, 71)} and not r._names("batches") and r._names("generations") == ["second"]
+        assert all(not r.commit(f"b{n}", batch(1)) for n in range(1, 6)) and (lost or steps > 5)
+
+
+def test_two_committers_of_one_batch(spark):
+    r = rollups.Rollup(spark, store.new_path(spark, "rollup"))
+    rows = spark.createDataFrame([("s", "en", "t", 1, 7)], r.SCHEMA)
+    r.committed = lambda batch: False  # as if both had asked before either moved
+    assert r.commit("x", rows) and not r.commit("x", rows)
+    assert totals(r) == {("s", "en", "t"): (1, 7)} and r._names("staged") == []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +39,11 @@ def revisions(docs: DataFrame, tokenizer: str, old: Column, new: Column) -> Data
 class Rollup:
     """Totals of signed batches in a folder that all executors share.
 
-    commit() sums a batch by key (map-side combined, so that a hot source is a few rows a task), writes the sums beside the
-    table and renames the folder into it under the batch's id. The rename is the commit: a batch whose id is there
-    already isn't applied again, a job that is lost before it leaves nothing that totals() reads, and a rerun starts over.
-    totals() adds up the committed batches. compact() replaces the batches by one of their sums and keeps their ids.
+    commit() sums a batch by key (map-side combined, so that a hot source is a few rows a task), writes the sums to a staging folder of
+    its own and moves that to the batch's id. The move is the commit: it fails if the id is there, so of two committers of an id one wins,
+    a batch that was committed before isn't applied again, a job that is lost before it leaves nothing that totals() reads, and a rerun starts over.
+    compact() moves in a generation, the sums and the ids they cover, and only then deletes what is covered. totals() adds up the generation that
+    covers most and the batches that it doesn't cover, so it is right before, between and after these steps.
     A null source or language is a key like others. A key whose documents have all gone stays with totals 0. Columns other than the
     five of the deltas are ignored.
     """
@@ -50,44 +54,68 @@ class Rollup:
         self.spark, self.path = spark, path.rstrip("/")
         self._of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._of(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._of(f"{self.path}/ids"))
+        jvm = spark.sparkContext._jvm
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        self._plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        for folder in ("batches", "generations", "staged"):
+            self._fs.mkdirs(self._of(f"{self.path}/{folder}"))
 
     def _names(self, folder: str) -> list[str]:
-        at = self._of(f"{self.path}/{folder}")
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._of(f"{self.path}/{folder}")))
+
+    def _moved(self, staged: str, place: str) -> bool:
+        """Whether this call put the staged folder in its place; False if there is one already, which stays as it is."""
+        try:
+            self._context.rename(self._of(staged), self._of(place), self._plain)
+            return True
+        except Py4JJavaError as e:
+            if not e.java_exception.getClass().getName().endswith("FileAlreadyExistsException"):
+                raise
+            self._fs.delete(self._of(staged), True)
+            return False
+
+    def _generation(self) -> tuple[str | None, set[str]]:
+        """The generation that covers most batches, and these."""
+        found = [(set(self._names(f"generations/{g}/covers")), g) for g in self._names("generations")]
+        covers, name = max(found, key=lambda x: (len(x[0]), x[1]), default=(set(), None))
+        return name, covers
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._of(f"{self.path}/batches/{batch}")) or self._fs.exists(self._of(f"{self.path}/ids/{batch}"))
+        return self._fs.exists(self._of(f"{self.path}/batches/{batch}")) or batch in self._generation()[1]
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
-        """Applies a batch once; False if its id has been committed before."""
+        """Applies a batch once; False if its id has been committed before, by this or another committer. Commits may run beside each other, but not beside compact()."""
         if self.committed(batch):
             return False
         summed = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        staged = f"{self.path}/staged/{batch}"
-        summed.coalesce(1).write.mode("overwrite").parquet(staged)
-        self._fs.mkdirs(self._of(f"{self.path}/batches"))
-        return bool(self._fs.rename(self._of(staged), self._of(f"{self.path}/batches/{batch}")))
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        summed.coalesce(1).write.parquet(staged)
+        return self._moved(staged, f"{self.path}/batches/{batch}")
 
     def totals(self) -> DataFrame:
-        names = self._names("batches")
-        if not names:
+        generation, covers = self._generation()
+        paths = [f"{self.path}/batches/{n}" for n in self._names("batches") if n not in covers]
+        if generation:
+            paths.append(f"{self.path}/generations/{generation}/sums")
+        if not paths:
             return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*(f"{self.path}/batches/{n}" for n in names))
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*paths)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def compact(self, name: str) -> None:
-        """Replaces the batches by one of their sums. The ids are kept first; the new batch is moved in last but for the deletion.
-
-        A compaction is run while no batch is being committed. If it is lost between its steps, it is run again under the same name.
-        """
-        old = [n for n in self._names("batches") if n != name]
-        staged = self._of(f"{self.path}/staged/{name}")
-        if not self._fs.exists(self._of(f"{self.path}/batches/{name}")):
-            self.totals().coalesce(1).write.mode("overwrite").parquet(str(staged))
-        for n in old:
-            self._fs.mkdirs(self._of(f"{self.path}/ids/{n}"))
-        for n in old:
-            self._fs.delete(self._of(f"{self.path}/batches/{n}"), True)
-        if self._fs.exists(staged):
-            self._fs.rename(staged, self._of(f"{self.path}/batches/{name}"))
+        """Replaces the batches by a generation of their sums. A compaction that is lost at any step is run again, under the same name or another; each later one takes a new name."""
+        before, covers = self._generation()
+        if before != name:
+            staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+            self.totals().coalesce(1).write.parquet(f"{staged}/sums")
+            self._fs.mkdirs(self._of(f"{staged}/covers"))
+            for batch in covers | set(self._names("batches")):
+                self._fs.mkdirs(self._of(f"{staged}/covers/{batch}"))
+            if not self._moved(staged, f"{self.path}/generations/{name}"):
+                raise ValueError(f"{name} is the name of an earlier compaction")
+        now, covers = self._generation()
+        for batch in covers & set(self._names("batches")):
+            self._fs.delete(self._of(f"{self.path}/batches/{batch}"), True)
+        for generation in self._names("generations"):
+            if generation != now:
+                self._fs.delete(self._of(f"{self.path}/generations/{generation}"), True)
