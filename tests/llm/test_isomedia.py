@@ -50,3 +50,23 @@ def test_columns(spark, odd_docs, no_docs):
         assert r.media_sha256 == hashlib.sha256(r.media).hexdigest() and json.loads(r.feature)["samples"] == len(payload) // 64
         assert payload[:64] == r.media[r.keyframes[0].start :][:64]
     assert isomedia.media_columns(no_docs).count() == 0
+
+
+def test_mutated_files_never_fail():
+    import random
+    import struct
+
+    from tidepanel.llm import isomedia
+
+    box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+    track = lambda *inner: box(b"moov", box(b"trak", box(b"mdia", b"".join(inner))))
+    assert len(isomedia.tracks(track(box(b"mdhd", b"")))) == 1
+    table = box(b"stbl", box(b"stsz", struct.pack(">III", 0, 1, 2**32 - 1)) + box(b"stsc", struct.pack(">IIIII", 0, 1, 1, 2**32 - 1, 1)) + box(b"stco", struct.pack(">III", 0, 1, 8)) + box(b"co64", b"\0\0"))
+    whole = track(box(b"mdhd", struct.pack(">IIIII", 0, 0, 0, 8000, 64)), box(b"hdlr", b"\0" * 8 + b"soun"), box(b"minf", table))
+    isomedia.tracks(whole)
+    rng = random.Random(2)
+    for _ in range(400):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 6)):
+            data[rng.randrange(len(data))] = rng.choice((0, 1, 255, rng.randrange(256)))
+        isomedia.tracks(bytes(data[: rng.randint(0, len(data))]))

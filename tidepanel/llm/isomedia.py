@@ -140,16 +140,16 @@ def tracks(data: bytes) -> list[dict]:
                 t["codec"] = bytes(view[at + 12 : at + 16]).decode("latin-1")
             elif kind == "stsz":
                 size, n = struct.unpack_from(">II", view, at + 4)
-                t["sizes"] = np.full(n, size, np.int64) if size else _table(view, at, end, 1, 8)[:, 0]
+                t["sizes"] = np.full(min(n, len(view) // size), size, np.int64) if size else _table(view, at, end, 1, 8)[:, 0]
             elif kind == "stsc":
                 t["runs"] = _table(view, at, end, 3)
             elif kind == "stco":
                 t["chunks"] = _table(view, at, end, 1)[:, 0]
             elif kind == "co64":
-                t["chunks"] = np.frombuffer(view, ">u8", min(struct.unpack_from(">I", view, at + 4)[0], (end - at - 8) // 8), at + 8).astype(np.int64)
+                t["chunks"] = np.frombuffer(view, ">u8", max(0, min(struct.unpack_from(">I", view, at + 4)[0], (end - at - 8) // 8)), at + 8).astype(np.int64)
             elif kind == "stss":
                 t["sync"] = _table(view, at, end, 1)[:, 0]
-        except struct.error:
+        except (struct.error, IndexError, ValueError):  # cut off or foreign
             break
     for t in found:
         sizes, runs, chunks, sync = (t.pop(k) for k in ("sizes", "runs", "chunks", "sync"))
@@ -157,7 +157,10 @@ def tracks(data: bytes) -> list[dict]:
         for k in range(len(runs)):
             last = runs[k + 1][0] - 1 if k + 1 < len(runs) else len(chunks)
             each[max(0, runs[k][0] - 1) : last] = runs[k][1]
-        n = min(len(sizes), int(each.sum()))
+        # no more samples than have sizes, whatever the counts say
+        each = np.minimum(each, len(sizes))
+        each = np.diff(np.minimum(np.cumsum(each), len(sizes)), prepend=0)
+        n = int(each.sum())
         sizes, chunk = sizes[:n], np.repeat(np.arange(len(chunks)), each)[:n]
         before = np.concatenate(([0], np.cumsum(sizes)))[:n]
         firsts = np.concatenate(([0], np.cumsum(each)))[chunk] if n else chunk
