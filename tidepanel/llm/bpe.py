@@ -326,17 +326,19 @@ def _coded(spec, lexicon, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec, lexicon)
         gc.disable()  # strings and tuples of them make no cycles, and there are a million of them
-        for batch in batches:
-            rows = list(coder.encode_all(batch.column(1).cast(pa.binary()).to_pylist()))
-            out = {
-                "n_tokens": pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in rows], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(back.encode()).hexdigest() for _, back in rows], pa.string()),
-            }
-            if keep:
-                out |= {"ids": pa.array([[int(i) for i in ids.split()] for ids, _ in rows], pa.list_(pa.int32())), "decoded": pa.array([back for _, back in rows], pa.string())}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *out.values()], ["id", *out])
-        gc.enable()
+        try:
+            for batch in batches:
+                rows = list(coder.encode_all(batch.column(1).cast(pa.binary()).to_pylist()))
+                out = {
+                    "n_tokens": pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in rows], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(back.encode()).hexdigest() for _, back in rows], pa.string()),
+                }
+                if keep:
+                    out |= {"ids": pa.array([[int(i) for i in ids.split()] for ids, _ in rows], pa.list_(pa.int32())), "decoded": pa.array([back for _, back in rows], pa.string())}
+                yield pa.RecordBatch.from_arrays([batch.column(0), *out.values()], ["id", *out])
+        finally:
+            gc.enable()
 
     return run
 
