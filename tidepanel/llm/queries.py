@@ -31,7 +31,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1 as reply trees without branches, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = chat.END + chat.START + "assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT bigint(-1) AS conv_id, bigint(turn) AS turn, role, :said AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)", args={"said": said})
     out = chat.formatted(chat.linear(rows.unionByName(extra)))
     back = store.written(out.select("tree", "text"), "formatted").withColumn("turns", chat.read_back(F.col("text")))
     each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
