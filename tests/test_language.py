@@ -85,3 +85,58 @@ def test_cleaned_and_kept(spark, tmp_path):
     got = {(r.instrument, r.date): r.x for r in upserted(clean, new).collect()}
     assert got == {("A", 1): None, ("A", 2): None, ("A", 3): 9.0, ("B", 1): None, ("C", 1): 2.0}
     assert not any(isinstance(v, float) and math.isnan(v) for v in got.values())
+
+
+def test_point_in_time_fields(spark):
+    import datetime
+
+    import pytest
+
+    from tidepanel.functions.planner import computed
+
+    d = lambda k: datetime.date(2020, 1, k)
+    panel = spark.createDataFrame([("a", d(k), float(k)) for k in (1, 5, 9)], "instrument string, date date, close double")
+    facts = [("eps", "a", 1, d(2), 10.0, 0), ("eps", "a", 1, d(6), 11.0, 1), ("eps", "a", 2, d(9), 20.0, 2), ("eps", "a", 1, d(10), 12.0, 3), ("sales", "a", 1, d(1), 7.0, 0)]
+    facts = spark.createDataFrame(facts, "field string, instrument string, period int, obs_date date, value double, seq int")
+    got = computed(panel, {"v": "$close / $$eps", "w": "$$sales"}, facts=facts).orderBy("date").collect()
+    assert [(r.v, r.w) for r in got] == [(None, 7.0), (0.5, 7.0), (0.45, 7.0)]
+    with pytest.raises(ValueError):
+        computed(panel, {"v": "$$eps"})
+
+
+def test_spearman_ranks_within_the_window(spark):
+    import datetime
+    import random
+
+    import pandas as pd
+
+    from tidepanel.functions.planner import computed
+
+    rng = random.Random(4)
+    rows = [("a", datetime.date(2020, 1, 1) + datetime.timedelta(k), float(rng.randrange(6)), float(rng.randrange(6))) for k in range(40)]
+    got = computed(spark.createDataFrame(rows, "instrument string, date date, x double, y double"), {"v": "Spearman($x, $y, 7)"}).orderBy("date").toPandas()["v"]
+    x, y = pd.Series([r[2] for r in rows]), pd.Series([r[3] for r in rows])
+    for k in range(6, 40):
+        want = x[k - 6 : k + 1].rank().corr(y[k - 6 : k + 1].rank())
+        assert abs(got[k] - want) < 1e-9 or (pd.isna(got[k]) and pd.isna(want))
+    assert got[:6].isna().all()
+
+
+def test_order_statistics_of_a_date(spark):
+    import datetime
+    import random
+    import statistics
+
+    from tidepanel.functions.planner import computed
+
+    rng = random.Random(5)
+    x = [float(rng.randrange(30)) for _ in range(47)]
+    rows = [(f"i{k:02}", datetime.date(2020, 1, 1), v) for k, v in enumerate(x)] + [("none", datetime.date(2020, 1, 1), None)]
+    panel = spark.createDataFrame(rows, "instrument string, date date, close double")
+    got = {r.instrument: r for r in computed(panel, {"w": "Winsorize($close, 0.1, 0.9)", "z": "RobustZ($close)"}).collect()}
+    s, m = sorted(x), statistics.median(x)
+    low, high, mad = s[int(0.1 * 47)], s[47 - 1 - int((1 - 0.9) * 47)], statistics.median(abs(v - m) for v in x)
+    for k, v in enumerate(x):
+        r = got[f"i{k:02}"]
+        assert r.w == min(max(v, low), high) and abs(r.z - min(max((v - m) / (1.4826 * mad), -3), 3)) < 1e-9
+    assert got["none"].w is None and got["none"].z is None

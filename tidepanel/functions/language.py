@@ -7,6 +7,10 @@ import re
 from dataclasses import dataclass
 
 
+#: What the names of point-in-time fields begin with.
+PIT = "_pit_"
+
+
 @dataclass(frozen=True)
 class Node:
     """A term: an operator's name and its arguments (nodes, numbers, strings). Equal terms are equal values, planned once."""
@@ -48,8 +52,9 @@ _OPERATORS = {
 
 
 def parse(formula: str, names: set[str] | None = None) -> Node:
-    """The tree of a formula. $x is a field. Only calls of known names, numbers, strings and operators are read."""
-    text = re.sub(r"\$\$?(\w+)", r"__field__('\1')", formula)
+    """The tree of a formula. $x is a field, $$x a point-in-time field. Only calls of known names, numbers, strings and operators are read."""
+    text = re.sub(r"\$\$(\w+)", rf"__field__('{PIT}\1')", formula)
+    text = re.sub(r"\$(\w+)", r"__field__('\1')", text)
 
     def walk(e: ast.AST):
         match e:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from .language import Node
+
 #: Row number of a row in its instrument, added to every panel before windows are taken.
 T = "_t"
 
@@ -78,7 +80,7 @@ for _name, _f in {
     "Log1p": lambda a: F.when(a > -1, F.log1p(a)), "Exp": F.exp, "Expm1": F.expm1, "Sqrt": lambda a: F.when(a >= 0, F.sqrt(a)),
     "Sin": F.sin, "Cos": F.cos, "Tan": F.tan, "Arcsin": lambda a: F.when(F.abs(a) <= 1, F.asin(a)), "Arccos": lambda a: F.when(F.abs(a) <= 1, F.acos(a)),
     "Arctan": F.atan, "Sinh": F.sinh, "Cosh": F.cosh, "Tanh": F.tanh, "Arcsinh": F.asinh, "Arccosh": lambda a: F.when(a >= 1, F.acosh(a)),
-    "Arctanh": lambda a: F.when(F.abs(a) < 1, F.atanh(a)), "IsNull": lambda a: a.isNull(), "NotNull": lambda a: a.isNotNull(),
+    "Arctanh": lambda a: F.when(F.abs(a) < 1, F.atanh(a)), "Floor": lambda a: num(F.floor(a)), "IsInf": lambda a: truth(F.abs(num(a)) == float("inf")), "IsFinite": lambda a: truth((F.abs(num(a)) != float("inf")) & ~F.isnan(num(a))), "IsNull": lambda a: a.isNull(), "NotNull": lambda a: a.isNotNull(),
     "Fillna": lambda a, v: F.coalesce(num(a), num(v)), "Clip": lambda a, lo, hi: F.when(a.isNotNull(), F.least(F.greatest(num(a), num(lo)), num(hi))),
     "Where": lambda c, a: F.when(truth(c), num(a)), "Tri": lambda a: F.when(a, 1.0).when(~a, 0.0),
 }.items():
@@ -228,6 +230,19 @@ OPERATORS["Beta"] = Operator(_pair(lambda p, q, w: div(F.covar_samp(p, q).over(w
 OPERATORS["Alpha"] = Operator(_pair(lambda p, q, w: F.regr_intercept(p, q).over(w)), True)
 
 
+@operator("Spearman", True)
+def _(fr, x, y, n):
+    """Correlation of the ranks, ties averaged, that both have among the pairs of a full frame."""
+    w = fr.last(n)
+    a = F.collect_list(both(x, y, F.struct(num(x).alias("x"), num(y).alias("y")))).over(w)
+    rank = lambda f: F.transform(a, lambda v: num(F.size(F.filter(a, lambda u: u[f] < v[f]))) + (F.size(F.filter(a, lambda u: u[f] == v[f])) + 1) / 2)
+    # ranks of either side have the mean (n + 1) / 2
+    mid, add = (n + 1) / 2, lambda p: F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
+    cov = lambda p, q: add(F.zip_with(p, q, lambda u, v: (u - mid) * (v - mid)))
+    p, q = rank("x"), rank("y")
+    return F.when(F.size(a) == n, div(cov(p, q), F.sqrt(cov(p, p) * cov(q, q))))
+
+
 @operator("FFill", True)
 def _(fr, x):
     return F.last(x, ignorenulls=True).over(fr.series.rowsBetween(Window.unboundedPreceding, 0))
@@ -328,16 +343,6 @@ _cross("Bottom", lambda x, n: truth(F.when(x.isNotNull(), F.row_number().over(Wi
 _cross("PercentileBetween", lambda x, lo, hi: truth((x >= F.percentile(x, lo / 100).over(_day())) & (x <= F.percentile(x, hi / 100).over(_day()))))
 
 
-@operator("Winsorize", True)
-def _(fr, x, low, high):
-    """Clamps to the order statistics int(low * n) and n - 1 - int((1 - high) * n) of the date."""
-    a = F.array_sort(F.collect_list(num(x)).over(_day()))
-    n = F.size(a)
-    at = lambda p: F.get(a, p)
-    lo, hi = at(F.floor(low * n).cast("int")), at((n - 1 - F.floor((1 - high) * n)).cast("int"))
-    return F.when(x.isNotNull(), F.least(F.greatest(num(x), lo), hi))
-
-
 @operator("Quantiles", True)
 def _(fr, x, bins):
     """Label 0 to bins - 1 by linearly interpolated edges, closed on the right; -1 without a value."""
@@ -346,11 +351,27 @@ def _(fr, x, bins):
     return num(F.when(x.isNotNull(), label).otherwise(-1))
 
 
-@operator("RobustZ", True)
-def _(fr, x):
-    """(x - median) / (1.4826 * median absolute deviation) of the date, clipped to +-3. The median of deviations needs a stage of its own."""
-    m = F.percentile(num(x), 0.5).over(_day())
-    a = F.transform(F.collect_list(num(x)).over(_day()), lambda v: F.abs(v - m))
-    s, n = F.array_sort(a), F.size(a)
-    mad = (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-    return F.when(x.isNotNull(), F.least(F.greatest(div(num(x) - m, mad * 1.4826), F.lit(-3.0)), F.lit(3.0)))
+#: Operators that are terms of others. A date's order statistics come from ranks and its deviations from a stage of their own, so
+#: that every window is aggregated once for a date.
+MACROS: dict[str, Callable] = {}
+
+
+def macro(f: Callable) -> Callable:
+    MACROS[f.__name__] = f
+    return f
+
+
+@macro
+def Winsorize(x, low, high):
+    """Clamps to the order statistics int(low * n) and n - 1 - int((1 - high) * n) of the date."""
+    n, rank = Node("CsCount", (x,)), Node("CsOrdinal", (x,))
+    least = Node("CsMin", (Node("Where", (rank > Node("Floor", (n * low,)), x)),))
+    most = Node("CsMax", (Node("Where", (rank <= n - Node("Floor", (n * (1 - high),)), x)),))
+    return Node("Clip", (x, least, most))
+
+
+@macro
+def RobustZ(x):
+    """(x - median) / (1.4826 * median absolute deviation) of the date, clipped to +-3."""
+    off = x - Node("CsMedian", (x,))
+    return Node("Clip", (off / (Node("CsMedian", (Node("Abs", (off,)),)) * 1.4826), -3.0, 3.0))

@@ -36,6 +36,7 @@ GROUPS: dict[str, tuple[dict[str, str], bool]] = (
     | {f"roll_{k}": (v, False) for k, v in f.ROLLING.items()}
     | {f"strict_{k}": ({"v": f.ROLLING[k]["v"]}, True) for k in ("mean", "sum", "std", "max", "min")}
     | {f"feature_{k.lower()}": ({f"d{d}": v.format(d=d) for d in (5, 20)}, False) for k, v in f.FAMILIES.items()}
+    | {"feature_kbar_range": ({k.lower(): f.KBAR[k] for k in ("KMID2", "KUP2", "KLOW2", "KSFT2")}, False)}
     | {f"label_{k}": (v, True) for k, v in f.FUTURE.items()}
     | {f"indicator_{k}": (v, True) for k, v in f.INDICATORS.items()}
     | {f"factor_{k}": ({"v": v}, True) for k, v in f.FACTORS.items()}
@@ -211,7 +212,7 @@ def portfolio_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def portfolio_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best scores of each month, weighed alike, with the next month's return and turnover."""
-    rows = computed(_bars(spark, sf_dir), {"score": f.CORE["ROC5"], "r": "Ref($close, -1) / $close - 1"}, strict=True)
+    rows = computed(_bars(spark, sf_dir), {"score": "$close / Ref($close, 5) - 1", "r": "Ref($close, -1) / $close - 1"}, strict=True)
     return rounded(portfolio.rebalanced(portfolio.topk_rotation(rows, 10), rows.select("instrument", "date", "r"), 0.001))
 
 
@@ -248,7 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: rounded_sql(formula_sql(panels.BARS_SQL, columns, strict=strict)) for name, (columns, strict) in GROUPS.items()} | oracles.SQL | {
+    return {name: rounded_sql(formula_sql(panels.BARS_SQL, columns, strict=strict)) for name, (columns, strict) in GROUPS.items() if name not in oracles.SQL} | oracles.SQL | {
         "wide_features": rounded_sql(formula_sql(panels.BARS_SQL, f.wide_features())), "lag_features": rounded_sql(formula_sql(panels.BARS_SQL, f.lag_features(12))),
         "lag_features_full": rounded_sql(formula_sql(panels.BARS_SQL, f.lag_features())),
     }

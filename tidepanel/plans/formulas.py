@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 KBAR = {
-    "KMID": "($close - $open) / $open", "KLEN": "($high - $low) / $open", "KMID2": "($close - $open) / ($high - $low)",
-    "KUP": "($high - Greater($open, $close)) / $open", "KUP2": "($high - Greater($open, $close)) / ($high - $low)",
-    "KLOW": "(Less($open, $close) - $low) / $open", "KLOW2": "(Less($open, $close) - $low) / ($high - $low)",
-    "KSFT": "(2 * $close - $high - $low) / $open", "KSFT2": "(2 * $close - $high - $low) / ($high - $low)",
+    "KMID": "($close - $open) / $open", "KLEN": "($high - $low) / $open", "KMID2": "($close - $open) / ($high - $low + 1e-12)",
+    "KUP": "($high - Greater($open, $close)) / $open", "KUP2": "($high - Greater($open, $close)) / ($high - $low + 1e-12)",
+    "KLOW": "(Less($open, $close) - $low) / $open", "KLOW2": "(Less($open, $close) - $low) / ($high - $low + 1e-12)",
+    "KSFT": "(2 * $close - $high - $low) / $open", "KSFT2": "(2 * $close - $high - $low) / ($high - $low + 1e-12)",
 }
-#: The registry of the core language; strict frames.
+#: The registry of the core language; strict frames. Like those of the wide set, fixed values.
 CORE = {k: KBAR[k] for k in ("KMID", "KLEN", "KMID2", "KUP", "KLOW", "KSFT")} | {
-    "ROC5": "$close / Ref($close, 5) - 1", "ROC10": "$close / Ref($close, 10) - 1", "MA5": "Mean($close, 5) / $close", "MA10": "Mean($close, 10) / $close",
-    "STD5": "Std($close, 5) / $close", "VMA10": "Mean($volume, 10) / $volume", "RSV5": "($close - Min($low, 5)) / (Max($high, 5) - Min($low, 5))",
+    "ROC5": "Ref($close, 5) / $close", "ROC10": "Ref($close, 10) / $close", "MA5": "Mean($close, 5) / $close - 1", "MA10": "Mean($close, 10) / $close - 1",
+    "STD5": "Std($close, 5) / $close", "VMA10": "Mean($volume, 10) / ($volume + 1e-12) - 1", "RSV5": "($close - Min($low, 5)) / (Max($high, 5) - Min($low, 5) + 1e-12)",
 }
 LABELS = {f"label_{n}d": f"Ref($close, -{n + 1}) / Ref($close, -1) - 1" for n in (1, 5, 10, 20)}
 
@@ -104,5 +104,5 @@ CROSS = {
     "top_bottom": {"a": "Top($close, 5)", "b": "Bottom($close, 5)"}, "percentile_between": {"v": "PercentileBetween($close, 20, 80)"},
     "day_summary": {"a": "CsMean($close)", "b": "CsStd($close)", "c": "CsMax($close)", "d": "CsMin($close)", "e": "CsMedian($close)", "f": "CsSum($close)", "g": "CsCount($close)"},
     "cs_fill": {"v": "CsFill(Ref($close, 3))"}, "market_beta": {"v": "Beta($close / Ref($close, 1) - 1, CsMean($close / Ref($close, 1) - 1), 12)", "w": "Corr($close, CsMean($close), 12)"},
-    "spearman": {"v": "Corr(CsPctRank($close), CsPctRank($volume), 12)"},
+    "spearman": {"v": "Spearman($close, $volume, 12)"},
 }

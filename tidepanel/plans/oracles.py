@@ -92,3 +92,26 @@ SQL = {
       m AS (SELECT coalesce(a.d, z.d + 1) AS d, sum(abs(coalesce(a.weight, 0) - coalesce(z.weight, 0))) AS turnover FROM w a FULL JOIN w z ON a.instrument = z.instrument AND a.d = z.d + 1 GROUP BY 1)
       SELECT date, {_R6("gross", "turnover")}, round(gross - 0.001 * turnover, 6) + 0 AS net FROM g JOIN m USING (d)""",
 }
+
+#: The registry, written by hand: expressions over the bars, windows w5 and w10 of the last rows.
+_CORE = {
+    "kmid": "(close - open) / open", "klen": "(high - low) / open", "kmid2": "(close - open) / (high - low + 1e-12)", "kup": "(high - greatest(open, close)) / open",
+    "klow": "(least(open, close) - low) / open", "ksft": "(2 * close - high - low) / open", "roc5": "lag(close, 5) OVER w / close", "roc10": "lag(close, 10) OVER w / close",
+    "ma5": "CASE WHEN count(close) OVER w5 = 5 THEN avg(close) OVER w5 / close - 1 END", "ma10": "CASE WHEN count(close) OVER w10 = 10 THEN avg(close) OVER w10 / close - 1 END",
+    "std5": "CASE WHEN count(close) OVER w5 = 5 THEN stddev_samp(close) OVER w5 / close END", "vma10": "CASE WHEN count(volume) OVER w10 = 10 THEN avg(volume) OVER w10 / (volume + 1e-12) - 1 END",
+    "rsv5": "CASE WHEN count(close) OVER w5 = 5 THEN (close - min(low) OVER w5) / (max(high) OVER w5 - min(low) OVER w5 + 1e-12) END",
+}
+SQL |= {
+    f"core_{k}": f"""WITH {_BARS} SELECT instrument, date, round(CAST({v} AS DOUBLE), 6) + 0 AS v FROM b
+  WINDOW w AS ({_S}), w5 AS ({_S} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), w10 AS ({_S} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"""
+    for k, v in _CORE.items()
+}
+#: The four k-bars that divide by the range, of the wide set.
+_RANGE = {"kmid2": "close - open", "kup2": "high - greatest(open, close)", "klow2": "least(open, close) - low", "ksft2": "2 * close - high - low"}
+SQL["feature_kbar_range"] = f"WITH {_BARS} SELECT instrument, date, {', '.join(f'round(CAST(({v}) / (high - low + 1e-12) AS DOUBLE), 6) + 0 AS {k}' for k, v in _RANGE.items())} FROM b"
+SQL["cross_spearman"] = f"""WITH {_BARS}, n AS (SELECT *, row_number() OVER ({_S}) AS t FROM b),
+  p AS (SELECT a.instrument, a.date, c.close, c.volume FROM n a JOIN n c ON a.instrument = c.instrument AND c.t BETWEEN a.t - 11 AND a.t WHERE c.close IS NOT NULL AND c.volume IS NOT NULL),
+  k AS (SELECT instrument, date, rank() OVER (PARTITION BY instrument, date ORDER BY close) + (count(*) OVER (PARTITION BY instrument, date, close) - 1) / 2.0 AS x,
+    rank() OVER (PARTITION BY instrument, date ORDER BY volume) + (count(*) OVER (PARTITION BY instrument, date, volume) - 1) / 2.0 AS y FROM p),
+  r AS (SELECT instrument, date, CASE WHEN count(*) = 12 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS v FROM k GROUP BY 1, 2)
+  SELECT b.instrument, b.date, round(r.v, 6) + 0 AS v FROM b LEFT JOIN r ON b.instrument = r.instrument AND b.date = r.date"""
