@@ -44,3 +44,10 @@ def test_controls_rules_and_attribution(spark):
     b = spark.createDataFrame([(1, "x", 0.5, 0.05), (1, "y", 0.5, 0.02)], "date int, grp string, weight double, ret double")
     r = backtest.brinson(p, b).first()
     assert math.isclose(r.allocation + r.selection + r.interaction, r.active) and math.isclose(r.active, 0.06 - 0.035)
+
+
+def test_long_only_counts_accepted_orders(spark):
+    rows = [("s", 1, "A", 100.0, 10.0), ("s", 2, "A", -50.0, 10.0), ("s", 3, "A", 20.0, 1.0), ("s", 4, "A", -30.0, 1.0), ("s", 5, "A", -20.0, 1.0)]
+    orders = spark.createDataFrame(rows, "scenario string, date int, instrument string, size double, price double")
+    got = {r.date: r.reason for r in backtest.checked(orders, max_value=600.0, long_only=True).collect()}
+    assert got == {1: "value", 2: "short", 3: None, 4: "short", 5: None}

@@ -132,18 +132,26 @@ def per_dollar(cost: float = 0.0015) -> Callable:
 
 
 def checked(orders: DataFrame, *, restricted: DataFrame | None = None, max_size: float | None = None, max_value: float | None = None, max_count: int | None = None, long_only: bool = False) -> DataFrame:
-    """Orders (scenario, date, instrument, size, price) with the reason, if any, for which a control rejects them: restricted, size, value, short or count."""
+    """Orders (scenario, date, instrument, size, price) with the reason, if any, for which a control rejects them: restricted, size, value, short or count.
+
+    The long-only control folds an instrument's earlier orders at each order, so it is meant for order books, not for ticks. Orders that max_count rejects still count as held.
+    """
     w = Window.partitionBy("scenario", "date").orderBy("instrument")
     rows = orders
     if restricted is not None:
         rows = rows.join(restricted.select("instrument").distinct().withColumn("_no", F.lit(True)), "instrument", "left")
     else:
         rows = rows.withColumn("_no", F.lit(None).cast("boolean"))
-    held = F.sum("size").over(Window.partitionBy("scenario", "instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     never = F.lit(False)
     reason = F.when(F.coalesce("_no", never), "restricted").when(F.abs("size") > max_size if max_size is not None else never, "size")
     reason = reason.when(F.abs(F.col("size") * F.col("price")) > max_value if max_value is not None else never, "value")
-    reason = reason.when(held < 0 if long_only else never, "short").when(F.row_number().over(w) > max_count if max_count is not None else never, "count")
+    if long_only:
+        # what is held is what was accepted: an order that another control rejects, or that would sell more than that, changes nothing
+        past = Window.partitionBy("scenario", "instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = F.collect_list(F.when(reason.isNull(), F.col("size").cast("double"))).over(past)
+        held = F.aggregate(sizes, F.lit(0.0), lambda s, v: F.when(s + v >= 0, s + v).otherwise(s))
+        reason = reason.when(held + F.col("size") < 0, "short")
+    reason = reason.when(F.row_number().over(w) > max_count if max_count is not None else never, "count")
     return rows.withColumn("reason", reason).drop("_no").select(*orders.columns, "reason")
 
 
