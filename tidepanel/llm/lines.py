@@ -21,7 +21,7 @@ SHINGLE, BANDS, ROWS = 5, 28, 5
 #: Characters that are hashed at once, but for a longer line.
 PIECE = 1 << 16
 #: Documents whose band keys make one task's part, and keys that such a task sorts at once.
-PART, CHUNK = 10_000, 1 << 20
+PART, CHUNK = 4_000, 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,9 +185,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1])], ["key", "inst"])
 
     waiting, size = [], 0
+    pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
     for batch in batches:
-        for part, base, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            rows = np.frombuffer(blob, _KEY)
+        for row in range(batch.num_rows):
+            part, base, blob = (batch.column(k)[row] for k in range(3))
+            part, base, rows = part.as_py(), base.as_py(), np.frombuffer(blob.as_buffer(), _KEY)
             waiting.append((rows["key"] + (np.uint64(part) << np.uint64(32)), base + rows["line"].astype(np.int64), rows["low"] + (rows["high"].astype(np.int32) << 16)))
             size += len(rows)
             if size >= CHUNK:
