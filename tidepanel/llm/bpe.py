@@ -310,16 +310,14 @@ def _counts(spec):
     return run
 
 
-#: The coder that this worker process made last, by its broadcasts: tasks that follow keep its words at hand.
-_last: dict[tuple, Coder] = {}
 
 
 def _coder(spec, lexicon) -> Coder:
     key = (spec.value, lexicon.value)
-    if key not in _last:
-        _last.clear()
-        _last[key] = Coder(Rules(spec.value), Transducer(lexicon.value))
-    return _last[key]
+    if key not in store.kept:
+        store.kept.clear()
+        store.kept[key] = Coder(Rules(spec.value), Transducer(lexicon.value))
+    return store.kept[key]
 
 
 def _coded(spec, lexicon, keep: bool):

@@ -170,6 +170,7 @@ def _linking(shingles: Callable[[list[bytes]], list[np.ndarray]], percent: int):
     """(a, b): links between components that join the members of a tile, a spanning forest of all of them, by their whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         for table, starts in _whole(batches):
             side, node, c = (table.column(k).to_numpy() for k in (1, 3, 4))
             texts, found, made = table.column(5).cast(pa.binary()), [], []

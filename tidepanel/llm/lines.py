@@ -108,6 +108,7 @@ def _signed(size: int, bands: int, rows: int, seed: int, parts: int):
     n and the sketch. The band keys of these, packed: (part, base, blob), where base is the inst of line 0 of the blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         hasher, base = _Bands(bands, rows, seed), TaskContext.get().partitionId() << 40
         for batch in store.pieces(batches, 1):
             ids, ats, found = [], [], []
@@ -185,7 +186,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1])], ["key", "inst"])
 
     waiting, size = [], 0
-    pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left
+    store.release()
     for batch in batches:
         for row in range(batch.num_rows):
             part, base, blob = (batch.column(k)[row] for k in range(3))
@@ -214,8 +215,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         low = np.uint64(64 - 12)
-        for batch in store.pieces(batches, 2, 1 << 20):
+        for batch in store.pieces(batches, 2, 1 << 19):
             good = []
             for at in range(0, batch.num_rows, 1 << 12):
                 part = batch.slice(at, 1 << 12)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 #: Labelled rows that the model is fitted on at most: those whose ids have the smallest hashes.
 SAMPLE = 20_000
 #: A score from which a text is predicted to be good.
@@ -216,6 +218,7 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text", *, acce
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             x = np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))

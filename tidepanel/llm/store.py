@@ -47,6 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What Python workers keep from one task to the next, such as a tokenizer's tables.
+kept: dict = {}
+
+
+def release() -> None:
+    """Frees what a worker keeps for tasks of another kind; called where tasks begin that need the room."""
+    kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, in batches of about that many bytes of one of their columns of texts, or of one row."""
     for batch in batches:
