@@ -202,7 +202,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text): the hash h1 and the normal text of every different line of (doc, text)."""
-    for batch in batches:
+    for batch in store.pieces(batches, 1):
         out = {}
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             for line in (text or b"").split(b"\n"):
@@ -308,7 +308,7 @@ def _cut(at: int, keep_empty: bool):
     """Rows with their lines in drops (the last column) cut out; without, rows that lose all their words go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in store.pieces(batches, at):
             texts, kept, counts = [], [], []
             for text, drops in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 lines, gone = (text or b"").split(b"\n"), set(drops or ())

@@ -28,7 +28,7 @@ def _texts(shingle: int):
     """(id, text): every different set's node, and a text of it, of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in store.pieces(batches, 1):
             out = {}
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 if len(found := word_shingles(text, shingle)):
@@ -40,8 +40,9 @@ def _texts(shingle: int):
 
 def _signatures(shingle: int, collection: int, rows: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         hasher, salts = MinHasher(2 * collection * rows, seed), mix(np.arange(2 * collection, dtype=np.uint64) + np.uint64(seed))
-        for batch in batches:
+        for batch in store.pieces(batches, 1):
             counts, kinds, halves, drawn = [], [], [], np.full((batch.num_rows, 2 * collection * rows), 2**32 - 1, np.uint32)
             for k, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 found = word_shingles(text, shingle)
