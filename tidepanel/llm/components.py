@@ -20,6 +20,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over the edges (a, b) of a partition: (a, b) from every node to the least one of its part."""
+    store.release()
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:

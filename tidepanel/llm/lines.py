@@ -202,6 +202,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text): the hash h1 and the normal text of every different line of (doc, text)."""
+    store.release()
     for batch in store.pieces(batches, 1):
         out = {}
         for text in batch.column(1).cast(pa.binary()).to_pylist():

@@ -28,6 +28,7 @@ def _texts(shingle: int):
     """(id, text): every different set's node, and a text of it, of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         for batch in store.pieces(batches, 1):
             out = {}
             for text in batch.column(1).cast(pa.binary()).to_pylist():
@@ -68,6 +69,7 @@ def _signatures(shingle: int, collection: int, rows: int, seed: int):
 
 def _confirmed(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         key, kept = None, None
         for batch in batches:
             left, right = batch.column(0).to_pylist(), batch.column(1).to_pylist()

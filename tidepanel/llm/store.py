@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 
 #: A table of at most so many rows of a few longs may be broadcast (about 16 MB).
 BROADCAST_ROWS = 500_000
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: the write's shuffle files go when it ends, not when the driver collects garbage, and rows reach Python some MB at
+#: a time, since the JVM, outside its heap, and Python each hold a whole batch for every running task.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,23 +41,29 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, None)
+    path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in _WRITING}
     try:
-        spark.conf.set(_CLEANUP, "true")  # the write's shuffle files go when it ends, not when the driver collects garbage
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Of glibc; elsewhere there is none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: What Python workers keep from one task to the next, such as a tokenizer's tables.
 kept: dict = {}
 
 
 def release() -> None:
-    """Frees what a worker keeps for tasks of another kind; called where tasks begin that need the room."""
+    """Frees what a worker keeps for tasks of another kind, and gives the system back what is free; called where tasks begin that need the room."""
     kept.clear()
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
