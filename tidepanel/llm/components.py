@@ -54,7 +54,8 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     a, b = F.col(left), F.col(right)
     given = store.written(edges.where(a != b).select(a.cast("long").alias("a"), b.cast("long").alias("b")), "edges")
     parts = max(1, -(-given.count() // PART))
-    forest = given.coalesce(parts) if parts < given.rdd.getNumPartitions() else given
+    now = given.rdd.getNumPartitions()
+    forest = given.coalesce(parts) if parts < now else given.repartition(parts) if parts > now else given
     whole = parts == 1
     edges = store.written(forest.mapInArrow(_forest, "a long, b long"), "edges")
     store.drop(given)
