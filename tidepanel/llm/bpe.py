@@ -290,6 +290,7 @@ def _text(value: bytes | None) -> str:
 
 def _counts(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store.release()
         rules, seen = Rules(spec.value), Counter()
 
         def out() -> pa.RecordBatch:
@@ -299,7 +300,7 @@ def _counts(spec):
                     words[word] += n
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
+        for batch in store.pieces(batches, 0):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 seen.update((text or b"").split())
                 if len(seen) >= COUNTED:
@@ -310,31 +311,30 @@ def _counts(spec):
     return run
 
 
-
-
 def _coder(spec, lexicon) -> Coder:
     key = (spec.value, lexicon.value)
     if key not in store.kept:
-        store.kept.clear()
+        store.release()
         store.kept[key] = Coder(Rules(spec.value), Transducer(lexicon.value))
     return store.kept[key]
 
 
+#: What is made of a text; the last two if they are kept.
+_CODED = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
+
+
 def _coded(spec, lexicon, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec, lexicon)
         gc.disable()  # strings and tuples of them make no cycles, and there are a million of them
         try:
-            for batch in batches:
-                rows = list(coder.encode_all(batch.column(1).cast(pa.binary()).to_pylist()))
-                out = {
-                    "n_tokens": pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in rows], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(back.encode()).hexdigest() for _, back in rows], pa.string()),
-                }
-                if keep:
-                    out |= {"ids": pa.array([[int(i) for i in ids.split()] for ids, _ in rows], pa.list_(pa.int32())), "decoded": pa.array([back for _, back in rows], pa.string())}
-                yield pa.RecordBatch.from_arrays([batch.column(0), *out.values()], ["id", *out])
+            for batch in store.pieces(batches, 1):
+                rows = []
+                for found, back in coder.encode_all(batch.column(1).cast(pa.binary()).to_pylist()):
+                    row = found.count(" ") + 1 if found else 0, hashlib.sha256(found.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+                    rows.append((*row, [int(i) for i in found.split()], back) if keep else row)
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows), _CODED.values())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *list(_CODED)[: len(columns)]])
         finally:
             gc.enable()
 
