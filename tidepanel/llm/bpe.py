@@ -39,10 +39,10 @@ NEITHER = (
 )
 _NEITHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
 _ODD = regex.compile(f"[{_NEITHER}{''.join(map(chr, CAPITALS))}]")
-#: Pieces and words that a worker keeps at hand, and pieces that it counts before it hands their words' counts on.
-AT_HAND, WORDS_AT_HAND, COUNTED = 500_000, 150_000, 400_000
+#: Pieces and words of a generation, of which a worker keeps two at hand, and pieces that it counts before it hands their words' counts on.
+AT_HAND, WORDS_AT_HAND, COUNTED = 100_000, 100_000, 400_000
 #: Words of the texts that are coded together, so that their new words are merged at once.
-TOGETHER = 200_000
+TOGETHER = 100_000
 
 
 class Rules:
@@ -213,11 +213,13 @@ class Coder(dict):
     """piece of a text between ASCII white space -> (its ids, its tokens), each joined by spaces.
 
     White space is dropped, no rule looks across it and NFC composes nothing with it, so that a text's tokens are those of its
-    pieces in turn. Pieces and words at hand are kept up to a bound; other words are looked up in the transducer or merged.
+    pieces in turn. Pieces and words at hand are kept up to a bound, those in use longest: a full generation becomes the old one, of which
+    what is met again goes on in the new one. Other words are looked up in the transducer or merged.
     """
 
     def __init__(self, rules: Rules, lexicon: Transducer) -> None:
-        self.rules, self.lexicon, self.words, self.merger = rules, lexicon, {}, Merger(rules)
+        self.rules, self.lexicon, self.merger = rules, lexicon, Merger(rules)
+        self.words, self.old, self.old_words = {}, {}, {}
         self.number = {i: str(i) for i in rules.token}
         self.blank = False  # whether a piece without tokens has been seen
 
@@ -241,13 +243,19 @@ class Coder(dict):
         """Puts the pieces at hand, all that are new at once."""
         new = here.difference(self)
         if len(self) + len(new) > AT_HAND:
-            kept = {p: self[p] for p in here - new}
+            kept, self.old = {p: self[p] for p in here - new}, dict(self)
             self.clear()
             self.update(kept)
+        again = new.intersection(self.old)
+        self.update({p: self.old[p] for p in again})
+        new -= again
         if len(self.words) > WORDS_AT_HAND:
-            self.words.clear()
+            self.words, self.old_words = {}, self.words
         split = {p: self.rules.words(_text(p)) for p in new}
-        self._learn({w for words in split.values() for w in words if w not in self.words})
+        needed = {w for words in split.values() for w in words}.difference(self.words)
+        again = needed.intersection(self.old_words)
+        self.words.update({w: self.old_words[w] for w in again})
+        self._learn(needed - again)
         at_hand = self.words
         for piece, words in split.items():
             if len(words) == 1:
