@@ -15,10 +15,11 @@ def near(a, b):
     return math.isclose(a, b, rel_tol=1e-5, abs_tol=2e-6) if isinstance(a, float) or isinstance(b, float) else a == b
 
 
-@pytest.mark.parametrize("name", ["roll_mean", "roll_nested", "feature_wvma", "indicator_rsi", "cross_ranks", "evaluate_ic", "returns_rolling", "records_drawdowns", "signals_clean"])
+@pytest.mark.parametrize("name", ["roll_mean", "roll_nested", "feature_wvma", "adjusted_bars", "events_business_days", "regression_target", "indicator_rsi", "cross_ranks", "evaluate_ic", "returns_rolling", "records_drawdowns", "signals_clean"])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    for table in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)

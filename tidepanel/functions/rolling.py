@@ -375,3 +375,48 @@ def RobustZ(x):
     """(x - median) / (1.4826 * median absolute deviation) of the date, clipped to +-3."""
     off = x - Node("CsMedian", (x,))
     return Node("Clip", (off / (Node("CsMedian", (Node("Abs", (off,)),)) * 1.4826), -3.0, 3.0))
+
+
+def _in_day():
+    return Window.partitionBy("instrument", F.to_date("date"))
+
+
+@operator("DayLast", True)
+def _(fr, x):
+    """The day's last value; of equal times the greatest."""
+    return F.max_by(num(x), F.when(x.isNotNull(), F.struct(F.col("date"), num(x)))).over(_in_day())
+
+
+@operator("DayCumsum", True)
+def _(fr, x, start="9:30", end="14:59"):
+    """The day's sum so far of the values from start to end, ends (minutes) included; 0 outside."""
+    minute = lambda s: int(s.split(":")[0]) * 60 + int(s.split(":")[1])
+    now = F.hour("date") * 60 + F.minute("date")
+    within = now.between(minute(start), minute(end))
+    sums = F.sum(F.when(within, num(x))).over(_in_day().orderBy("date").rangeBetween(Window.unboundedPreceding, 0))
+    return F.when(~within, 0.0).otherwise(F.when(x.isNotNull(), sums))
+
+
+@operator("Date", True)
+def _(fr, x):
+    """The row's day, as days since 1970."""
+    return num(F.unix_date(F.to_date("date")))
+
+
+@operator("Cut", True)
+def _(fr, x, left, right):
+    """Without the series' first left and last -right rows, which become missing."""
+    rows = F.count(F.lit(1)).over(fr.series.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when((F.col(T) > left) & (F.col(T) <= rows + right), num(x))
+
+
+@operator("ChangeInstrument", True)
+def _(fr, instrument, x):
+    """The same date's value of a fixed instrument."""
+    return F.max(F.when(F.col("instrument").cast("string") == F.lit(str(instrument)), num(x))).over(_day())
+
+
+@operator("Mask", True)
+def _(fr, x, instrument):
+    """ChangeInstrument with its arguments the other way round."""
+    return F.max(F.when(F.col("instrument").cast("string") == F.lit(str(instrument)), num(x))).over(_day())

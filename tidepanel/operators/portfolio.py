@@ -131,3 +131,60 @@ def rebalanced(weights: DataFrame, returns: DataFrame, cost: float = 0.0) -> Dat
     moves = rows.join(back, ["instrument", "d"], "full").groupBy("d").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))).alias("turnover"))
     gross = rows.join(returns, ["instrument", "date"]).groupBy("d", "date").agg(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))).alias("gross"))
     return gross.join(moves, "d").select("date", "gross", "turnover", (F.col("gross") - cost * F.col("turnover")).alias("net"))
+
+
+def streaks(closed: DataFrame) -> DataFrame:
+    """trades() with winning_streak and losing_streak: how many trades in a row, up to this one, gained or lost."""
+    rows = closed
+    w = Window.partitionBy("instrument").orderBy("trade")
+    for name, hit in (("winning_streak", F.col("pnl") > 0), ("losing_streak", F.col("pnl") < 0)):
+        t = F.coalesce(hit, F.lit(False))
+        rows = rows.withColumn("_g", F.sum((~t).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        within = Window.partitionBy("instrument", "_g").orderBy("trade").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(name, F.sum(t.cast("long")).over(within)).drop("_g")
+    return rows
+
+
+def exposure(valued: DataFrame) -> DataFrame:
+    """values() with gross_exposure: the assets' part of the value, 0 where that is 0."""
+    return valued.withColumn("gross_exposure", F.when(F.col("value") == 0, 0.0).otherwise((F.col("value") - F.col("cash")) / F.col("value")))
+
+
+def totals(valued: DataFrame, prices: DataFrame, cash: float) -> DataFrame:
+    """(instrument, final_value, total_profit, total_return, coverage, benchmark_value, benchmark_return): coverage is the part of rows with
+    holdings; the benchmark holds the instrument from its first close for all cash."""
+    last = lambda c: F.max_by(c, "date")
+    rows = valued.join(prices.select("instrument", "date", "close"), ["instrument", "date"])
+    out = rows.groupBy("instrument").agg(last("value").alias("final_value"), F.avg((F.abs("assets") > 1e-9).cast("double")).alias("coverage"), F.min_by("close", "date").alias("_a"), last("close").alias("_b"))
+    out = out.withColumns({"total_profit": F.col("final_value") - cash, "benchmark_value": F.try_divide("_b", "_a") * cash})
+    return out.withColumns({"total_return": F.col("total_profit") / cash, "benchmark_return": F.col("benchmark_value") / cash - 1}).drop("_a", "_b")
+
+
+def topk_dropout(scores: DataFrame, k: int, n_drop: int) -> DataFrame:
+    """(date, instrument, weight): k holdings of which at most n_drop are replaced a date, weighed alike; scores are (instrument, date, score).
+
+    At each date the best n_drop + k - held instruments that aren't held are candidates; of candidates and holdings together the n_drop worst go,
+    if they are held, and as many candidates are bought as there is room for. Equal scores: the smaller instrument is better. A holding without
+    a score is the worst. A date depends on the one before, so that all dates are one group in pandas, of the instruments alone that ever are
+    among the first 2 k + n_drop of a date: others are never bought.
+    """
+    best = Window.partitionBy("date").orderBy(F.desc("score"), "instrument")
+    ranked = scores.where("score is not null").select("instrument", "date", F.col("score").cast("double").alias("score"), F.row_number().over(best).alias("_r"))
+    names = ranked.where(F.col("_r") <= 2 * k + n_drop).select("instrument").distinct()
+    kinds = dict(scores.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held, out = [], []
+        for date, day in rows.sort_values("date").groupby("date", sort=True):
+            of = dict(zip(day["instrument"], day["score"]))
+            order = lambda names: sorted(names, key=lambda i: (i not in of, -of.get(i, 0.0), i))
+            last = order(held)
+            fresh = order(set(of) - set(held))[: max(0, n_drop + k - len(last))]
+            worst = order({*last, *fresh})[-n_drop:] if n_drop else []
+            sold = [i for i in last if i in worst]
+            held = [i for i in last if i not in sold] + fresh[: max(0, len(sold) + k - len(last))]
+            out += [(date, i, 1.0 / len(held)) for i in held]
+        return pd.DataFrame(out, columns=["date", "instrument", "weight"])
+
+    rows = ranked.join(names, "instrument", "left_semi").select("instrument", "date", "score").withColumn("_one", F.lit(1))
+    return rows.groupBy("_one").applyInPandas(run, f"date {kinds['date']}, instrument {kinds['instrument']}, weight double")

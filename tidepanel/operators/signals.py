@@ -79,6 +79,43 @@ def n_random_entries(panel: DataFrame, n: int, seed: int) -> DataFrame:
     return panel.withColumn("entry", F.row_number().over(w) <= n)
 
 
+def _chance(seed: int, *columns: str):
+    """A number from 0 to 1 of a row's key."""
+    return F.pmod(F.xxhash64(F.lit(seed), "instrument", *columns), F.lit(1 << 30)) / float(1 << 30)
+
+
+def random_exits(signals: DataFrame, seed: int, *, wait: int = 1, probability: float | None = None) -> DataFrame:
+    """signals with exit: one row of those from wait after an entry up to the next entry, not included, drawn alike, or, with a probability,
+    the first row drawn by it. No exit where there is no such row. Chances come from a hash of the key, so that reruns agree."""
+    e = F.coalesce(F.col("entry"), F.lit(False))
+    rows = signals.withColumns({"_part": F.sum(e.cast("int")).over(_so_far()), "_u": _chance(seed, "date")})
+    part = Window.partitionBy("instrument", "_part").orderBy("date")
+    rows = rows.withColumn("_open", (F.col("_part") > 0) & (F.row_number().over(part) > wait))
+    if probability is not None:
+        rows = rows.withColumn("_open", F.col("_open") & (F.col("_u") < probability))
+    rank = F.row_number().over(Window.partitionBy("instrument", "_part").orderBy(F.desc("_open"), *(["date"] if probability is not None else ["_u", "date"])))
+    return rows.withColumn("exit", (rank == 1) & F.col("_open")).drop("_part", "_u", "_open")
+
+
+def random_pairs(panel: DataFrame, n: int, seed: int) -> DataFrame:
+    """panel with n entries and n exits of each instrument that alternate, at random rows; as many as there are rows for, the last entry may lack its exit."""
+    w = Window.partitionBy("instrument")
+    rows = panel.withColumn("_hit", F.row_number().over(w.orderBy(_chance(seed, "date"), "date")) <= 2 * n)
+    rows = rows.withColumn("_k", F.sum(F.col("_hit").cast("int")).over(_so_far()))
+    return rows.withColumns({"entry": F.col("_hit") & (F.col("_k") % 2 == 1), "exit": F.col("_hit") & (F.col("_k") % 2 == 0)}).drop("_hit", "_k")
+
+
+def between_runs(signals: DataFrame, flag: str = "entry") -> DataFrame:
+    """(instrument, start_idx, end_idx): from the last row of each run of true rows to the first of the next."""
+    rows = signals.withColumn("idx", (F.row_number().over(_series()) - 1).cast("long"))
+    t = F.coalesce(F.col(flag), F.lit(False))
+    first, last = t & ~F.coalesce(F.lag(t).over(_series()), F.lit(False)), t & ~F.coalesce(F.lead(t).over(_series()), F.lit(False))
+    rows = rows.withColumns({"_first": first, "_last": last})
+    ahead = _series().rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("end_idx", F.first(F.when(F.col("_first"), F.col("idx")), ignorenulls=True).over(ahead))
+    return rows.where("_last and end_idx is not null").select("instrument", F.col("idx").alias("start_idx"), "end_idx")
+
+
 def stop_exits(signals: DataFrame, *, stop: float | None = None, take: float | None = None, trailing: bool = False) -> DataFrame:
     """Exits of entries by stops against open, high, low and close: (all columns but an earlier exit, and exit, stop_price, stop_type).
 

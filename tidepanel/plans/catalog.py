@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.planner import computed
-from ..operators import asof, evaluate, portfolio, records, recursive, returns, signals
+from ..operators import adjust, asof, custom, evaluate, events, portfolio, records, recursive, regression, returns, signals
 from ..streaming import bars as stream
 from ..sources import panels
 from . import formulas as f
@@ -16,11 +16,13 @@ from . import oracles
 from .sql import formula_sql
 
 DIGITS = 6
+#: Where prices are shown as they are: cents over quantities, halved by splits, have no more places, so that none lies between two roundings.
+PRICE_DIGITS = 8
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to DIGITS places, -0.0 as 0.0."""
-    return df.select(*[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to so many places, -0.0 as 0.0."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def rounded_sql(sql: str) -> str:
@@ -236,7 +238,102 @@ def lag_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(computed(_bars(spark, sf_dir), f.lag_features()))
 
 
+def adjusted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars as seen after a split and a dividend of every supplier."""
+    rows, who = _bars(spark, sf_dir), spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("instrument"))
+    splits = who.select("instrument", F.expr("date_add(date'1993-01-01', cast(instrument * 37 % 2000 as int))").alias("date"), F.lit(0.5).alias("ratio"), F.lit("split").alias("kind"))
+    paid = who.select("instrument", F.expr("date_add(date'1995-06-15', cast(instrument % 300 as int))").alias("date"), (F.col("instrument") % 7 + 5).cast("double").alias("amount"))
+    return rounded(adjust.adjusted(rows, splits.unionByName(adjust.dividend_ratios(paid, rows))).drop("vwap"), PRICE_DIGITS)
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+def events_business_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Business days from each bar to its supplier's returned goods before and after it."""
+    found = _lines(spark, sf_dir).where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("instrument"), F.to_date("l_shipdate").alias("event_date")).distinct()
+    return events.days_until_event(events.days_since_event(_bars(spark, sf_dir).select("instrument", "date"), found), found)
+
+
+def events_restricted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a supplier's last goods before a bar were returned, which stands for a freeze."""
+    changes = _lines(spark, sf_dir).select(F.col("l_suppkey").alias("instrument"), F.to_date("l_shipdate").alias("effective"), (F.col("l_returnflag") == "R").alias("frozen"))
+    return events.restricted(_bars(spark, sf_dir).select("instrument", "date"), changes)
+
+
+def regression_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns of all instruments on those of instrument 1, over twelve bars."""
+    rows = regression.rolling_regression(regression.paired_with_target(_bars(spark, sf_dir), 1, 1), 12)
+    return rounded(rows.select("instrument", "date", "alpha", "beta", "r_value", "p_value", "stderr"))
+
+
+def signals_between_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.between_runs(_signals(spark, sf_dir))
+
+
+def signals_random_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.random_exits(_signals(spark, sf_dir), 7).select("instrument", "date", "entry", "exit")
+
+
+def signals_random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.random_pairs(_bars(spark, sf_dir).select("instrument", "date"), 3, 7)
+
+
+def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.values(portfolio.from_signals(_signals(spark, sf_dir), 10_000.0, portfolio.Costs(fee=0.001)), _bars(spark, sf_dir), 10_000.0)
+
+
+def portfolio_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(portfolio.streaks(portfolio.trades(portfolio.from_signals(_signals(spark, sf_dir), 10_000.0, portfolio.Costs(fee=0.001)))))
+
+
+def portfolio_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(portfolio.exposure(_valued(spark, sf_dir)))
+
+
+def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(portfolio.totals(_valued(spark, sf_dir), _bars(spark, sf_dir), 10_000.0))
+
+
+def portfolio_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten holdings by momentum, two of which may be replaced a month."""
+    return rounded(portfolio.topk_dropout(computed(_bars(spark, sf_dir), {"score": "$close / Ref($close, 5) - 1"}, strict=True), 10, 2))
+
+
+def day_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operators within days, of all ticks."""
+    terms = {"cum": "DayCumsum($close, '9:30', '14:59')", "last": "DayLast($close)", "day": "Date($close)"}
+    return rounded(computed(panels.ticks(spark, sf_dir), terms, keep=("instrument", "date", "close")))
+
+
+def other_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The close against that of instrument 1, and the close without the first two bars and the last."""
+    return rounded(computed(_bars(spark, sf_dir), {"other": "ChangeInstrument('1', $close)", "apart": "$close - Mask($close, '1')", "cut": "Cut($close, 2, -1)"}), PRICE_DIGITS)
+
+
+def custom_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of the user over windows of twelve bars."""
+    return rounded(custom.rolling_apply(_bars(spark, sf_dir).select("instrument", "date", "close"), "close", 12, lambda a: a.max() - a.min()), PRICE_DIGITS)
+
+
+def custom_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of the user for every instrument and year."""
+    rows = _bars(spark, sf_dir).select("instrument", "date", "close", "volume").withColumn("year", F.year("date"))
+    return rounded(custom.group_apply(rows, ["close", "volume"], ["instrument", "year"], lambda m: {"spread": m[:, 0].max() - m[:, 0].min(), "volume": m[:, 1].sum()}, results=["spread", "volume"]))
+
+
+def custom_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(custom.nth(_bars(spark, sf_dir), "close", -3))
+
+
+def custom_squeezed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(custom.squeezed(_bars(spark, sf_dir).withColumn("team", F.col("instrument") % 5), "volume", "team", "sum"))
+
+
 _PLAIN = [
+    adjusted_bars, events_business_days, events_restricted, regression_target, signals_between_runs, signals_random_exits, signals_random_pairs, portfolio_streaks, portfolio_exposure, portfolio_totals,
+    portfolio_dropout, day_operators, other_instrument, custom_rolling, custom_groups, custom_nth, custom_squeezed,
     wide_features, lag_features, lag_features_full,
     asof_orders, asof_next_order, records_ranges, records_coverage, records_mask, records_drawdowns, records_top_drawdowns, records_described, signals_clean, signals_ranks, signals_between,
     signals_between_two, signals_back_to_entry, signals_index, signals_stops, signals_random, returns_summary, returns_drawdown, returns_rolling, evaluate_ic, evaluate_ic_summary, evaluate_long_short,

@@ -115,3 +115,37 @@ SQL["cross_spearman"] = f"""WITH {_BARS}, n AS (SELECT *, row_number() OVER ({_S
     rank() OVER (PARTITION BY instrument, date ORDER BY volume) + (count(*) OVER (PARTITION BY instrument, date, volume) - 1) / 2.0 AS y FROM p),
   r AS (SELECT instrument, date, CASE WHEN count(*) = 12 AND var_pop(x) > 0 AND var_pop(y) > 0 THEN corr(x, y) END AS v FROM k GROUP BY 1, 2)
   SELECT b.instrument, b.date, round(r.v, 6) + 0 AS v FROM b LEFT JOIN r ON b.instrument = r.instrument AND b.date = r.date"""
+#: Operators with no formula: adjustments, events, regressions, days, functions of the user.
+SQL["adjusted_bars"] = f"""WITH {_BARS}, sp AS (SELECT s_suppkey AS instrument, DATE '1993-01-01' + CAST(s_suppkey * 37 % 2000 AS INT) AS date, 0.5 AS ratio, TRUE AS split FROM supplier),
+  dv AS (SELECT s_suppkey AS instrument, DATE '1995-06-15' + CAST(s_suppkey % 300 AS INT) AS date, CAST(s_suppkey % 7 + 5 AS DOUBLE) AS amount FROM supplier),
+  dr AS (SELECT d.instrument, d.date, 1 - d.amount / arg_max(b.close, b.date) AS ratio, FALSE AS split FROM dv d JOIN b ON b.instrument = d.instrument AND b.date < d.date GROUP BY d.instrument, d.date, d.amount),
+  adj AS (SELECT * FROM sp UNION ALL SELECT * FROM dr WHERE ratio > 0),
+  m AS (SELECT b.instrument, b.date, product(a.ratio) AS m, product(a.ratio) FILTER (a.split) AS v FROM b JOIN adj a ON a.instrument = b.instrument AND a.date > b.date GROUP BY 1, 2)
+  SELECT b.instrument, b.date, {", ".join(f"round({c} * coalesce(m.m, 1), 8) + 0 AS {c}" for c in ("open", "high", "low", "close"))}, round(volume / coalesce(m.v, 1), 8) + 0 AS volume
+  FROM b LEFT JOIN m ON m.instrument = b.instrument AND m.date = b.date"""
+_WEEKDAYS = "CAST(len(list_filter(range(CAST({a} AS TIMESTAMP), CAST({b} AS TIMESTAMP), INTERVAL 1 DAY), lambda d: isodow(d) < 6)) AS DOUBLE)"
+SQL["events_business_days"] = f"""WITH {_BARS}, e AS (SELECT DISTINCT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS at FROM lineitem WHERE l_returnflag = 'R'),
+  s AS (SELECT b.instrument, b.date, max(e.at) FILTER (e.at <= b.date) AS a, min(e.at) FILTER (e.at >= b.date) AS z FROM b LEFT JOIN e ON e.instrument = b.instrument GROUP BY 1, 2)
+  SELECT instrument, date, CASE WHEN a IS NOT NULL THEN {_WEEKDAYS.format(a="a", b="date")} END AS since, CASE WHEN z IS NOT NULL THEN {_WEEKDAYS.format(a="date", b="z")} END AS until FROM s"""
+SQL["events_restricted"] = f"""WITH {_BARS}, c AS (SELECT l_suppkey AS instrument, CAST(l_shipdate AS DATE) AS at, bool_or(l_returnflag = 'R') AS frozen FROM lineitem GROUP BY 1, 2)
+  SELECT b.instrument, b.date, coalesce(c.frozen, FALSE) AS restricted FROM b ASOF LEFT JOIN c ON b.instrument = c.instrument AND b.date >= c.at"""
+SQL["regression_target"] = f"""WITH {_BARS}, r AS (SELECT instrument, date, close / lag(close) OVER ({_S}) - 1 AS r FROM b),
+  p AS (SELECT y.instrument, y.date, CASE WHEN x.r IS NOT NULL THEN y.r END AS y, CASE WHEN y.r IS NOT NULL THEN x.r END AS x FROM r y LEFT JOIN r x ON x.instrument = 1 AND x.date = y.date),
+  g AS (SELECT instrument, date, count(x) OVER w AS n, regr_slope(y, x) OVER w AS beta, regr_intercept(y, x) OVER w AS alpha, greatest(-1, least(1, corr(y, x) OVER w)) AS r, var_pop(y) OVER w / var_pop(x) OVER w AS q FROM p
+    WINDOW w AS ({_S} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
+  t AS (SELECT *, atan(abs(r) * sqrt(10 / ((1 - r + 1e-20) * (1 + r + 1e-20))) / sqrt(10)) AS a FROM g)
+  SELECT instrument, date, {", ".join(f"CASE WHEN n = 12 THEN round({v}, 6) + 0 END AS {k}" for k, v in {"alpha": "alpha", "beta": "beta", "r_value": "r", "stderr": "sqrt((1 - r * r) * q / 10)",
+    "p_value": "greatest(1 - sin(a) * (1 + pow(cos(a), 2) / 2 + 3 * pow(cos(a), 4) / 8 + 5 * pow(cos(a), 6) / 16 + 35 * pow(cos(a), 8) / 128), 0)"}.items())} FROM t"""
+SQL["signals_between_runs"] = f"""WITH {_SIG}, f AS (SELECT *, entry AND NOT coalesce(lag(entry) OVER ({_S}), FALSE) AS a, entry AND NOT coalesce(lead(entry) OVER ({_S}), FALSE) AS z FROM s)
+  SELECT l.instrument, l.idx AS start_idx, min(n.idx) AS end_idx FROM f l JOIN f n ON n.instrument = l.instrument AND n.a AND n.idx > l.idx WHERE l.z GROUP BY 1, 2"""
+SQL["day_operators"] = f"""WITH t AS ({TICKS_SQL}), u AS (SELECT *, hour(date) * 60 + minute(date) BETWEEN 570 AND 899 AS inside FROM t)
+  SELECT instrument, date, round(close, 6) + 0 AS close, CASE WHEN inside THEN round(sum(close) FILTER (inside) OVER (PARTITION BY instrument, CAST(date AS DATE) ORDER BY date), 6) + 0 ELSE 0.0 END AS cum,
+  round(arg_max(close, row(date, close)) OVER (PARTITION BY instrument, CAST(date AS DATE)), 6) + 0 AS last, CAST(CAST(date AS DATE) - DATE '1970-01-01' AS DOUBLE) AS day FROM u"""
+SQL["other_instrument"] = f"""WITH {_BARS}, n AS (SELECT *, row_number() OVER ({_S}) AS i, row_number() OVER (PARTITION BY instrument ORDER BY date DESC) AS j FROM b)
+  SELECT n.instrument, n.date, round(o.close, 8) + 0 AS other, round(n.close - o.close, 8) + 0 AS apart, CASE WHEN i > 2 AND j > 1 THEN round(n.close, 8) + 0 END AS cut FROM n LEFT JOIN b o ON o.instrument = 1 AND o.date = n.date"""
+SQL["custom_rolling"] = f"""WITH {_BARS} SELECT instrument, date, round(close, 8) + 0 AS close, CASE WHEN count(close) OVER w = 12 THEN round(max(close) OVER w - min(close) OVER w, 8) + 0 END AS applied
+  FROM b WINDOW w AS ({_S} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"""
+SQL["custom_groups"] = f"WITH {_BARS} SELECT instrument, CAST(year(date) AS INT) AS year, round(max(close) - min(close), 6) + 0 AS spread, round(CAST(sum(volume) AS DOUBLE), 6) + 0 AS volume FROM b GROUP BY 1, 2"
+SQL["custom_nth"] = f"""WITH {_BARS}, n AS (SELECT *, row_number() OVER ({_S}) - 1 AS i, row_number() OVER (PARTITION BY instrument ORDER BY date DESC) AS j FROM b)
+  SELECT instrument, round(max(close) FILTER (j = 3), 6) + 0 AS nth, max(i) FILTER (j = 3) AS nth_idx FROM n GROUP BY 1"""
+SQL["custom_squeezed"] = f"WITH {_BARS} SELECT instrument % 5 AS team, date, round(CAST(sum(volume) AS DOUBLE), 6) + 0 AS squeezed FROM b GROUP BY 1, 2"
