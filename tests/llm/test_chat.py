@@ -58,3 +58,20 @@ def test_long_and_empty(spark):
     assert [t.text for t in got[5].back] == [f"text {k}" for k in range(n)] and len(got[6].back) == 3
     assert [got[5].text[s.start : s.start + s.length] for s in got[5].spans] == [f"text {k}" for k in range(1, n, 2)]
     assert chat.formatted(chat.linear(df.where("conv_id = 0"))).count() == 0
+
+
+def test_loss_is_what_the_mask_covers(spark, monkeypatch):
+    sf, whole = "/root/testdata/sf0.001", chat.formatted
+    assert queries.op2_chat(spark, sf).where("loss_chars > 0").count()
+    monkeypatch.setattr(queries.chat, "formatted", lambda messages: whole(messages).withColumn("spans", F.slice("spans", 1, 0)))
+    got = queries.op2_chat(spark, sf).collect()
+    assert got and all((r.loss_chars, r.loss_sha256) == (0, hashlib.sha256(b"").hexdigest()) for r in got)
+
+
+def test_masked_texts_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 7)
+    said = [("user", "é😀<|x|>\\"), ("assistant", ""), ("assistant", "😀" * 40 + "\n\\|<|im_end|>"), ("user", None), ("assistant", "ab"), (None, "assistant"), ("assistant", "\\\\<|" * 9)]
+    rows = [(1, k, r, t) for k, (r, t) in enumerate(said)] + [(2, 0, "user", "no"), (3, 0, "assistant", "a" * 7), (4, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.tree: r.loss for r in chat.formatted(chat.linear(df)).select("tree", chat.masked(F.col("text"), F.col("spans")).alias("loss")).collect()}
+    assert got == {1: [t for r, t in said if r == "assistant"], 2: [], 3: ["a" * 7], 4: [""]}

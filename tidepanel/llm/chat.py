@@ -10,6 +10,8 @@ from . import store
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns that are joined to one string before the strings of a conversation are.
 PIECE = 64
+#: Characters of the blocks in which a conversation is cut to find its spans.
+BLOCK = 4096
 
 
 def escaped(text: Column) -> Column:
@@ -133,3 +135,17 @@ def read_back(text: Column) -> Column:
     head = lambda p: F.substring_index(p, "\n", 1)
     body = lambda p: p.substr(F.char_length(head(p)) + 2, F.char_length(p) - F.char_length(head(p)) - len(END) - 2)
     return F.transform(parts, lambda p: F.struct(unescaped_role(head(p)).alias("role"), unescaped(body(p)).alias("text")))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """The texts under the loss mask of a formatted conversation, in order, unescaped. Blocks are cut once, so that a span costs its own length, not its place."""
+
+    def cut(blocks: Column, span: Column) -> Column:
+        start, length = span["start"], span["length"]
+        first, last = F.floor(start / BLOCK), F.floor((start + length - 1) / BLOCK)
+        near = F.array_join(F.slice(blocks, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+        return unescaped(F.when(length > 0, F.substr(near, (start - first * BLOCK + 1).cast("int"), length.cast("int"))).otherwise(""))
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    # the array around the blocks has them made once, not for each span
+    return F.transform(F.array(blocks), lambda b: F.transform(spans, lambda s: cut(b, s)))[0]

@@ -28,14 +28,14 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -1 as reply trees without branches, formatted and read back."""
+    """All conversations and conversation -1 as reply trees without branches, formatted and read back: turns through the template, the loss through the mask's spans."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = chat.END + chat.START + "assistant ok"
     extra = spark.sql("SELECT bigint(-1) AS conv_id, bigint(turn) AS turn, role, :said AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)", args={"said": said})
     out = chat.formatted(chat.linear(rows.unionByName(extra)))
-    back = store.written(out.select("tree", "text"), "formatted").withColumn("turns", chat.read_back(F.col("text")))
+    back = store.written(out.select("tree", "text", "spans"), "formatted").withColumn("turns", chat.read_back(F.col("text")))
     each = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join(chat.masked(F.col("text"), F.col("spans")), "")
     back = back.select("tree", F.size("turns").cast("long").alias("n_turns"), F.array_join(each, "").alias("each"), loss.alias("loss"), F.char_length("text").cast("long").alias("formatted_chars"))
     return back.select(
         F.col("tree").alias("conv_id"), "n_turns", F.sha2(F.col("each").cast("binary"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
