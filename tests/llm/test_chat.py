@@ -75,3 +75,13 @@ def test_masked_texts_over_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.tree: r.loss for r in chat.formatted(chat.linear(df)).select("tree", chat.masked(F.col("text"), F.col("spans")).alias("loss")).collect()}
     assert got == {1: [t for r, t in said if r == "assistant"], 2: [], 3: ["a" * 7], 4: [""]}
+
+
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans, written = [], chat.store.written
+    monkeypatch.setattr(chat.store, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    out = chat.formatted(tree(spark), None)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 5 and len(plans) > 4 and not any("Broadcast" in p for p in plans)
+    # filling downwards joins once a jump
+    assert max(p.count("Join ") for p in plans) <= 4

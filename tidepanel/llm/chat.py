@@ -51,6 +51,7 @@ def chosen_paths(messages: DataFrame, paths: int | None = 1) -> DataFrame:
     rounds a node knows its ancestor 2 ** k above, and the score and length up to there, so that a path of d turns takes
     log2(d) rounds. A path's score is the mean of its messages'; the best paths of a tree are taken (None: all), ties to the
     smaller leaf. The chosen paths are then filled downwards through the same jumps, the largest first.
+    Joins are by shuffles, since a table of node numbers looks small by its file and is large in the driver's memory when broadcast.
     Null scores count 0. A message whose parent isn't there is a root. Messages on a cycle have no root, and no path holds
     them. Trees are matched with null as a tree of its own; a node is expected once in its tree.
     """
@@ -58,30 +59,31 @@ def chosen_paths(messages: DataFrame, paths: int | None = 1) -> DataFrame:
     rows = messages.select(F.struct("tree").alias("t"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     rows = store.written(rows, "messages")
     known = rows.select("t", F.col("node").alias("parent")).distinct().withColumn("known", F.lit(True))
-    jump = rows.join(known, ["t", "parent"], "left").select("t", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("turns"))
+    jump = rows.join(known.hint("merge"), ["t", "parent"], "left").select("t", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("turns"))
     jump = store.written(jump, "jump")
     jumps, sums = [jump.where("up is not null").select("t", "node", "up")], jump
     limit = max(1, rows.count())
     while True:
         left = sums.where("up is not null")
-        if 2 ** (len(jumps) - 1) > limit or not left.limit(1).count():
+        if 2 ** (len(jumps) - 1) > limit or left.isEmpty():
             break
         above = sums.select("t", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("more"), F.col("turns").alias("higher"))
         done = sums.where("up is null")
-        further = left.join(above, ["t", "up"]).select("t", "node", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("turns") + F.col("higher")).alias("turns"))
+        further = left.join(above.hint("merge"), ["t", "up"]).select("t", "node", F.col("up2").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("turns") + F.col("higher")).alias("turns"))
         sums = store.written(done.union(further), "jump")
         jumps.append(sums.where("up is not null").select("t", "node", "up"))
     parents = rows.where("parent is not null").select("t", F.col("parent").alias("node")).distinct()
-    leaves = sums.where("up is null").join(parents, ["t", "node"], "left_anti").withColumn("mean", F.col("total") / F.col("turns"))
+    leaves = sums.where("up is null").join(parents.hint("merge"), ["t", "node"], "left_anti").withColumn("mean", F.col("total") / F.col("turns"))
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("mean"), "node")))
     if paths is not None:
         ranked = ranked.where(F.col("rank") <= paths)
     path = store.written(ranked.select("t", F.col("node").alias("leaf"), "rank", "mean", "turns", "node", (F.col("turns") - 1).alias("depth")), "paths")
     for k in range(len(jumps) - 1, -1, -1):
-        step = jumps[k]
-        higher = path.join(step, ["t", "node"]).select("t", "leaf", "rank", "mean", "turns", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
-        path = path.union(higher)
-        if k % 3 == 0:
+        # a row stays, and where it has an ancestor 2 ** k above, that one's follows
+        own, higher = F.struct("node", "depth"), F.struct(F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
+        both = F.explode(F.when(F.col("up").isNull(), F.array(own)).otherwise(F.array(own, higher)))
+        path = path.join(jumps[k].hint("merge"), ["t", "node"], "left").select("t", "leaf", "rank", "mean", "turns", both.alias("x")).select("t", "leaf", "rank", "mean", "turns", "x.*")
+        if k % 4 == 0:
             path = store.written(path, "paths")
     return path.select(F.col("t.tree").alias("tree"), "leaf", "rank", F.col("mean").alias("score"), "turns", "node", "depth")
 
@@ -98,7 +100,7 @@ def formatted(messages: DataFrame, paths: int | None = 1) -> DataFrame:
     role = escaped_role(F.col("role"))
     said = said.select("t", "node", F.concat(F.lit(START), role, F.lit("\n")).alias("head"), body.alias("body"), (F.col("role") == "assistant").alias("loss"))
     path = chosen_paths(messages, paths).withColumn("t", F.struct("tree")).drop("tree")
-    turns = path.join(said, ["t", "node"])
+    turns = path.join(said.hint("merge"), ["t", "node"])
     size = F.char_length("head") + F.char_length("body") + len(END) + 1
     piece = turns.groupBy("t", "leaf", "rank", "score", "turns", F.floor(F.col("depth") / PIECE).alias("piece")).agg(
         F.array_sort(F.collect_list(F.struct("depth", "head", "body", F.coalesce("loss", F.lit(False)).alias("loss"), size.alias("size")))).alias("x")
