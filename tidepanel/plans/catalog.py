@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import series
 from ..functions.planner import computed
 from ..operators import adjust, asof, custom, evaluate, events, portfolio, records, recursive, regression, returns, signals
 from ..streaming import bars as stream
@@ -225,7 +226,7 @@ def stream_bars_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 158 columns of the wide feature set."""
-    return rounded(computed(_bars(spark, sf_dir), f.wide_features()))
+    return rounded(series.computed(_bars(spark, sf_dir), f.wide_features()))
 
 
 def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
