@@ -8,11 +8,11 @@ import heapq
 import json
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,10 +39,8 @@ NEITHER = (
 )
 _NEITHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
 _ODD = regex.compile(f"[{_NEITHER}{''.join(map(chr, CAPITALS))}]")
-#: Pieces and words of a generation, of which a worker keeps two at hand, and pieces that it counts before it hands their words' counts on.
-AT_HAND, WORDS_AT_HAND, COUNTED = 100_000, 100_000, 400_000
-#: Words of the texts that are coded together, so that their new words are merged at once.
-TOGETHER = 100_000
+#: Words that a worker keeps at hand, and pieces that it counts before it hands their words' counts on.
+AT_HAND, COUNTED = 500_000, 400_000
 
 
 class Rules:
@@ -60,15 +58,18 @@ class Rules:
         self.ranks = {pair: k for k, pair in enumerate(pairs)}
         self.suffix = model["end_of_word_suffix"] or ""
         pattern = split[0]["pattern"]["Regex"]
-        self.split = regex.compile(pattern)
+        self.split = [regex.compile(pattern + x).findall for x in ("", "|\n")]
+        # whether a run of ASCII letters is one word: only what begins with an apostrophe is tried before letters
+        before, letters, _ = pattern.partition("[\\p{L}]+")
+        self.runs = bool(letters) and all(x[:1] == "'" for x in before.split("|")[:-1]) and before[-1:] in ("", "|")
         for name in ("L", "N"):
             pattern = pattern.replace(f"[\\p{{{name}}}]", f"[\\p{{{name}}}--[{_NEITHER}]]").replace(f"[^\\s\\p{{L}}\\p{{N}}]", f"[^\\s[[\\p{{L}}\\p{{N}}]--[{_NEITHER}]]]")
         # the same over lower-case ASCII texts
         ascii_pattern = split[0]["pattern"]["Regex"].replace("[^\\s\\p{L}\\p{N}]", "[^ \t-\ra-z0-9]").replace("[\\p{L}]", "[a-z]").replace("[\\p{N}]", "[0-9]")
         if "\\" in ascii_pattern:
             raise ValueError("this kind of split isn't read")
-        self.split_ascii = re.compile(ascii_pattern).findall
-        self.split_odd = regex.compile(pattern, regex.V1)
+        self.split_ascii = [re.compile(ascii_pattern + x).findall for x in ("", "|\n")]
+        self.split_odd = [regex.compile(pattern + x, regex.V1).findall for x in ("", "|\n")]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = regex.compile("(" + "|".join(sorted(map(regex.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
@@ -86,14 +87,36 @@ class Rules:
             found += ["\0" + part] if part in self.special else self._words(part)
         return found
 
-    def _words(self, text: str) -> list[str]:
+    def words_of(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of pieces (strings without white space), those of a piece in order, and the number of each one's piece.
+
+        Pieces are split together, a line feed between two, which is a word of its own here: no rule looks across it.
+        """
+        of = lambda mask: mask.to_numpy(zero_copy_only=False)
+        whole = of(pc.ascii_is_alpha(pieces)) if self.runs else np.zeros(len(pieces), bool)
+        odd, plain = of(pc.match_substring(pieces, "<|")), of(pc.string_is_ascii(pieces))
+        found, at = [pc.ascii_lower(pieces.filter(pa.array(whole)))], [np.flatnonzero(whole)]
+        for mask in (plain & ~whole & ~odd, ~plain & ~odd):
+            if mask.any():
+                words = pa.array(self._words(_text(b"\n".join(pieces.filter(pa.array(mask)).view(pa.binary()).to_pylist())), True), pa.string())
+                ends = of(pc.equal(words, "\n"))
+                found.append(words.filter(pa.array(~ends)))
+                at.append(np.flatnonzero(mask)[np.cumsum(ends)[~ends]])
+        for k in np.flatnonzero(odd):
+            words = self.words(_text(pieces[int(k)].as_buffer().to_pybytes()))
+            found.append(pa.array(words, pa.string()))
+            at.append(np.full(len(words), k))
+        return pa.concat_arrays(found), np.concatenate(at)
+
+    def _words(self, text: str, lines: bool = False) -> list[str]:
+        """lines: with the line feeds between them."""
         if text.isascii():
-            return self.split_ascii(text.lower())
+            return self.split_ascii[lines](text.lower())
         # a capital sigma is lower-cased without regard to its place
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         if _ODD.search(text):
-            return self.split_odd.findall(text.translate(CAPITALS).lower())
-        return self.split.findall(text.lower())
+            return self.split_odd[lines](text.translate(CAPITALS).lower())
+        return self.split[lines](text.lower())
 
     def merged(self, word: str) -> list[int]:
         """The ids of a word by merging its pairs in the order of their ranks, the leftmost first."""
@@ -171,120 +194,148 @@ class Merger:
             key, rank = old
         return False
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        """The token numbers of each word; words have characters."""
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of tokens; -1 is no token."""
+        key = left.astype(np.int64) << 20 | right
+        rank = np.full(key.shape, len(self.merges), np.int32)
+        for table in (0, 1):
+            slot = self._slot(key, table)
+            np.copyto(rank, self.ranks[table][slot], where=self.keys[table][slot] == key, casting="same_kind")
+        rank[right < 0] = len(self.merges)
+        return rank
+
+    def __call__(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words, shorter ones first, their token numbers in turn and how many each has; words have characters."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda k: len(raw[k]))
-        none = len(self.merges)
+        none, flat, lengths = len(self.merges), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        first, last = (np.array([d[b] for b in range(256)], np.int32) for d in (self.first, self.last))
         for at in range(0, len(order), 4096):
-            part = order[at : at + 4096]
-            width = len(raw[part[-1]])
-            rows = np.full((len(part), width), -1, np.int64)
-            for k, i in enumerate(part):
-                word = raw[i]
-                rows[k, : len(word)] = [*map(self.first.__getitem__, word[:-1]), self.last[word[-1]]]
-            left = np.array(part)
+            part = [raw[i] for i in order[at : at + 4096]]
+            size, width = np.array([len(w) for w in part]), len(part[-1])
+            data = np.frombuffer(b"".join(part), np.uint8)
+            rows = np.full((len(part), width), -1, np.int32)
+            rows[np.arange(width) < size[:, None]] = first[data]
+            rows[np.arange(len(part)), size - 1] = last[data[np.cumsum(size) - 1]]
+            out, left = np.full((len(part), width), -1, np.int32), np.arange(len(part))
+            rank = self._rank(rows[:, :-1], rows[:, 1:])
             while len(left):
-                if rows.shape[1] > 1:
-                    key = rows[:, :-1] << 20 | rows[:, 1:]
-                    rank = np.full(key.shape, none, np.int64)
-                    for table in (0, 1):
-                        slot = self._slot(key, table)
-                        np.copyto(rank, self.ranks[table][slot], where=self.keys[table][slot] == key)
-                    rank[rows[:, 1:] < 0] = none
+                if rank.shape[1]:
                     best = rank.argmin(1)
                     least = rank[np.arange(len(rank)), best]
                 else:
                     least = np.full(len(left), none)
                 done = least == none
-                for i, row in zip(left[done].tolist(), rows[done].tolist()):
-                    out[i] = [x for x in row if x >= 0]
-                left, rows = left[~done], rows[~done]
-                if len(left):
-                    best = best[~done]
-                    rows[np.arange(len(rows)), best] = self.merges[least[~done]]
-                    column = np.arange(rows.shape[1] - 1)
-                    rows = np.take_along_axis(rows, column + (column > best[:, None]), 1)
-        return out
-
-
-class Coder(dict):
-    """piece of a text between ASCII white space -> (its ids, its tokens), each joined by spaces.
+                if done.any():
+                    out[left[done], : rows.shape[1]] = rows[done]
+                    go = ~done
+                    left, rows, rank, least, best = left[go], rows[go], rank[go], least[go], best[go] if rank.shape[1] else least[go]
+                if not len(left):
+                    break
+                # the pair becomes one token; only the pairs beside it get new ranks
+                n, at_row, w = len(left), np.arange(len(left)), rows.shape[1]
+                rows[at_row, best] = self.merges[least]
+                stays = np.ones((n, w), bool)
+                stays[at_row, best + 1] = False
+                rows = rows[stays].reshape(n, w - 1)
+                stays = np.ones((n, w - 1), bool)
+                stays[at_row, best] = False
+                rank = rank[stays].reshape(n, w - 2)
+                k = np.flatnonzero(best > 0)
+                rank[k, best[k] - 1] = self._rank(rows[k, best[k] - 1], rows[k, best[k]])
+                k = np.flatnonzero(best < w - 2)
+                rank[k, best[k]] = self._rank(rows[k, best[k]], rows[k, best[k] + 1])
+            flat.append(out[out >= 0])
+            lengths.append((out >= 0).sum(axis=1))
+        return [words[i] for i in order], np.concatenate(flat), np.concatenate(lengths)
+
+
+def _gathered(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ids from first to end in turn, and where each begins in them, with their end."""
+    lengths = end - first
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    return ids[np.repeat(first - starts[:-1], lengths) + np.arange(starts[-1])], starts
+
+
+class Coder:
+    """The ids of texts by their pieces between ASCII white space.
 
     White space is dropped, no rule looks across it and NFC composes nothing with it, so that a text's tokens are those of its
-    pieces in turn. Pieces and words at hand are kept up to a bound, those in use longest: a full generation becomes the old one, of which
-    what is met again goes on in the new one. Other words are looked up in the transducer or merged.
+    pieces in turn. Arrow splits a batch of texts and finds its different pieces, and their different words; a word at hand is the number of
+    a run in one array of ids, from which the batch's ids are gathered, and Arrow joins their strings. What is at hand goes when it
+    reaches a bound. Words that aren't at hand are looked up in the transducer or merged.
     """
 
     def __init__(self, rules: Rules, lexicon: Transducer) -> None:
         self.rules, self.lexicon, self.merger = rules, lexicon, Merger(rules)
-        self.words, self.old, self.old_words = {}, {}, {}
-        self.number = {i: str(i) for i in rules.token}
-        self.blank = False  # whether a piece without tokens has been seen
-
-    def _learn(self, words: set[str]) -> None:
+        most = max(rules.token, default=-1) + 1
+        self.number = pa.array([str(i) for i in range(most)], pa.large_string())
+        self.token = pa.array([rules.token.get(i, "") for i in range(most)], pa.large_string())
+        self._clear()
+
+    def _clear(self) -> None:
+        # run 0 is empty
+        self.words, self.runs = {}, 1
+        self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+
+    def _add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Puts runs of ids in the array; their numbers."""
+        used, first, last = int(self.ends[self.runs - 1]), self.runs, self.runs + len(lengths)
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(max(used, len(ids)) + len(ids), np.int32)])
+        if last > len(self.ends):
+            self.ends = np.concatenate([self.ends[:first], np.zeros(max(first, len(lengths)) + len(lengths), np.int64)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[first:last] = used + np.cumsum(lengths)
+        self.runs = last
+        return range(first, last)
+
+    def _learn(self, words: list[str]) -> None:
         """Puts the words at hand."""
-        rest, ids = [], {}
+        rest, own, ids = [], [], []
         for word in words:
             found = self.lexicon(word)
-            if found is not None:
-                ids[word] = found
-            elif self.merger.usable and word[0] != "\0" and len(word) <= 48:
-                rest.append(word)
-            else:
-                ids[word] = self.rules.merged(word)
-        ids |= zip(rest, self.merger(rest))
-        number, token = self.number.__getitem__, self.rules.token.__getitem__
-        for word, found in ids.items():
-            self.words[word] = " ".join(map(number, found)), " ".join(map(token, found))
-
-    def prepare(self, here: set[bytes]) -> None:
-        """Puts the pieces at hand, all that are new at once."""
-        new = here.difference(self)
-        if len(self) + len(new) > AT_HAND:
-            kept, self.old = {p: self[p] for p in here - new}, dict(self)
-            self.clear()
-            self.update(kept)
-        again = new.intersection(self.old)
-        self.update({p: self.old[p] for p in again})
-        new -= again
-        if len(self.words) > WORDS_AT_HAND:
-            self.words, self.old_words = {}, self.words
-        split = {p: self.rules.words(_text(p)) for p in new}
-        needed = {w for words in split.values() for w in words}.difference(self.words)
-        again = needed.intersection(self.old_words)
-        self.words.update({w: self.old_words[w] for w in again})
-        self._learn(needed - again)
-        at_hand = self.words
-        for piece, words in split.items():
-            if len(words) == 1:
-                self[piece] = at_hand[words[0]]
-            else:
-                pairs = [x for w in words if (x := at_hand[w])[0]]
-                self[piece] = " ".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs])
-            self.blank |= not self[piece][0]
-
-    def encode_all(self, texts: list[bytes | None]) -> Iterator[tuple[str, str]]:
-        """The decimal ids and the decoded text of each text, each joined by spaces."""
-        first = 0
-        while first < len(texts):
-            split, last, n = [], first, 0
-            while last < len(texts) and (n < TOGETHER or last == first):
-                split.append((texts[last] or b"").split())
-                n += len(split[-1])
-                last += 1
-            self.prepare(set().union(*split))
-            for words in split:
-                pairs = list(map(self.__getitem__, words))
-                if self.blank:
-                    pairs = [x for x in pairs if x[0]]
-                ids, back = zip(*pairs) if pairs else ((), ())
-                yield " ".join(ids), " ".join(back)
-            first = last
+            if found is None:
+                if self.merger.usable and word[0] != "\0" and len(word) <= 48:
+                    rest.append(word)
+                    continue
+                found = self.rules.merged(word)
+            own.append(word)
+            ids.append(found)
+        self.words.update(zip(own, self._add(np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64))))
+        if rest:
+            rest, flat, lengths = self.merger(rest)
+            self.words.update(zip(rest, self._add(flat, lengths)))
+
+    def prepare(self, here: list[str]) -> np.ndarray:
+        """The runs of different words, of which all that are new are put at hand at once."""
+        if len(self.words) + len(here) > AT_HAND:
+            self._clear()
+        self._learn([w for w in here if w not in self.words])
+        return np.fromiter(map(self.words.__getitem__, here), np.int64, len(here))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (strings) in turn, and where each text's begin, with their end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        pieces = split.flatten().dictionary_encode()
+        words, at = self.rules.words_of(pieces.dictionary)
+        words, order = words.dictionary_encode(), np.argsort(at, kind="stable")
+        runs = self.prepare(words.dictionary.to_pylist())[words.indices.to_numpy()[order]]
+        # the ids of the different pieces, then of all
+        ids, starts = _gathered(self.ids, self.ends[runs - 1], self.ends[runs])
+        bounds = starts[np.searchsorted(at[order], np.arange(len(pieces.dictionary) + 1))]
+        where = pieces.indices.to_numpy()
+        ids, starts = _gathered(ids, bounds[:-1][where], bounds[1:][where])
+        return ids, starts[split.offsets.to_numpy() - split.offsets[0].as_py()]
+
+    def joined(self, strings: pa.Array, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """For each text the strings of its ids, joined by spaces."""
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), strings.take(pa.array(ids))), pa.scalar(" ", pa.large_string()))
 
     def encode(self, text: bytes) -> tuple[str, str]:
-        return next(self.encode_all([text]))
+        """The decimal ids and the decoded text, each joined by spaces."""
+        ids, starts = self.encode_all(pa.array([text], pa.binary()).view(pa.string()))
+        return tuple(self.joined(x, ids, starts)[0].as_py() for x in (self.number, self.token))
 
 
 def decode(ids: list[int], rules: Rules) -> str:
@@ -299,22 +350,29 @@ def _text(value: bytes | None) -> str:
 def _counts(spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store.release()
-        rules, seen = Rules(spec.value), Counter()
+        rules, seen, rows = Rules(spec.value), [], 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(seen).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        def out() -> pa.RecordBatch:
-            words = Counter()
-            for piece, n in seen.items():
-                for word in rules.words(_text(piece)):
-                    words[word] += n
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            words, at = rules.words_of(seen[0]["word"].combine_chunks().view(pa.string()))
+            seen[:] = [pa.table([words, seen[0]["n"].take(pa.array(at))], ["word", "n"])]
+            yield from summed().to_batches()
 
         for batch in store.pieces(batches, 0):
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                seen.update((text or b"").split())
-                if len(seen) >= COUNTED:
-                    yield out()
-                    seen.clear()
-        yield out()
+            found = pc.ascii_split_whitespace(pc.fill_null(batch.column(0).cast(pa.string()), "")).flatten().value_counts()
+            seen.append(pa.table([found.field(0).view(pa.binary()), found.field(1)], ["word", "n"]))
+            rows += len(found)
+            if rows >= 2 * COUNTED:
+                seen[:] = [summed()]
+                rows = len(seen[0])
+                if rows >= COUNTED:
+                    yield from out()
+                    seen, rows = [], 0
+        if seen:
+            seen[:] = [summed()]
+            yield from out()
 
     return run
 
@@ -328,21 +386,23 @@ def _coder(spec, lexicon) -> Coder:
 
 
 #: What is made of a text; the last two if they are kept.
-_CODED = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32()), "decoded": pa.string()}
+_CODED = ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")
 
 
 def _coded(spec, lexicon, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec, lexicon)
-        gc.disable()  # strings and tuples of them make no cycles, and there are a million of them
+        gc.disable()  # strings and lists of them make no cycles, and there are a million of them
         try:
             for batch in store.pieces(batches, 1):
-                rows = []
-                for found, back in coder.encode_all(batch.column(1).cast(pa.binary()).to_pylist()):
-                    row = found.count(" ") + 1 if found else 0, hashlib.sha256(found.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
-                    rows.append((*row, [int(i) for i in found.split()], back) if keep else row)
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows), _CODED.values())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *list(_CODED)[: len(columns)]])
+                ids, starts = coder.encode_all(batch.column(1))
+                columns = [pa.array(np.diff(starts))]
+                for strings in (coder.number, coder.token):
+                    back = coder.joined(strings, ids, starts)
+                    columns.append(pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in back], pa.string()))
+                if keep:
+                    columns += [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)), back.cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", *_CODED[: len(columns)]])
         finally:
             gc.enable()
 
