@@ -155,6 +155,16 @@ def _signed(size: int, bands: int, rows: int, seed: int, parts: int):
 _FIELDS = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in _SIGNED.split(", "))])
 
 
+def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, and their places, equal ones in turn; sorted as one number each where key and place have room in it."""
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()).bit_length() + bits <= 64:
+        both = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+        return both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, inst) of the keys of more than one line, from the blobs of some parts, each of which is whole here.
 
@@ -163,27 +173,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one pair in 2 ** 24.
     """
     seen, firsts, marks, told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+    parts: dict[int, int] = {}  # part -> its number here, which stands for it in keys, so that these have room for a line's place
 
     def merged(keys: np.ndarray, lines: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
         nonlocal seen, firsts, marks, told
-        order = np.argsort(keys, kind="stable")
-        keys, lines, tags = keys[order], lines[order], tags[order]
+        keys, order = _in_order(keys)
+        lines, tags = lines[order], tags[order]
         cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         place = np.searchsorted(seen, keys[cuts])
         old = np.zeros(len(cuts), bool)
         inside = place < len(seen)
         old[inside] = seen[place[inside]] == keys[cuts[inside]]
-        new = cuts[~old]
-        seen, firsts, marks, told = (np.concatenate(x) for x in ((seen, keys[new]), (firsts, lines[new]), (marks, tags[new]), (told, np.zeros(len(new), bool))))
-        order = np.argsort(seen, kind="stable")
-        seen, firsts, marks, told = seen[order], firsts[order], marks[order], told[order]
+        new, at = cuts[~old], place[~old]
+        seen, firsts, marks, told = (np.insert(x, at, y) for x, y in ((seen, keys[new]), (firsts, lines[new]), (marks, tags[new]), (told, False)))
         place = np.repeat(np.searchsorted(seen, keys[cuts]), np.diff(np.append(cuts, len(keys))))
         give = tags != marks[place]
         late = np.unique(place[give])
         late = late[~told[late]]
         told[late] = True
         out = np.concatenate([seen[late], keys[give]]), np.concatenate([firsts[late], lines[give]])
-        return pa.RecordBatch.from_arrays([pa.array(out[0].view(np.int64)), pa.array(out[1])], ["key", "inst"])
+        whole = np.fromiter(parts, np.uint64, len(parts))[(out[0] >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | out[0] & np.uint64(2**32 - 1)
+        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(out[1])], ["key", "inst"])
 
     waiting, size = [], 0
     store.release()
@@ -191,7 +201,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             part, base, blob = (batch.column(k)[row] for k in range(3))
             part, base, rows = part.as_py(), base.as_py(), np.frombuffer(blob.as_buffer(), _KEY)
-            waiting.append((rows["key"] + (np.uint64(part) << np.uint64(32)), base + rows["line"].astype(np.int64), rows["low"] + (rows["high"].astype(np.int32) << 16)))
+            waiting.append((rows["key"] + (np.uint64(parts.setdefault(part, len(parts))) << np.uint64(32)), base + rows["line"].astype(np.int64), rows["low"] + (rows["high"].astype(np.int32) << 16)))
             size += len(rows)
             if size >= CHUNK:
                 yield merged(*map(np.concatenate, zip(*waiting)))
@@ -295,13 +305,14 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
     keep = group.groupBy("g1", "g2").agg(F.min("least").alias("keeper")).select(F.col("g1").alias("k1"), F.col("g2").alias("k2"), "keeper")
     group = group.join(keep, (F.col("g1") == F.col("k1")) & F.col("g2").eqNullSafe(F.col("k2"))).select("h1", "h2", "g1", "g2", "keeper")
     group = store.small(store.written(group, "groups"))
-    hits = signed.select("id", "at", "h1", "h2").join(group, ["h1", "h2"])
+    hits = store.written(signed.select("id", "at", "h1", "h2").join(group, ["h1", "h2"]).drop("h1", "h2"), "hits")
     mine = hits.where("id = keeper").groupBy("id", "g1", "g2").agg(F.min("at").alias("first"))
     mine = mine.select(F.col("id").alias("i"), F.col("g1").alias("k1"), F.col("g2").alias("k2"), "first")
     same = (F.col("id") == F.col("i")) & (F.col("g1") == F.col("k1")) & F.col("g2").eqNullSafe(F.col("k2"))
     drops = hits.where("id != keeper").select("id", "at").union(hits.where("id = keeper").join(mine, same).where("at != first").select("id", "at"))
     drops = store.written(drops.groupBy("id").agg(F.collect_set("at").alias("drops")), "drops")
     store.drop(both)
+    store.drop(hits)
     return drops
 
 
@@ -312,11 +323,11 @@ def _cut(at: int, keep_empty: bool):
         for batch in store.pieces(batches, at):
             texts, kept, counts = [], [], []
             for text, drops in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                lines, gone = (text or b"").split(b"\n"), set(drops or ())
-                left = [x for k, x in enumerate(lines) if k not in gone]
+                gone, lines = set(drops or ()), (text or b"").split(b"\n") if drops or keep_empty else ()
+                left = [x for k, x in enumerate(lines) if k not in gone] if gone else lines
                 texts.append(b"\n".join(left) if gone else text)
                 kept.append(not gone or any(x.strip() for x in left))
-                counts.append((sum(1 for x in lines if x.split()), len(gone)))
+                counts.append((sum(map(bool, map(bytes.strip, lines))), len(gone)))
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
             columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
             if keep_empty:
