@@ -40,7 +40,9 @@ NEITHER = (
 _NEITHER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NEITHER)
 _ODD = regex.compile(f"[{_NEITHER}{''.join(map(chr, CAPITALS))}]")
 #: Words that a worker keeps at hand, and pieces that it counts before it hands their words' counts on.
-AT_HAND, COUNTED = 500_000, 400_000
+AT_HAND, COUNTED = 200_000, 250_000
+#: Bytes of texts that are split, or coded, together.
+TOGETHER = 1 << 20
 
 
 class Rules:
@@ -360,7 +362,7 @@ def _counts(spec):
             seen[:] = [pa.table([words, seen[0]["n"].take(pa.array(at))], ["word", "n"])]
             yield from summed().to_batches()
 
-        for batch in store.pieces(batches, 0):
+        for batch in store.pieces(batches, 0, TOGETHER):
             found = pc.ascii_split_whitespace(pc.fill_null(batch.column(0).cast(pa.string()), "")).flatten().value_counts()
             seen.append(pa.table([found.field(0).view(pa.binary()), found.field(1)], ["word", "n"]))
             rows += len(found)
@@ -394,7 +396,7 @@ def _coded(spec, lexicon, keep: bool):
         coder = _coder(spec, lexicon)
         gc.disable()  # strings and lists of them make no cycles, and there are a million of them
         try:
-            for batch in store.pieces(batches, 1):
+            for batch in store.pieces(batches, 1, TOGETHER):
                 ids, starts = coder.encode_all(batch.column(1))
                 columns = [pa.array(np.diff(starts))]
                 for strings in (coder.number, coder.token):
