@@ -115,6 +115,7 @@ def _meeting(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole(batches):
             side, key, node, c, s0, s1 = (table.column(k).to_numpy() for k in range(1, 7))
+            s0, s1 = s0.view(np.uint64), s1.view(np.uint64)  # of a negative number bitwise_count counts the absolute value's bits
             hit = np.zeros(len(table), bool)
             for at, end in zip(starts[:-1], starts[1:]):
                 left, right = (np.arange(at, end),) * 2
@@ -140,12 +141,15 @@ def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarra
     shared = np.flatnonzero(often > 1)  # others are in no intersection
     place[shared] = np.arange(len(shared))
     column = place[at]
-    order = np.argsort(column, kind="stable")
+    if len(shared) > COLUMNS:  # so that the columns of a product stand together
+        order = np.argsort(column, kind="stable")
+    else:
+        order = np.flatnonzero(column >= 0)
     column, owner = column[order], owner[order]
     total = np.zeros((len(left), len(right) if right else len(left)), np.float32)  # whole numbers below 2**24 are exact
     for first in range(0, len(shared), COLUMNS):
-        a, b = np.searchsorted(column, (first, first + COLUMNS))
-        there = np.zeros((len(sets), COLUMNS), np.float32)
+        a, b = np.searchsorted(column, (first, first + COLUMNS)) if len(shared) > COLUMNS else (0, len(column))
+        there = np.zeros((len(sets), min(COLUMNS, len(shared))), np.float32)
         there[owner[a:b], column[a:b] - first] = 1
         total += there[: len(left)] @ (there[len(left) :] if right else there).T
     return total.astype(np.int64)
