@@ -8,12 +8,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .buckets import alike, apart, counted, resolved, sketch
+from .buckets import alike, apart, resolved, sketch
 from .hashing import mix
 
 #: Characters of a shingle, so few that one changed character within a line of 40 leaves a similarity of 0.756; bands and minhashes of a band: a pair of similarity s meets with 1 - (1 - s ** ROWS) ** BANDS, 0.9995 at 0.75.
@@ -21,7 +20,7 @@ SHINGLE, BANDS, ROWS = 5, 28, 5
 #: Characters that are hashed at once, but for a longer line.
 PIECE = 1 << 16
 #: Documents whose band keys make one task's part, and keys that such a task sorts at once.
-PART, CHUNK = 4_000, 1 << 18
+PART, CHUNK = 4_000, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -30,17 +29,28 @@ def normal(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def _windows(lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends): 64-bit hashes of all windows of that many characters, those of each line from its start to its end; between
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\r\v\f", b"abcdefghijklmnopqrstuvwxyz    ")
+
+
+def normal_lines(texts: list[bytes]) -> list[bytes]:
+    """normal() of the lines of all texts, one text's after another's, made of all of them at once."""
+    whole = b"\n".join(texts).translate(_PLAIN)
+    while b"  " in whole:
+        whole = whole.replace(b"  ", b" ")
+    return whole.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n") if texts else []
+
+
+def _windows(lines: list[bytes], size: int, kind: type = np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends): hashes, of 64 bits or of 32, of all windows of that many characters, those of each line from its start to its end; between
     lines are windows that run into the next one, and one more value follows the last line. A line shorter than a window is filled up."""
     texts = [x.decode("utf-8", "replace").ljust(size, "\0") for x in lines]
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) - size + 1
     n = max(0, len(points) - size + 1)
-    hashes = np.full(n + 1, 2**64 - 1, np.uint64)
+    hashes, odd = np.full(n + 1, np.iinfo(kind).max, kind), kind(int(_ODD) & np.iinfo(kind).max)
     hashes[:n] = points[:n]
     for k in range(1, size):
-        hashes[:n] *= _ODD
+        hashes[:n] *= odd
         hashes[:n] += points[k : k + n]
     return hashes, np.concatenate(([0], ends[:-1] + size - 1))[: len(lines)], ends
 
@@ -57,23 +67,36 @@ def shingles(lines: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
 
 
 class _Bands:
-    """Signatures of many lines at once, of 32 bits of each window's hash, since a chance collision only makes a candidate."""
+    """Signatures of many lines at once, of 32 bits of each window's hash, since a chance collision only makes a candidate.
+
+    One factor's products give four values: the least and the greatest, and both again with the highest bit turned over, which are those of signed
+    numbers. Each is of a shingle that chance takes; the four are in different bands, and where one differs the others rather don't.
+    """
 
     def __init__(self, bands: int, rows: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.rows, self.factors = rows, rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * 2 + 1
+        self.rows, self.values = rows, bands * rows
+        self.factors = rng.integers(0, 2**31, -(-bands // 4) * rows, dtype=np.uint32) * 2 + 1
         self.salts = mix(np.arange(bands, dtype=np.uint64) + np.uint64(seed))
 
     def __call__(self, lines: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(windows, band keys, sketches) of each line."""
-        whole, starts, ends = _windows(lines, size)
-        hashes = (((whole ^ (whole >> np.uint64(29))) * _ODD) >> np.uint64(32)).astype(np.uint32)
-        # every other range is a line's; those between hold the windows that run into the next line
-        ranges, product = np.stack([starts, ends], 1).ravel(), np.empty_like(hashes)
-        least = np.empty((len(self.factors), len(lines)), np.uint32)
+        hashes, starts, ends = _windows(lines, size, np.uint32)
+        hashes ^= hashes >> np.uint32(16)
+        hashes *= np.uint32(0x85EBCA6B)
+        hashes ^= hashes >> np.uint32(13)
+        # the windows that run into the next line, and the value after the last, repeat their line's last one, which changes no minimum
+        past = (ends[:, None] + np.arange(size - 1)).ravel()
+        past = np.append(past[: len(past) - size + 1], len(hashes) - 1)
+        hashes[past] = np.append(np.repeat(hashes[ends[:-1] - 1], size - 1), hashes[ends[-1] - 1])
+        product = np.empty_like(hashes)
+        least = np.empty((4, len(self.factors), len(lines)), np.uint32)
+        ways = [(f, x, y) for x, y in ((product, least), (product.view(np.int32), least.view(np.int32))) for f in (np.minimum, np.maximum)]
         for k, factor in enumerate(self.factors):
             np.multiply(hashes, factor, out=product)
-            least[k] = np.minimum.reduceat(product, ranges)[::2]
+            for way, (f, x, y) in enumerate(ways):
+                f.reduceat(x, starts, out=y[way, k])
+        least = least.reshape(-1, len(lines))[: self.values]
         parts = least.reshape(-1, self.rows, len(lines))
         keys = np.repeat(self.salts[:, None], len(lines), 1)
         for r in range(self.rows):
@@ -81,47 +104,45 @@ class _Bands:
         return ends - starts, keys.T, sketch(np.ascontiguousarray(least[:128].T))
 
 
-#: A key in a blob: 32 bits of it (the others choose its part), its line's number, and 24 bits of the line's hash, by which copies are known.
-_KEY = np.dtype([("key", "<u4"), ("line", "<u2"), ("low", "<u2"), ("high", "u1")])
-#: Different lines of a blob.
+#: A key in a blob: 32 bits of it (the others choose its part), and the upper 40 bits of its line's h1, by which copies are known.
+_KEY = np.dtype([("key", "<u4"), ("low", "<u4"), ("high", "u1")])
+SHORT = 40
+#: Different lines whose keys are packed at once.
 LINES = 1 << 16
 
 
-def _packed(keys: np.ndarray, tags: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """(part, blob) of the keys (lines x bands), every key with its line's number and tag."""
+def _packed(keys: np.ndarray, shorts: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of the keys (lines x bands), every key with its line's short hash."""
     flat = keys.ravel()
     part = (flat >> np.uint64(32)).astype(np.int64) % parts
     order = np.argsort(part.astype(np.uint16 if parts < 1 << 16 else np.uint32), kind="stable")
     part, line = part[order], order // keys.shape[1]
     rows = np.empty(len(flat), _KEY)
-    rows["key"], rows["line"], rows["low"], rows["high"] = flat[order].astype(np.uint32), line, tags[line] & 0xFFFF, tags[line] >> 16 & 0xFF
+    rows["key"], rows["low"], rows["high"] = flat[order].astype(np.uint32), shorts.astype(np.uint32)[line], (shorts >> np.uint64(32)).astype(np.uint8)[line]
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
     for at, end in zip(cuts, [*cuts[1:], len(part)]):
         yield int(part[at]), rows[at:end].tobytes()
 
 
-_SIGNED = "inst long, id long, at int, h1 long, h2 long, n long, s0 long, s1 long, part int, base long, blob binary"
+_SIGNED = "id long, at int, h1 long, h2 long, n long, s0 long, s1 long, part int, blob binary"
 
 
 def _signed(size: int, bands: int, rows: int, seed: int, parts: int):
-    """Rows of two kinds. Every line with a word: (id, at, h1, h2), and for the first of its form in a batch also inst, a number of its own,
-    n and the sketch. The band keys of these, packed: (part, base, blob), where base is the inst of line 0 of the blob."""
+    """Rows of two kinds. Every line with a word: (id, at, h1, h2), and for one of each form in a batch also n and the sketch. The band keys of these, packed: (part, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store.release()
-        hasher, base = _Bands(bands, rows, seed), TaskContext.get().partitionId() << 40
+        hasher = _Bands(bands, rows, seed)
         for batch in store.pieces(batches, 1):
-            ids, ats, found = [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                for at, line in enumerate((text or b"").split(b"\n")):
-                    if line := normal(line):
-                        ids.append(node)
-                        ats.append(at)
-                        found.append(line)
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            each = np.fromiter((x.count(b"\n") + 1 for x in texts), np.int64, len(texts))
+            found = normal_lines(texts)
+            there = np.fromiter(map(bool, found), bool, len(found))
+            ids = np.repeat(batch.column(0).to_numpy(), each)[there]
+            ats = (np.arange(len(found)) - np.repeat(np.cumsum(each) - each, each))[there].astype(np.int32)
+            found = list(filter(None, found))
             digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), ">i8").astype(np.int64).reshape(-1, 2)
-            new = {}
-            for k, line in enumerate(found):
-                new.setdefault(line, k)
+            new = dict(zip(found, range(len(found))))
             lines, at_row = list(new), np.fromiter(new.values(), np.int64, len(new))
             counts, keys, sketches, first = [np.zeros(0, np.int64)], [np.zeros((0, bands), np.uint64)], [np.zeros((0, 2), np.int64)], 0
             while first < len(lines):
@@ -132,22 +153,20 @@ def _signed(size: int, bands: int, rows: int, seed: int, parts: int):
                 for put, x in zip((counts, keys, sketches), hasher(lines[first:last], size)):
                     put.append(x)
                 first = last
-            keys, tags, blobs = np.concatenate(keys), digests[at_row, 0], []
+            keys, shorts, blobs = np.concatenate(keys), digests[at_row, 0].view(np.uint64) >> np.uint64(64 - SHORT), []
             for first in range(0, len(lines), LINES):
-                blobs += [(p, base + first, x) for p, x in _packed(keys[first : first + LINES], tags[first : first + LINES], parts)]
-            known = [base + np.arange(len(lines)), np.concatenate(counts), *np.concatenate(sketches).T]
-            columns = {c: pa.array(x) for c, x in zip(("id", "at", "h1", "h2"), (pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), digests[:, 0], digests[:, 1]))}
+                blobs += _packed(keys[first : first + LINES], shorts[first : first + LINES], parts)
+            columns = {c: pa.array(x) for c, x in zip(("id", "at", "h1", "h2"), (ids, ats, digests[:, 0], digests[:, 1]))}
             nulls = np.ones(len(found), bool)
             nulls[at_row] = False
-            for c, x in zip(("inst", "n", "s0", "s1"), known):
+            for c, x in zip(("n", "s0", "s1"), [np.concatenate(counts), *np.concatenate(sketches).T]):
                 values = np.zeros(len(found), np.int64)
                 values[at_row] = x
                 columns[c] = pa.array(values, mask=nulls)
-            of = {c: pa.array([x[k] for x in blobs], t) for k, (c, t) in enumerate((("part", pa.int32()), ("base", pa.int64()), ("blob", pa.binary())))}
+            of = {c: pa.array([x[k] for x in blobs], t) for k, (c, t) in enumerate((("part", pa.int32()), ("blob", pa.binary())))}
             for made, size_ in ((columns, len(found)), (of, len(blobs))):
                 if size_:
                     yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(size_, f.type)) for f in _FIELDS], schema=_FIELDS)
-            base += len(lines)
 
     return run
 
@@ -165,83 +184,107 @@ def _in_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], order
 
 
+def _several(keys: np.ndarray, shorts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(heads, run, short, alone): the keys of more than one row; their different lines, each with the number of its key, in order; the places of the rows of other keys."""
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(cuts, len(keys)))
+    heads = cuts[counts > 1]
+    inside = np.repeat(counts > 1, counts)
+    run, short = np.repeat(np.arange(len(heads), dtype=np.uint64), counts[counts > 1]), shorts[inside]
+    if len(heads) >> (64 - SHORT):
+        order = np.lexsort((short, run))
+        run, short = run[order], short[order]
+        new = np.append(True, (run[1:] != run[:-1]) | (short[1:] != short[:-1]))
+        run, short = run[new], short[new]
+    elif len(heads):
+        both = _unique(run << np.uint64(SHORT) | short)
+        run, short = both >> np.uint64(SHORT), both & np.uint64((1 << SHORT) - 1)
+    return keys[heads], run.astype(np.int64), short, cuts[counts == 1]
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, inst) of the keys of more than one line, from the blobs of some parts, each of which is whole here.
+    """The keys of more than one line, from the blobs of some parts, each of which is whole here: (null, a, b) for the pairs of two or three
+    lines of a key, (key, a, null) for every line of a key of more. Lines are known by their short hashes, so that copies are one.
 
-    What is kept are the different keys so far, sorted, each with its first line; other lines of such a key are given out
-    at once, so that a key of very many lines takes no more room than another. Lines of the first one's tag are its copies, but for
-    one pair in 2 ** 24.
+    What is kept are the keys so far, each with its lines while they are three at most; a key of more is given out at
+    once, and what comes of it later as well, so that a key of very many lines takes no more room than another.
     """
-    seen, firsts, marks, told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+    keys, shorts, big = (np.zeros(0, np.uint64) for _ in range(3))
     parts: dict[int, int] = {}  # part -> its number here, which stands for it in keys, so that these have room for a line's place
 
-    def merged(keys: np.ndarray, lines: np.ndarray, tags: np.ndarray) -> pa.RecordBatch:
-        nonlocal seen, firsts, marks, told
+    def rows(key: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        whole = None
+        if key is not None and len(key):
+            whole = np.fromiter(parts, np.uint64, len(parts))[(key >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | key & np.uint64(2**32 - 1)
+        columns = [pa.nulls(len(a), pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (whole, a, b)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
+
+    def merged(waiting: list, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal keys, shorts, big
+        keys, shorts = (np.concatenate(x) for x in zip((keys, shorts), *waiting))
+        if len(big):
+            old = big[np.minimum(np.searchsorted(big, keys), len(big) - 1)] == keys
+            yield rows(keys[old], shorts[old], None)
+            keys, shorts = keys[~old], shorts[~old]
         keys, order = _in_order(keys)
-        lines, tags = lines[order], tags[order]
-        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        place = np.searchsorted(seen, keys[cuts])
-        old = np.zeros(len(cuts), bool)
-        inside = place < len(seen)
-        old[inside] = seen[place[inside]] == keys[cuts[inside]]
-        new, at = cuts[~old], place[~old]
-        seen, firsts, marks, told = (np.insert(x, at, y) for x, y in ((seen, keys[new]), (firsts, lines[new]), (marks, tags[new]), (told, False)))
-        place = np.repeat(np.searchsorted(seen, keys[cuts]), np.diff(np.append(cuts, len(keys))))
-        give = tags != marks[place]
-        late = np.unique(place[give])
-        late = late[~told[late]]
-        told[late] = True
-        out = np.concatenate([seen[late], keys[give]]), np.concatenate([firsts[late], lines[give]])
-        whole = np.fromiter(parts, np.uint64, len(parts))[(out[0] >> np.uint64(32)).astype(np.int64)] << np.uint64(32) | out[0] & np.uint64(2**32 - 1)
-        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(out[1])], ["key", "inst"])
+        shorts = shorts[order]
+        heads, run, short, alone = _several(keys, shorts)
+        c = np.bincount(run, minlength=len(heads))
+        many = c[run] > 3
+        yield rows(heads[run[many]], short[many], None)
+        if last:
+            first = np.cumsum(c) - c
+            two, three = first[c == 2], first[c == 3]
+            yield rows(None, short[np.concatenate([two, three, three, three + 1])], short[np.concatenate([two + 1, three + 1, three + 2, three + 2])])
+        else:
+            big = np.sort(np.concatenate([big, heads[c > 3]]))
+            keys, shorts = np.concatenate([keys[alone], heads[run[~many]]]), np.concatenate([shorts[alone], short[~many]])
 
     waiting, size = [], 0
     store.release()
     for batch in batches:
-        for row in range(batch.num_rows):
-            part, base, blob = (batch.column(k)[row] for k in range(3))
-            part, base, rows = part.as_py(), base.as_py(), np.frombuffer(blob.as_buffer(), _KEY)
-            waiting.append((rows["key"] + (np.uint64(parts.setdefault(part, len(parts))) << np.uint64(32)), base + rows["line"].astype(np.int64), rows["low"] + (rows["high"].astype(np.int32) << 16)))
-            size += len(rows)
-            if size >= CHUNK:
-                yield merged(*map(np.concatenate, zip(*waiting)))
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            found = np.frombuffer(blob.as_buffer(), _KEY)
+            number = np.uint64(parts.setdefault(part, len(parts)) << 32)
+            waiting.append((found["key"] + number, found["low"] + (found["high"].astype(np.uint64) << np.uint64(32))))
+            size += len(found)
+            if size >= max(CHUNK, len(keys)):
+                yield from merged(waiting, False)
                 waiting, size = [], 0
-    if size:
-        yield merged(*map(np.concatenate, zip(*waiting)))
+    if size or len(keys):
+        yield from merged(waiting, True)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text): the hash h1 and the normal text of every different line of (doc, text)."""
+    """(id, text): the hash h1 and the normal text of the different lines of (text, wanted) whose hash is wanted."""
     store.release()
-    for batch in store.pieces(batches, 1):
-        out = {}
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            for line in (text or b"").split(b"\n"):
-                if line := normal(line):
-                    out[xxhash.xxh3_128_digest(line)[:8]] = line
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(b"".join(out), ">i8").astype(np.int64)), pa.array(list(out.values()), pa.binary())], ["id", "text"]
-        )
+    for batch in store.pieces(batches, 0):
+        lines = list(set(filter(None, normal_lines([x or b"" for x in batch.column(0).cast(pa.binary()).to_pylist()]))))
+        ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x)[:8] for x in lines), ">i8").astype(np.int64)
+        found = np.flatnonzero(np.isin(ids, batch.column(1).flatten().to_numpy()))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array([lines[k] for k in found], pa.binary())], ["id", "text"])
 
 
 def _confirmed(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store.release()
         low = np.uint64(64 - 12)
-        for batch in store.pieces(batches, 2, 1 << 19):
+        for batch in store.pieces(batches, 2, 1 << 15):
             good = []
             for at in range(0, batch.num_rows, 1 << 12):
                 part = batch.slice(at, 1 << 12)
-                sides = []
-                for k in (2, 3):  # a pair's number above 52 bits of each of its shingles
+                n, sides = part.num_rows, []
+                for k in (2, 3):  # a pair's number above 51 bits of each of its shingles, above the side
                     hashes, starts, ends = _windows(part.column(k).to_pylist(), size)
-                    of = np.repeat(np.arange(len(starts), dtype=np.uint64), ends - starts)
-                    own = np.repeat(starts - np.concatenate(([0], np.cumsum(ends - starts)[:-1])), ends - starts) + np.arange(len(of))
-                    sides.append(_unique((mix(hashes[own]) >> np.uint64(12)) | (of << low)))
-                both = np.sort(np.concatenate(sides))
-                both, n = both[1:][both[1:] == both[:-1]], part.num_rows
-                both, left, right = (np.bincount((x >> low).astype(np.int64), minlength=n) for x in (both, *sides))
-                good.append((100 * both >= percent * (left + right - both)) & (both > 0))
+                    own = np.ones(len(hashes), bool)
+                    own[(ends[:-1, None] + np.arange(size - 1)).ravel()] = own[ends[-1] :] = False
+                    of = np.repeat(np.arange(n, dtype=np.uint64), ends - starts)
+                    sides.append(mix(hashes[own]) >> np.uint64(13) << np.uint64(1) | of << low | np.uint64(k - 2))
+                both = _unique(np.concatenate(sides))
+                of = (both >> low).astype(np.int64)
+                both >>= np.uint64(1)
+                shared, every = np.bincount(of[1:][both[1:] == both[:-1]], minlength=n), np.bincount(of, minlength=n)
+                good.append((100 * shared >= percent * (every - shared)) & (shared > 0))
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(np.concatenate(good))) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -255,36 +298,30 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     tasks = max(1, -(-texts.count() // PART))
-    both = store.written(texts.mapInArrow(_signed(size, bands, rows, seed, 4 * tasks), _SIGNED), "lines")
-    blobs = both.where("part is not null").select("part", "base", "blob").repartition(tasks, "part").select("part", "base", "blob")
-    found = store.written(blobs.mapInArrow(_shared, "key long, inst long"), "keys")
-    signed = both.where("h1 is not null").select("id", "at", "h1", "h2", "inst", "n", "s0", "s1")
-    kinds = store.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("c"), F.max("n").alias("n"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "kinds")
-    node = kinds.select(F.col("h1").alias("node"), "least")
-    nodes = kinds.select(F.col("h1").alias("node"), "n", "s0", "s1")
-    held = found.join(signed.where("inst is not null").select("inst", F.col("h1").alias("node"), "s0", "s1"), "inst").select("key", "node", "s0", "s1")
-    held = store.written(held, "held")
+    both = store.written(texts.mapInArrow(_signed(size, bands, rows, seed, 4 * tasks), _SIGNED), "lines", dictionary=False)
+    blobs = both.where("part is not null").select("part", "blob").repartition(tasks, "part")
+    found = store.written(blobs.mapInArrow(_shared, "key long, a long, b long"), "keys")
+    signed = both.where("h1 is not null").select("id", "at", "h1", "h2", "n", "s0", "s1")
+    kinds = store.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("c"), F.max("n").alias("n"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "kinds", dictionary=False)
+    # lines of one short hash are taken for each other's: more pairs to compare, none lost
+    short = found.select(F.explode(F.array("a", "b")).alias("short")).where("short is not null").distinct()
+    nodes = kinds.select(F.shiftrightunsigned("h1", 64 - SHORT).alias("short"), F.col("h1").alias("node"), "least", "n", "s0", "s1")
+    nodes = store.written(nodes.join(store.small(store.written(short, "short")), "short"), "nodes", dictionary=False)
     most = apart(min(128, bands * rows), percent / 100)
-    at = {f"{f}_{s}": (F.min_by if f == "low" else F.max_by)(s, "node").alias(f"{f}_{s}") for f in ("low", "high") for s in ("s0", "s1")}
-    first = counted(held, *at.values(), F.bit_xor("s0").alias("x_s0"), F.bit_xor("s1").alias("x_s1"))
-    # the pairs of two or three lines come with their sketches
-    mid = [F.col(c).bitwiseXOR(F.col(lo)).bitwiseXOR(F.col(hi)) for c, lo, hi in (("x", "low", "high"), ("x_s0", "low_s0", "high_s0"), ("x_s1", "low_s1", "high_s1"))]
-    ends = [[F.col(f), F.col(f"{f}_s0"), F.col(f"{f}_s1")] for f in ("low", "high")]
-    third = (F.col("c") == 3) & (mid[0] != F.col("low")) & (mid[0] != F.col("high"))
-    pair = lambda p, q, when: F.when(when & alike(p[1:], q[1:], most), F.struct(F.least(p[0], q[0]).alias("a"), F.greatest(p[0], q[0]).alias("b")))
-    pairs = F.array(pair(ends[0], ends[1], F.lit(True)), pair(ends[0], mid, third), pair(mid, ends[1], third))
-    pairs = F.when(F.col("c") <= 3, F.filter(pairs, lambda p: p.isNotNull()))
-    first = store.written(first.select("key", "c", pairs.alias("pairs")).where("c > 3 or size(pairs) > 0"), "counted")
-    small = first.where("c <= 3").select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
-    buckets = held.select("key", "node").join(store.small(first.where("c > 3").select("key")), "key").distinct()
-    buckets = store.written(buckets, "buckets")
-    store.drop(held)
+    left, right = (store.small(nodes.select(F.col("short").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "s0", "s1")))) for c in "ab")
+    sides = found.where("key is null").select("a", "b").distinct().join(left, "a").join(right, "b")
+    near = alike((F.col("a_s0"), F.col("a_s1")), (F.col("b_s0"), F.col("b_s1")), most)
+    small = sides.where(near).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    # a short hash of two lines makes them members of the same buckets
+    buckets = found.where("key is not null").select("key", F.col("a").alias("short")).distinct().join(store.small(nodes.select("short", "node")), "short")
+    buckets = store.written(buckets.select("key", "node").distinct(), "buckets")
+    node, nodes = nodes.select("node", "least"), nodes.select("node", "n", "s0", "s1")
 
     def lines(need: DataFrame) -> DataFrame:
         """(id, text) of the lines in need, from the documents that hold them first."""
-        of = store.written(node.join(need.withColumnRenamed("id", "node"), "node", "left_semi").select(F.col("least").alias("id")).distinct(), "need")
-        found = texts.join(store.small(of), "id", "left_semi").mapInArrow(_texts, "id long, text binary")
-        return found.join(store.small(need), "id", "left_semi").dropDuplicates(["id"])
+        of = node.join(need.withColumnRenamed("id", "node"), "node").groupBy(F.col("least").alias("id")).agg(F.collect_set("node").alias("wanted"))
+        found = texts.join(store.small(store.written(of, "need")), "id").select("text", "wanted")
+        return found.mapInArrow(_texts, "id long, text binary").dropDuplicates(["id"])
 
     def links(pairs: DataFrame) -> DataFrame:
         need = store.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "need")

@@ -38,14 +38,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors. Without a dictionary, which
+    columns of hashes have no use for, values are written as they are."""
     spark = df.sparkSession
     path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in _WRITING}
     try:
         for k, v in _WRITING.items():
             spark.conf.set(k, v)
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
