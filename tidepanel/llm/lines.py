@@ -298,15 +298,15 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, *, size: int = S
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     tasks = max(1, -(-texts.count() // PART))
-    both = store.written(texts.mapInArrow(_signed(size, bands, rows, seed, 4 * tasks), _SIGNED), "lines", dictionary=False)
+    both = store.written_plain(texts.mapInArrow(_signed(size, bands, rows, seed, 4 * tasks), _SIGNED), "lines")
     blobs = both.where("part is not null").select("part", "blob").repartition(tasks, "part")
     found = store.written(blobs.mapInArrow(_shared, "key long, a long, b long"), "keys")
     signed = both.where("h1 is not null").select("id", "at", "h1", "h2", "n", "s0", "s1")
-    kinds = store.written(signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("c"), F.max("n").alias("n"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "kinds", dictionary=False)
+    kinds = store.written_plain(signed.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("c"), F.max("n").alias("n"), F.max("s0").alias("s0"), F.max("s1").alias("s1")), "kinds")
     # lines of one short hash are taken for each other's: more pairs to compare, none lost
     short = found.select(F.explode(F.array("a", "b")).alias("short")).where("short is not null").distinct()
     nodes = kinds.select(F.shiftrightunsigned("h1", 64 - SHORT).alias("short"), F.col("h1").alias("node"), "least", "n", "s0", "s1")
-    nodes = store.written(nodes.join(store.small(store.written(short, "short")), "short"), "nodes", dictionary=False)
+    nodes = store.written_plain(nodes.join(store.small(store.written(short, "short")), "short"), "nodes")
     most = apart(min(128, bands * rows), percent / 100)
     left, right = (store.small(nodes.select(F.col("short").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("node", "s0", "s1")))) for c in "ab")
     sides = found.where("key is null").select("a", "b").distinct().join(left, "a").join(right, "b")

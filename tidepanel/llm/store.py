@@ -38,9 +38,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors. Without a dictionary, which
-    columns of hashes have no use for, values are written as they are."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts the lineage and survives lost executors."""
+    return _written(df, name, True)
+
+
+def written_plain(df: DataFrame, name: str) -> DataFrame:
+    """written() without dictionaries, which columns of hashes have no use for."""
+    return _written(df, name, False)
+
+
+def _written(df: DataFrame, name: str, dictionary: bool) -> DataFrame:
     spark = df.sparkSession
     path, before = new_path(spark, name), {k: spark.conf.get(k, None) for k in _WRITING}
     try:
